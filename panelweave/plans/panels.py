@@ -54,10 +54,12 @@ def school_coverage(linked: DataFrame, dropout: DataFrame, census: DataFrame, in
     return link_coverage(linked, links, by="YEAR")
 
 
-def teacher_panel(linked: DataFrame, dropout: DataFrame, census: DataFrame, index: DataFrame) -> DataFrame:
+def teacher_panel(
+    linked: DataFrame, dropout: DataFrame, census: DataFrame, index: DataFrame, salts: Column | None = None
+) -> DataFrame:
     """Unbalanced teacher-by-month panel with school data and the absence rate."""
     dims = [Dim(dropout, tuple(SCHOOL_YEAR)), Dim(census, tuple(SCHOOL_YEAR)), Dim(index, ("CIE_ESCOLA",))]
-    panel = zero_fill(join_dims(linked, dims), fv.ZERO_FILLED)
+    panel = zero_fill(join_dims(linked, dims, salts), fv.ZERO_FILLED)
     panel = panel.withColumn("TOTAL_DIAS_MES", days_in_month(period_start("DATE")))
     return add_rate(panel, "ABS_RATE", "TOT_DIAS_AUSENCIAS", "TOTAL_DIAS_MES")
 
