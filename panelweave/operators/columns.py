@@ -43,6 +43,16 @@ def recode(df: DataFrame, column: str, rules, otherwise=codes.KEEP, name: str |
     return df.withColumn(name or column, codes.recode(column, rules, otherwise))
 
 
+def earliest_dates(df: DataFrame, entity: str, date: str, name: str | None = None) -> DataFrame:
+    """Earliest known date per entity, one row each."""
+    return df.groupBy(entity).agg(F.min(date).alias(name or date))
+
+
+def add_years_since(df: DataFrame, year: str, since: dict[str, str]) -> DataFrame:
+    """For each (new column, date column), ``year`` less the date's calendar year."""
+    return df.withColumns({name: F.col(year) - F.year(date) for name, date in since.items()})
+
+
 def first_activity(
     df: DataFrame,
     entity: str,
@@ -60,12 +70,10 @@ def first_activity(
     aggregated row per entity is joined back; no entity's rows are gathered in one task.
     """
     name = first or date
-    earliest = df.groupBy(entity).agg(F.min(date).alias("__first"))
-    columns = [c for c in df.columns if c != name]
-    out = keyed_join(df, earliest, [entity], "left", salts).withColumn(name, F.col("__first"))
-    out = out.select(*(df.columns if name in df.columns else [*columns, name]))
-    out = out.withColumn(tenure, F.col(year) - F.year(name))
-    return out if born is None else out.withColumn(age, F.col(year) - F.year(born))
+    earliest = earliest_dates(df, entity, date, name)
+    dated = keyed_join(df.drop(name), earliest, [entity], "left", salts)
+    dated = dated.select(*(df.columns if name in df.columns else dated.columns))
+    return add_years_since(dated, year, {tenure: name} | ({age: born} if born else {}))
 
 
 def split_labels(df: DataFrame, column: str, sep: str, n: int, keep: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ RIGHT = "__right_"
 # At most this many keys can each hold the share of rows that makes a key hot.
 MAX_HOT_KEYS = 512
 SKETCH_ITEMS = 4096
-SKETCH_MERGE_TASKS = 1024
+SKETCH_BUCKETS = 1024
 
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -47,29 +47,35 @@ def _check_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
 def key_salts(df: DataFrame, keys: list[str]) -> Column:
     """Map of key hash to number of slices for the hot keys of ``df``, as a scalar subquery.
 
-    One narrow pass, no shuffle of rows: each task sends one sketch, sketches merge in
-    two levels, and the result has at most ``MAX_HOT_KEYS`` entries. Measure once on a
-    cheap table and hand the column to several operators that share the key.
+    One narrow pass, no shuffle of rows: each task sends one sketch, every bucket of tasks
+    reports its heaviest keys, their counts are added up, and at most ``MAX_HOT_KEYS``
+    entries remain. Measure once on a cheap table and hand the column to several operators
+    that share the key.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot_share = max(1.0 / parts, 1.0 / MAX_HOT_KEYS)
-    sketches = (
+    all_rows = F.struct(F.lit(None).cast("bigint").alias("item"), F.col("n").alias("count"))
+    heaviest = (
         df.select(
             _key_hash(df, keys).alias("h"),
-            F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGE_TASKS)).alias("task"),
+            F.pmod(F.spark_partition_id(), F.lit(SKETCH_BUCKETS)).alias("bucket"),
+        )
+        .groupBy("bucket")
+        .agg(F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count("*").alias("n"))
+        .select(F.inline(F.concat("top", F.array(all_rows))))
+        .groupBy("item")
+        .agg(F.sum("count").alias("count"))
+        .orderBy(F.desc("count"))
+        .limit(MAX_HOT_KEYS + 1)
+        .agg(
+            F.max(F.when(F.col("item").isNull(), F.col("count"))).alias("n"),
+            F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "count"))).alias("top"),
         )
-        .groupBy("task")
-        .agg(F.expr(f"approx_top_k_accumulate(h, {SKETCH_ITEMS})").alias("sketch"), F.count("*").alias("n"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n"))
-        .select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})").alias("top"), "n")
-    )
-    share = lambda item: item["count"].cast("double") / F.col("n")
-    slices = lambda item: F.least(F.ceil(share(item) * (2 * parts)), F.lit(parts)).cast("int")
-    hot = F.transform(
-        F.filter("top", lambda item: share(item) >= hot_share),
-        lambda item: F.struct(item["item"], slices(item)),
     )
-    return sketches.select(F.map_from_entries(hot)).scalar()
+    share = lambda key: key["count"].cast("double") / F.col("n")
+    slices = lambda key: F.least(F.ceil(share(key) * (2 * parts)), F.lit(parts)).cast("int")
+    hot = F.transform(F.filter("top", lambda key: share(key) >= hot_share), lambda key: F.struct(key["item"], slices(key)))
+    return heaviest.select(F.map_from_entries(hot)).scalar()
 
 
 def _slices(salts: Column, df: DataFrame, keys: list[str]) -> Column:

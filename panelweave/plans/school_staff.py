@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelweave.operators.balance import balance_check, retention
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
@@ -49,11 +48,10 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, encoding: str = "UTF-8"
         save_report(df, f"{out_dir}/reports/{name}")
         results[name] = load_panel(spark, f"{out_dir}/reports/{name}")
 
-    active_files = read(fv.ACTIVE_DIR, schemas.ACTIVE).where(F.col("QUADRO_E") == fv.TEACHER_STAFF)
-    raw_active = stage(active_files, "active_raw")
-    records = stage(staff.active_records(raw_active), "active_records")
+    rows = stage(staff.active_rows(read(fv.ACTIVE_DIR, schemas.ACTIVE)), "active_rows")
+    records = stage(staff.active_records(rows), "active_records")
     report(attribute_conflict_profile(records, "ID_INTERNO", staff.TEACHER_TRAITS, by="YEAR"), "active_conflicts")
-    active = stage(staff.clean_active(records), "active")
+    active = stage(staff.clean_active(records, rows), "active")
 
     records = stage(staff.absence_records(read(fv.ABSENCE_DIR, schemas.ABSENCES, recursive=True)), "absence_records")
     report(key_multiplicity_profile(records, staff.TEACHER_MONTH_SCHOOL, by="YEAR"), "absence_repeats")

@@ -8,37 +8,39 @@ from pyspark.sql import functions as F
 from panelweave.functions.codes import keep_last, replace_prefix
 from panelweave.functions.missing import number_to_text, row_mean, row_sum
 from panelweave.functions.periods import leading_date
-from panelweave.operators.columns import first_activity, ordinal_from_labels, recode
-from panelweave.operators.quality import drop_conflicting_entities, keep_singleton_keys
+from panelweave.operators.columns import add_years_since, earliest_dates, ordinal_from_labels, recode
+from panelweave.operators.joins import keyed_join
+from panelweave.operators.quality import consistent_entities, keep_singleton_keys
 from panelweave.plans import fixed_values as fv
 
 TEACHER_TRAITS = ["ID_COR", "SEXO", "DATA_NASCIMENTO"]
+FIRST_DAY = "DATA_INICIO_EXERCICIO_E"
 TEACHER_MONTH_SCHOOL = ["YEAR", "DATE", "ID_INTERNO", "CIE_ESCOLA"]
 
 
-def active_records(raw: DataFrame, salts: Column | None = None) -> DataFrame:
-    """Teacher records per month and contract, with dates, tenure, age and race recoded."""
-    records = (
-        raw.where(F.col("QUADRO_E") == fv.TEACHER_STAFF)
-        .drop("QUADRO_E")
-        .withColumns({c: leading_date(c) for c in ("DATA_NASCIMENTO", "DATA_INICIO_EXERCICIO_E")})
-    )
-    dated = first_activity(
-        records,
-        entity="ID_INTERNO",
-        date="DATA_INICIO_EXERCICIO_E",
-        year="YEAR",
-        born="DATA_NASCIMENTO",
-        tenure="ANOS_ATIVIDADE",
-        age="IDADE",
-        salts=salts,
-    )
-    return recode(dated, "ID_COR", fv.RACE_RULES).distinct()
+def active_rows(raw: DataFrame) -> DataFrame:
+    """Teachers' rows with dates parsed and race recoded; no rows move."""
+    rows = raw.where(F.col("QUADRO_E") == fv.TEACHER_STAFF).drop("QUADRO_E")
+    rows = rows.withColumns({c: leading_date(c) for c in ("DATA_NASCIMENTO", FIRST_DAY)})
+    return recode(rows, "ID_COR", fv.RACE_RULES)
+
+
+def active_records(rows: DataFrame) -> DataFrame:
+    """Distinct teacher records. The start date is left out: it becomes one value per teacher."""
+    return rows.drop(FIRST_DAY).distinct()
+
 
+def clean_active(records: DataFrame, rows: DataFrame, salts: Column | None = None) -> DataFrame:
+    """Teachers whose traits agree, with first day, tenure, age and contract type.
 
-def clean_active(records: DataFrame, salts: Column | None = None) -> DataFrame:
-    """Drop teachers whose traits contradict each other and name the contract type."""
-    kept = drop_conflicting_entities(records, "ID_INTERNO", TEACHER_TRAITS, salts)
+    The first day and the check of traits both come to one row per teacher, so they are
+    joined to each other first and the records are shuffled once for both.
+    """
+    first = earliest_dates(rows, "ID_INTERNO", FIRST_DAY)
+    agreeing = consistent_entities(records, "ID_INTERNO", TEACHER_TRAITS)
+    people = keyed_join(first, agreeing, ["ID_INTERNO"], "left_semi", salts=False)
+    kept = keyed_join(records, people, ["ID_INTERNO"], "inner", salts)
+    kept = add_years_since(kept, "YEAR", {"ANOS_ATIVIDADE": FIRST_DAY, "IDADE": "DATA_NASCIMENTO"})
     return recode(kept, "CATEG_E", fv.CONTRACT_RULES, otherwise=None, name="CATEG_corr")
 
 

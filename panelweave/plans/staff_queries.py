@@ -62,15 +62,23 @@ class StaffTables:
         )
 
     @cached_property
-    def orders(self) -> DataFrame:
-        customers = self.read("customer").select(
+    def customers(self) -> DataFrame:
+        return self.read("customer").select(
             F.col("c_custkey").alias("o_custkey"),
             "c_acctbal",
             "c_mktsegment",
             F.col("c_nationkey").cast("bigint").alias("CIE_ESCOLA"),
             F.concat(F.lit("U"), F.col("c_nationkey").cast("string")).alias("UNIT"),
         )
-        return keyed_join(self.dated_orders, customers, ["o_custkey"], "inner")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return keyed_join(self.dated_orders, self.customers, ["o_custkey"], "inner")
+
+    @cached_property
+    def order_keys(self) -> DataFrame:
+        """The same rows, only for measuring keys."""
+        return self.dated_orders.join(self.customers, "o_custkey")
 
     @cached_property
     def raw_active(self) -> DataFrame:
@@ -188,13 +196,17 @@ class StaffTables:
     def teacher_salts(self) -> Column:
         return key_salts(self.dated_orders, ["ID_INTERNO"])
 
+    @cached_property
+    def active_rows(self) -> DataFrame:
+        return staff.active_rows(self.raw_active)
+
     @cached_property
     def active_records(self) -> DataFrame:
-        return staff.active_records(self.raw_active, self.teacher_salts)
+        return staff.active_records(self.active_rows)
 
     @cached_property
     def active(self) -> DataFrame:
-        return staff.clean_active(self.active_records, self.teacher_salts)
+        return staff.clean_active(self.active_records, self.active_rows, self.teacher_salts)
 
     @cached_property
     def education_records(self) -> DataFrame:
@@ -214,12 +226,12 @@ class StaffTables:
 
     @cached_property
     def linked(self) -> DataFrame:
-        salts = key_salts(self.orders.withColumnRenamed("UNIT", "UAC"), panels.TEACHER_MONTH_UNIT)
+        salts = key_salts(self.order_keys.withColumnRenamed("UNIT", "UAC"), panels.TEACHER_MONTH_UNIT)
         return panels.link_records(self.active, self.education, self.absences, salts)
 
     @cached_property
     def teachers(self) -> DataFrame:
-        coded = self.orders.withColumn("CIE_ESCOLA", staff.school_code("CIE_ESCOLA"))
+        coded = self.order_keys.withColumn("CIE_ESCOLA", staff.school_code("CIE_ESCOLA"))
         salts = key_salts(coded, panels.SCHOOL_YEAR)
         return panels.teacher_panel(self.linked, self.dropout, self.census, self.index, salts)
 

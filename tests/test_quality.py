@@ -1,0 +1,94 @@
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from panelweave.operators import (
+    attribute_conflict_profile,
+    drop_conflicting_entities,
+    keep_singleton_keys,
+    key_multiplicity_profile,
+)
+
+SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+PEOPLE = [
+    ("same", 2021, "F", "B"),
+    ("same", 2022, "F", "B"),
+    ("partly", 2021, "F", None),
+    ("partly", 2022, None, "B"),
+    ("never", 2021, None, "B"),
+    ("two", 2021, "F", "B"),
+    ("two", 2022, "M", "B"),
+    (None, 2022, "F", "B"),
+]
+SCHEMA = "id string, year int, sex string, race string"
+
+
+def test_entities_need_exactly_one_known_value(spark, collect):
+    kept = drop_conflicting_entities(spark.createDataFrame(PEOPLE, SCHEMA), "id", ["sex", "race"])
+    assert kept.columns == ["id", "year", "sex", "race"]
+    assert {r[0] for r in collect(kept)} == {"same", "partly", None}
+    assert kept.count() == 5
+
+
+def test_dropping_is_idempotent(spark, collect):
+    once = drop_conflicting_entities(spark.createDataFrame(PEOPLE, SCHEMA), "id", ["sex", "race"])
+    assert collect(drop_conflicting_entities(once, "id", ["sex", "race"])) == collect(once)
+
+
+def test_conflict_profile_counts_rows_not_entities(spark):
+    out = attribute_conflict_profile(spark.createDataFrame(PEOPLE, SCHEMA), "id", ["sex", "race"], "year")
+    assert {r["year"]: tuple(r) for r in out.collect()} == {
+        2021: (2021, 4, 1, 0, 25.0, 0.0),
+        2022: (2022, 4, 1, 0, 25.0, 0.0),
+    }
+
+
+def test_conflict_seen_in_another_year_counts_everywhere(spark):
+    rows = [("a", 2021, "F")] * 3 + [("a", 2022, "M")] + [("b", 2021, "F")]
+    out = attribute_conflict_profile(spark.createDataFrame(rows, "id string, year int, sex string"), "id", ["sex"], "year")
+    assert {tuple(r) for r in out.collect()} == {(2021, 4, 3, 75.0), (2022, 1, 1, 100.0)}
+
+
+def test_every_row_of_a_repeated_key_goes(spark, collect):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "b", "z"), (None, "a", "n"), (2, None, None)]
+    out = keep_singleton_keys(spark.createDataFrame(rows, "k int, m string, v string"), ["k", "m"])
+    assert out.columns == ["k", "m", "v"]
+    assert collect(out) == [(1, "b", "z"), (2, None, None), (None, "a", "n")]
+
+
+def test_singleton_column_order_is_kept(spark):
+    df = spark.createDataFrame([("x", 1, "y")], "v string, k int, `w.z` string")
+    assert keep_singleton_keys(df, ["k"]).columns == ["v", "k", "w.z"]
+    assert tuple(keep_singleton_keys(df, ["k"]).first()) == ("x", 1, "y")
+
+
+def test_key_profile(spark):
+    rows = [(2021, "a")] * 2 + [(2021, "b"), (2021, "c"), (2022, "a")]
+    out = key_multiplicity_profile(spark.createDataFrame(rows, "year int, id string"), ["year", "id"], "year")
+    assert {tuple(r) for r in out.collect()} == {(2021, 3, 1, 33.33), (2022, 1, 0, 0.0)}
+
+
+@SLOW
+@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("ab"), st.integers(0, 9)), max_size=25))
+def test_singletons_match_brute_force(spark, data):
+    df = spark.createDataFrame(data, "k int, m string, v int")
+    keys = [(k, m) for k, m, _ in data]
+    expected = sorted(r for r in data if keys.count((r[0], r[1])) == 1)
+    assert sorted(tuple(r) for r in keep_singleton_keys(df, ["k", "m"]).collect()) == expected
+
+
+@SLOW
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(2020, 2021), st.sampled_from(["F", "M", None])), min_size=1, max_size=20))
+def test_profile_matches_brute_force(spark, data):
+    df = spark.createDataFrame(data, "id int, year int, sex string")
+    values = {i: {s for j, _, s in data if j == i and s} for i, _, _ in data}
+    expected = {
+        y: (sum(1 for r in data if r[1] == y), sum(1 for r in data if r[1] == y and len(values[r[0]]) > 1))
+        for y in {r[1] for r in data}
+    }
+    out = attribute_conflict_profile(df, "id", ["sex"], "year").collect()
+    assert {r["year"]: (r["total_rows"], r["sex_conflict"]) for r in out} == expected
+    kept = drop_conflicting_entities(df, "id", ["sex"])
+    assert kept.count() == sum(1 for r in data if len(values[r[0]]) == 1)
+    assert kept.where(F.col("id").isNull()).count() == 0
