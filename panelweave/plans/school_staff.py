@@ -14,8 +14,7 @@ from panelweave.operators.balance import balance_check, retention
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
 from panelweave.plans import fixed_values as fv
 from panelweave.plans import panels, schemas, staff
-from panelweave.sources import read_period_files, save_panel, save_report, staged
-from panelweave.sources.tables import load_panel
+from panelweave.sources import load_panel, read_period_files, save_report, staged
 
 
 def stage_folder(spark: SparkSession, out_dir: str) -> str:
@@ -34,19 +33,18 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, encoding: str = "UTF-8"
             spark, path, schema, recursive=recursive, skip=skip, encoding=encoding if skip == 0 else "UTF-8", stamp=stamp
         )
 
-    def stage(df, name, by=None):
-        return staged(df, f"{stages}/{name}", by)
+    def stage(df, name):
+        return staged(df, f"{stages}/{name}")
 
     results: dict[str, DataFrame] = {}
 
     def panel(df, name):
-        save_panel(df, f"{out_dir}/{name}")
-        results[name] = load_panel(spark, f"{out_dir}/{name}")
+        results[name] = staged(df, f"{out_dir}/{name}", by="YEAR")
         return results[name]
 
     def report(df, name):
         save_report(df, f"{out_dir}/reports/{name}")
-        results[name] = load_panel(spark, f"{out_dir}/reports/{name}")
+        results[name] = load_panel(spark, f"{out_dir}/reports/{name}", df.schema)
 
     rows = stage(staff.active_rows(read(fv.ACTIVE_DIR, schemas.ACTIVE)), "active_rows")
     records = stage(staff.active_records(rows), "active_records")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def save_panel(df: DataFrame, path: str, by: str | None = "YEAR") -> None:
@@ -11,9 +12,14 @@ def save_panel(df: DataFrame, path: str, by: str | None = "YEAR") -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def load_panel(spark: SparkSession, path: str) -> DataFrame:
-    """Read a saved panel; filters on its ``by`` column skip whole directories."""
-    return spark.read.parquet(path)
+def load_panel(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Read a saved panel; filters on its ``by`` column skip whole directories.
+
+    An empty panel leaves no file to take column names from, so a caller that knows the
+    ``schema`` should give it.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def save_report(table: DataFrame, path: str) -> None:
@@ -24,4 +30,4 @@ def save_report(table: DataFrame, path: str) -> None:
 def staged(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write a table and read it back, so later stages start from files, not from its lineage."""
     save_panel(df, path, by)
-    return load_panel(df.sparkSession, path)
+    return load_panel(df.sparkSession, path, df.schema).select(*df.columns)

@@ -1,0 +1,114 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from panelweave.operators import Dim, Fact, Link, assemble_panel, join_dims, join_facts, link_coverage
+
+SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def brute_coverage(base, a, b):
+    """Left joins row by row; keys are (year, id) for a and id for b."""
+    out = {}
+    for year, i in base:
+        for pa in [p for y, j, p in a if (y, j) == (year, i)] or [None]:
+            for pb in [p for j, p in b if j == i] or [None]:
+                n = out.setdefault(year, [0, 0, 0, 0])
+                n[0] += 1
+                n[1] += pa is not None
+                n[2] += pb is not None
+                n[3] += pa is not None and pb is not None
+    return {y: tuple(n) for y, n in out.items()}
+
+
+ids = st.one_of(st.none(), st.integers(0, 2))
+probe = st.one_of(st.none(), st.integers(0, 9))
+
+
+@SLOW
+@given(
+    st.lists(st.tuples(st.integers(2020, 2021), ids), min_size=1, max_size=8),
+    st.lists(st.tuples(st.integers(2020, 2021), ids, probe), max_size=8),
+    st.lists(st.tuples(ids, probe), max_size=6),
+)
+def test_coverage_equals_the_fanned_out_joins(spark, base, a, b):
+    links = [
+        Link("a", spark.createDataFrame(a, "year int, id int, pa int"), ("id", "year"), "pa"),
+        Link("b", spark.createDataFrame(b, "id int, pb int"), ("id",), "pb"),
+    ]
+    out = link_coverage(spark.createDataFrame(base, "year int, id int"), links, "year", both="ab").collect()
+    got = {r["year"]: (r["total_rows"], r["a"], r["b"], r["ab"]) for r in out}
+    assert got == brute_coverage(base, a, b)
+    assert all(r["ab"] <= min(r["a"], r["b"]) and max(r["a"], r["b"]) <= r["total_rows"] for r in out)
+    assert all(abs(r["a_pct"] - 100 * r["a"] / r["total_rows"]) <= 0.0051 for r in out)
+
+
+BASE = [("t1", 2021, "0221", "u1"), ("t1", 2021, "0221", "u2"), ("t2", 2021, "0321", "u1"), ("t3", 2021, "0321", None)]
+KEYS = ["id", "year", "mmyy", "unit"]
+
+
+def tables(spark):
+    base = spark.createDataFrame(BASE, "id string, year int, mmyy string, unit string")
+    education = spark.createDataFrame(
+        [("t1", 2021, "0221", "u1", 7, "x"), ("t1", 2021, "0221", "u2", 8, "x"), ("t2", 2021, "0321", "u1", 7, "y"), ("t3", 2021, "0321", None, 7, "z")],
+        "id string, year int, mmyy string, unit string, site long, level string",
+    )
+    absences = spark.createDataFrame(
+        [("t1", 2021, "0221", "u1", 99, 3, 28), ("t3", 2021, "0321", None, 99, None, 31)],
+        "id string, year int, mmyy string, unit string, site long, TT_sick int, TOTAL_DIAS_MES int",
+    )
+    return base, education, absences
+
+
+def test_inner_and_left_facts_with_fan_out_and_null_keys(spark, collect):
+    base, education, absences = tables(spark)
+    out = join_facts(base, [Fact(education, "inner"), Fact(absences, "left", drop=("site",))], KEYS)
+    assert out.columns == [*KEYS, "site", "level", "TT_sick", "TOTAL_DIAS_MES"]
+    assert collect(out, "id", "unit", "site", "TT_sick") == [
+        ("t1", "u1", 7, 3),
+        ("t1", "u2", 8, None),
+        ("t2", "u1", 7, None),
+        ("t3", None, 7, None),
+    ]
+
+
+def test_left_facts_only_keep_every_row_and_suffix_clashes(spark):
+    base, education, absences = tables(spark)
+    out = join_facts(base, [Fact(education.where("id = 't1'")), Fact(absences)], KEYS)
+    assert out.count() == 4
+    assert {"site_x", "site_y"} <= set(out.columns)
+    with pytest.raises(ValueError, match="inner"):
+        join_facts(base, [Fact(education, "outer")], KEYS)
+
+
+def test_dims_joined_together_or_one_by_one_agree(spark, collect):
+    panel = spark.createDataFrame([(1, 2021, "a"), (1, 2022, "b"), (2, 2021, "c"), (None, 2021, "n")], "site int, year int, v string")
+    yearly = spark.createDataFrame([(1, 2021, 10), (2, 2021, 20), (None, 2021, 30)], "site int, year int, pupils int")
+    static = spark.createDataFrame([(1, 0.5), (2, 0.7), (None, 0.1)], "site int, score double")
+    out = join_dims(panel, [Dim(static, ("site",)), Dim(yearly, ("site", "year"))])
+    assert collect(out, "v", "pupils", "score") == [("a", 10, 0.5), ("c", 20, 0.7), ("n", 30, 0.1)]
+    area = spark.createDataFrame([(20, "south"), (10, "north")], "pupils int, area string")
+    chained = join_dims(panel, [Dim(yearly, ("site", "year")), Dim(area, ("pupils",))])
+    assert collect(chained, "v", "area") == [("a", "north"), ("c", "south")]
+
+
+def test_panel_is_zero_filled_before_month_length_and_rate(spark, collect):
+    base, education, absences = tables(spark)
+    sites = spark.createDataFrame([("07", 2021, "urban")], "site string, year int, place string")
+    out = assemble_panel(
+        base,
+        [Fact(education, "inner"), Fact(absences, "left", drop=("site",))],
+        KEYS,
+        [Dim(sites, ("site", "year"))],
+        prepare=lambda df: df.withColumn("site", F.concat(F.lit("0"), F.col("site").cast("string"))),
+        zero="^(TT|TOT)",
+        period="mmyy",
+        month_days="TOTAL_DIAS_MES",
+        rate=("rate", "TT_sick"),
+    )
+    assert collect(out, "id", "unit", "TT_sick", "TOTAL_DIAS_MES", "rate") == [
+        ("t1", "u1", 3, 28, 3 / 28),
+        ("t2", "u1", 0, 31, 0.0),
+        ("t3", None, 0, 31, 0.0),
+    ]
