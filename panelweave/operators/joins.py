@@ -25,6 +25,9 @@ MAX_HOT_KEYS = 512
 SKETCH_ITEMS = 4096
 SKETCH_BUCKETS = 1024
 
+# Used where the session leaves the number of shuffle partitions to the cluster.
+DEFAULT_PARTITIONS = 200
+
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -52,7 +55,8 @@ def key_salts(df: DataFrame, keys: list[str]) -> Column:
     entries remain. Measure once on a cheap table and hand the column to several operators
     that share the key.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = int(setting) if setting.isdigit() else DEFAULT_PARTITIONS
     hot_share = max(1.0 / parts, 1.0 / MAX_HOT_KEYS)
     all_rows = F.struct(F.lit(None).cast("bigint").alias("item"), F.col("n").alias("count"))
     heaviest = (

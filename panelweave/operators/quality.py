@@ -92,6 +92,6 @@ def keep_singleton_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     only record of every group that is kept. Copies of a key merge before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    carried = [F.first(F.struct(*rest)).alias("__rest")] if rest else []
+    carried = [F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest")] if rest else []
     single = df.groupBy(*keys).agg(F.count("*").alias("__n"), *carried).where("__n = 1")
     return single.select(*[F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])

@@ -42,6 +42,7 @@ from panelweave.operators import (
     group_difference_table,
     keep_singleton_keys,
     key_multiplicity_profile,
+    key_salts,
     keyed_join,
     link_coverage,
     ordinal_from_labels,
@@ -356,6 +357,7 @@ def panel_assembly(spark, sf):
         period="mmyy",
         month_days="TOTAL_DAYS",
         rate=("RATE", "TOT_returned"),
+        dim_salts=key_salts(site(orders), ["site"]),
     ).withColumns(rounded("TT_quantity", "TOT_returned", "RATE"))
 
 

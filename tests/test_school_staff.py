@@ -125,10 +125,10 @@ def make_raw(root, seed=3):
     index.append({"CO_UF": 33, "TP_DEPENDENCIA": 2, "CO_ESCOLA": 33000001, "INSE_VALOR_ABSOLUTO": 9.9})
     raw = {k: pd.DataFrame(v) for k, v in dict(active=active, absences=absences, education=education, dropout=dropout, census=census, index=index).items()}
 
-    def write(folder, name, df, sep=",", before=""):
+    def write(folder, name, df, sep=",", before="", after=""):
         path = root / folder
         path.mkdir(parents=True, exist_ok=True)
-        (path / name).write_text(before + df.to_csv(index=False, sep=sep, na_rep="NA"), encoding="utf-8")
+        (path / name).write_text(before + df.to_csv(index=False, sep=sep, na_rep="NA") + after, encoding="utf-8")
 
     for k, mmyy in enumerate(MONTHS):
         part = {n: raw[n][raw[n].DATE == mmyy].drop(columns="DATE") for n in ("active", "absences", "education")}
@@ -137,7 +137,7 @@ def make_raw(root, seed=3):
         write(f"absences/20{mmyy[2:]}", f"aus_{mmyy}.csv", part["absences"])
         write(f"teacher-education/20{mmyy[2:]}", f"form_{mmyy}.csv", part["education"])
     for year, part in raw["dropout"].groupby("NU_ANO_CENSO"):
-        write("dropout", f"tx_{year}.csv", part, before=PREAMBLE)
+        write("dropout", f"tx_{year}.csv", part, before=PREAMBLE, after="Source: ministry\n")
     for year, part in raw["census"].groupby("NU_ANO_CENSO"):
         write("censo", f"censo_{year}.csv", part.astype("Int64"))
     write("inse", "inse.csv", raw["index"])
