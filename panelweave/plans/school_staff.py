@@ -6,26 +6,18 @@ executor costs one stage's tasks at most.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from panelweave.operators.balance import balance_check, retention
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
 from panelweave.plans import fixed_values as fv
 from panelweave.plans import panels, schemas, staff
-from panelweave.sources import load_panel, read_period_files, save_report, staged
-
-
-def stage_folder(spark: SparkSession, out_dir: str) -> str:
-    """Folder for one run's stages: under the shared checkpoint folder, else under ``out_dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{out_dir}/_stages"
-    return f"{shared.rstrip('/')}/panelweave-{uuid.uuid4().hex}"
+from panelweave.sources import load_panel, read_period_files, save_report, stage_folder, staged
 
 
 def run(spark: SparkSession, raw_dir: str, out_dir: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
     """Read ``raw_dir``, write every panel and report under ``out_dir``, and return them by name."""
-    stages = stage_folder(spark, out_dir)
+    stages = stage_folder(spark, otherwise=f"{out_dir}/_stages")
 
     def read(folder, schema, recursive=False, skip=0, stamp=True):
         path = f"{raw_dir}/{folder}"

@@ -1,7 +1,8 @@
 """The staff panel plans over raw tables derived from orders, shipments and customers.
 
 Customers play teachers, nations schools, and order months the monthly files. Hot keys
-are measured on the derived raw tables, once per key, instead of on every later stage.
+are measured on the derived raw tables, once per key, instead of on every later stage, and
+tables with several readers are written once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from panelweave.operators.joins import key_salts, keyed_join
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
 from panelweave.plans import panels, staff
 from panelweave.plans.table_queries import reported, rounded, table
+from panelweave.sources import reused
 
 CREDENTIALS = {
     "1": "LICENCIATURA-PLENA + MESTRADO",
@@ -73,12 +75,7 @@ class StaffTables:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return keyed_join(self.dated_orders, self.customers, ["o_custkey"], "inner")
-
-    @cached_property
-    def order_keys(self) -> DataFrame:
-        """The same rows, only for measuring keys."""
-        return self.dated_orders.join(self.customers, "o_custkey")
+        return reused(keyed_join(self.dated_orders, self.customers, ["o_custkey"], "inner"))
 
     @cached_property
     def raw_active(self) -> DataFrame:
@@ -194,7 +191,7 @@ class StaffTables:
 
     @cached_property
     def teacher_salts(self) -> Column:
-        return key_salts(self.dated_orders, ["ID_INTERNO"])
+        return key_salts(self.orders, ["ID_INTERNO"])
 
     @cached_property
     def active_rows(self) -> DataFrame:
@@ -226,12 +223,12 @@ class StaffTables:
 
     @cached_property
     def linked(self) -> DataFrame:
-        salts = key_salts(self.order_keys.withColumnRenamed("UNIT", "UAC"), panels.TEACHER_MONTH_UNIT)
+        salts = key_salts(self.orders.withColumnRenamed("UNIT", "UAC"), panels.TEACHER_MONTH_UNIT)
         return panels.link_records(self.active, self.education, self.absences, salts)
 
     @cached_property
     def teachers(self) -> DataFrame:
-        coded = self.order_keys.withColumn("CIE_ESCOLA", staff.school_code("CIE_ESCOLA"))
+        coded = self.orders.withColumn("CIE_ESCOLA", staff.school_code("CIE_ESCOLA"))
         salts = key_salts(coded, panels.SCHOOL_YEAR)
         return panels.teacher_panel(self.linked, self.dropout, self.census, self.index, salts)
 
@@ -301,12 +298,12 @@ def staff_school_panel(spark, sf):
 
 def staff_teacher_table(spark, sf):
     """Teachers by contract type."""
-    return reported(panels.teacher_table(StaffTables(spark, sf).teachers))
+    return reported(panels.teacher_table(reused(StaffTables(spark, sf).teachers)))
 
 
 def staff_school_table(spark, sf):
     """Schools by location."""
-    return reported(panels.school_table(StaffTables(spark, sf).school_panel))
+    return reported(panels.school_table(reused(StaffTables(spark, sf).school_panel)))
 
 
 STAFF_QUERIES = {

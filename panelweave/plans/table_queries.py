@@ -55,6 +55,7 @@ from panelweave.operators import (
     zero_fill,
 )
 from panelweave.operators import cells
+from panelweave.sources import reused
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENT_LEVELS = {"building": "BUILDING", "machinery": "MACHINERY"}
@@ -511,7 +512,7 @@ def report_entities(spark, sf):
 
 def report_people(spark, sf):
     """Person-level report: differences, composition and number of customers."""
-    rows = site_orders(spark, sf).where(not_in("c_mktsegment", ["FURNITURE", "HOUSEHOLD"]))
+    rows = reused(site_orders(spark, sf).where(not_in("c_mktsegment", ["FURNITURE", "HOUSEHOLD"])))
     variables = [
         Variable("c_acctbal", "Balance", "General"),
         Variable("o_totalprice", "Price", "General"),
@@ -529,7 +530,7 @@ def report_people(spark, sf):
 
 def report_sites(spark, sf):
     """Site-level report over cells, rounded to two places under display titles."""
-    rows = site_cells(spark, sf)
+    rows = reused(site_cells(spark, sf))
     report = stack_report(
         group_difference_table(rows, "r_name", REGION_LEVELS, CELL_VARIABLES, minuend="europe"),
         distinct_entity_row(rows, "n_name", "r_name", REGION_LEVELS, "N (nations)", "Orders"),

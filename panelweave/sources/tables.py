@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -31,3 +33,22 @@ def staged(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write a table and read it back, so later stages start from files, not from its lineage."""
     save_panel(df, path, by)
     return load_panel(df.sparkSession, path, df.schema).select(*df.columns)
+
+
+def stage_folder(spark: SparkSession, otherwise: str | None = None) -> str | None:
+    """A new folder for one job's stages, inside the shared folder the session names.
+
+    Where ``spark.checkpoint.dir`` is not set, the folder lies inside ``otherwise``, or
+    there is none.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or otherwise
+    return f"{shared.rstrip('/')}/panelweave-{uuid.uuid4().hex}" if shared else None
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """Write a table that several parts of a query read, so that it is computed once.
+
+    Without a shared folder the table stays lazy and is computed by each reader.
+    """
+    folder = stage_folder(df.sparkSession)
+    return staged(df, folder) if folder else df
