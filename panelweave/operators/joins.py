@@ -34,7 +34,9 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def _key_hash(df: DataFrame, keys: list[str]) -> Column:
     """Hash of a key that does not depend on how wide its integers are."""
-    wide = [F.col(k).cast("bigint") if isinstance(df.schema[k].dataType, INTEGRAL) else F.col(k) for k in keys]
+    schema = df.schema
+    columns = {k: F.col(f"`{k}`") for k in keys}
+    wide = [c.cast("bigint") if isinstance(schema[k].dataType, INTEGRAL) else c for k, c in columns.items()]
     return F.xxhash64(*wide)
 
 
@@ -88,6 +90,8 @@ def _slices(salts: Column, df: DataFrame, keys: list[str]) -> Column:
 
 def _disambiguate(left, right, keys, suffixes):
     clash = [c for c in left.columns if c in set(right.columns) - set(keys)]
+    if not clash:
+        return left, right
     return (
         left.withColumnsRenamed({c: c + suffixes[0] for c in clash}),
         right.withColumnsRenamed({c: c + suffixes[1] for c in clash}),
@@ -109,6 +113,9 @@ def keyed_join(
     is forced: Spark broadcasts ``right`` only when its size is under the session's limit.
     ``salts`` may carry :func:`key_salts` measured elsewhere on the same keys, or ``False``
     where ``left`` is already reduced to few rows per key and needs no splitting.
+
+    Filter ``left`` before the join: a filter on the result still runs ahead of the shuffle,
+    but the dealing of rows keeps it from moving on into the scan.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type: {how}")
@@ -121,14 +128,14 @@ def keyed_join(
         left, right = _disambiguate(left, right, keys, suffixes)
     out = left.columns if how == "left_semi" else left.columns + [c for c in right.columns if c not in keys]
 
+    carried = [F.col(f"`{c}`").alias(RIGHT + c if c in keys else c) for c in right.columns]
+    on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{RIGHT}{k}`")) for k in keys])
     if salts is not False:
         # The task number in the hash deals out rows that are copies of each other as well.
-        hashable = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+        hashable = [f"`{f.name}`" for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
         dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), _slices(salts, left, keys)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), _slices(salts, right, keys) - 1))
-        left, right = left.withColumn(SALT, dealt), right.withColumn(RIGHT + SALT, copies)
-    right = right.withColumnsRenamed({k: RIGHT + k for k in keys})
-    on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{RIGHT}{k}`")) for k in keys])
-    if salts is not False:
+        carried.append(F.explode(F.sequence(F.lit(0), _slices(salts, right, keys) - 1)).alias(RIGHT + SALT))
+        left = left.withColumn(SALT, dealt)
         on = on & (F.col(SALT) == F.col(RIGHT + SALT))
-    return left.join(right, on, how).select(*out)
+    right = right.select(*carried)
+    return left.join(right, on, how).select(*[F.col(f"`{c}`") for c in out])
