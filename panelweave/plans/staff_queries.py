@@ -128,7 +128,7 @@ class StaffTables:
             )
         )
         columns = [c for c in per_order.columns if c not in ("o_orderkey", "QUADRO")]
-        return keyed_join(self.orders, per_order, ["o_orderkey"], "inner", salts=False).select(
+        return keyed_join(self.orders, per_order, ["o_orderkey"], "inner").select(
             F.when(F.col("o_orderstatus") == "P", "QAE").otherwise(F.col("QUADRO")).alias("QUADRO_EXERC"),
             "YEAR",
             "DATE",

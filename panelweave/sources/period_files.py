@@ -36,8 +36,9 @@ def _header_probe(skip: int, encoding: str):
         for batch in batches:
             headers = []
             for path in batch["path"]:
-                # Spark lists local files as file:/x, which pyarrow wants as file:///x.
-                store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                # Spark lists file:/x and s3a://x, which pyarrow wants as file:///x and s3://x.
+                uri = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
+                store, name = fs.FileSystem.from_uri(uri)
                 with store.open_input_stream(name, compression="detect") as raw:
                     text = io.TextIOWrapper(io.BufferedReader(raw, 1 << 16), encoding=encoding)
                     line = ""

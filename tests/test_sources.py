@@ -1,10 +1,20 @@
 import gzip
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.sources import list_files, load_panel, read_period_files, save_panel, save_report, staged
+from panelweave.sources import (
+    list_files,
+    load_panel,
+    read_period_files,
+    reused,
+    save_panel,
+    save_report,
+    stage_folder,
+    staged,
+)
 
 SCHEMA = T.StructType(
     [
@@ -119,3 +129,18 @@ def test_saved_panel_reads_only_the_years_asked_for(spark, collect, tmp_path):
     empty = staged(df.where("false"), str(tmp_path / "e"), by="YEAR")
     assert empty.columns == ["id", "YEAR"] and empty.count() == 0
     assert collect(staged(df, str(tmp_path / "s")), "id", "YEAR") == [("a", 2021), ("b", 2022)]
+
+
+def test_stages_go_to_the_folder_the_session_names():
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/x/"})
+    first, second = stage_folder(named, "/out"), stage_folder(named, "/out")
+    assert first.startswith("/shared/x/panelweave-") and first != second
+    unnamed = SimpleNamespace(conf={})
+    assert stage_folder(unnamed, "/out").startswith("/out/panelweave-")
+    assert stage_folder(unnamed) is None
+
+
+def test_table_with_several_readers_is_the_same_table(spark, collect):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "id string, n int")
+    again = reused(df)
+    assert again.schema == df.schema and collect(again) == collect(df)
