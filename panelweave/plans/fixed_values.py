@@ -83,3 +83,25 @@ SCHOOL_PANEL_YEARS = 3
 # School locations.
 URBAN = "Urbana"
 RURAL = "Rural"
+
+# Report sections and row labels.
+GENERAL = "General Characteristics"
+TRAINING = "Education and Training"
+ABSENCES = "Absences"
+TEACHER_TRAITS = "Teacher Characteristics"
+SCHOOL_TRAITS = "School Characteristics"
+AGE = "Age"
+EXPERIENCE = "Experience"
+WOMEN = "Women"
+BA_DEGREE = "BA degree"
+MA_DEGREE = "MA (or other) degree"
+ABSENCE_RATE = "Absence rate"
+TEACHERS_COUNTED = "N (teachers)"
+STAFF_SIZE = "Number of teachers"
+CONTRACT_SHARE = "Contract teachers"
+LONG_ABSENCE_SHARE = "Proportion of teachers with more than 10 days of absence in a month"
+PUPILS = "Number of students"
+PUPILS_PER_TEACHER = "Pupil-teacher ratio"
+DROPOUT_RATE = "Dropout rate"
+SOCIAL_INDEX = "INSE"
+SCHOOLS_COUNTED = "N (schools)"

@@ -108,44 +108,41 @@ def teacher_table(panel: DataFrame, count_na: bool = False) -> DataFrame:
     """Teachers by contract type: characteristics, absence motives, number of teachers."""
     chosen = panel.where(not_in("CATEG_corr", [fv.NOT_INFORMED, fv.STABLE]))
     levels = {"civil_servant": fv.PERMANENT, "contract": fv.TEMPORARY}
-    general, training, absences = "General Characteristics", "Education and Training", "Absences"
     higher = [fv.SPECIALISATION, fv.MASTERS, fv.DOCTORATE]
     variables = [
-        Variable("IDADE", "Age", general),
-        Variable("ANOS_ATIVIDADE", "Experience", general),
-        Variable(flag(F.col("SEXO") == "F"), "Women", general),
-        Variable(flag(is_in("NIVEL_FORMACAO", [fv.DEGREE])), "BA degree", training),
-        Variable(flag(is_in("NIVEL_FORMACAO", higher)), "MA (or other) degree", training),
-        Variable("ABS_RATE", "Absence rate", absences),
+        Variable("IDADE", fv.AGE, fv.GENERAL),
+        Variable("ANOS_ATIVIDADE", fv.EXPERIENCE, fv.GENERAL),
+        Variable(flag(F.col("SEXO") == "F"), fv.WOMEN, fv.GENERAL),
+        Variable(flag(is_in("NIVEL_FORMACAO", [fv.DEGREE])), fv.BA_DEGREE, fv.TRAINING),
+        Variable(flag(is_in("NIVEL_FORMACAO", higher)), fv.MA_DEGREE, fv.TRAINING),
+        Variable("ABS_RATE", fv.ABSENCE_RATE, fv.ABSENCES),
     ]
-    motives = [Variable(column, label, absences) for column, label in fv.MOTIVES.items()]
+    motives = [Variable(column, label, fv.ABSENCES) for column, label in fv.MOTIVES.items()]
     return stack_report(
         group_difference_table(chosen, "CATEG_corr", levels, variables, minuend="civil_servant"),
         composition_table(chosen, "CATEG_corr", levels, motives, where=F.col("TOT_DIAS_AUSENCIAS") > 0),
-        distinct_entity_row(chosen, "ID_INTERNO", "CATEG_corr", levels, "N (teachers)", absences, count_na),
+        distinct_entity_row(chosen, "ID_INTERNO", "CATEG_corr", levels, fv.TEACHERS_COUNTED, fv.ABSENCES, count_na),
     )
 
 
 def school_table(schools: DataFrame, count_na: bool = False) -> DataFrame:
     """Schools by location: teachers, absences, school characteristics, number of schools."""
     levels = {"urban": fv.URBAN, "rural": fv.RURAL}
-    teachers, absences, school = "Teacher Characteristics", "Absences", "School Characteristics"
-    long_absence = "Proportion of teachers with more than 10 days of absence in a month"
     variables = [
-        Variable("n_prof", "Number of teachers", teachers),
-        Variable("idade_media", "Age", teachers),
-        Variable("exp_media", "Experience", teachers),
-        Variable("prop_temp", "Contract teachers", teachers),
-        Variable("abs_rate_medio", "Absence rate", absences),
-        Variable("prop_prof_10dias", long_absence, absences),
-        Variable("qt_mat", "Number of students", school),
-        Variable("aluno_prof", "Pupil-teacher ratio", school),
-        Variable("drop_mean", "Dropout rate", school),
-        Variable("inse", "INSE", school),
+        Variable("n_prof", fv.STAFF_SIZE, fv.TEACHER_TRAITS),
+        Variable("idade_media", fv.AGE, fv.TEACHER_TRAITS),
+        Variable("exp_media", fv.EXPERIENCE, fv.TEACHER_TRAITS),
+        Variable("prop_temp", fv.CONTRACT_SHARE, fv.TEACHER_TRAITS),
+        Variable("abs_rate_medio", fv.ABSENCE_RATE, fv.ABSENCES),
+        Variable("prop_prof_10dias", fv.LONG_ABSENCE_SHARE, fv.ABSENCES),
+        Variable("qt_mat", fv.PUPILS, fv.SCHOOL_TRAITS),
+        Variable("aluno_prof", fv.PUPILS_PER_TEACHER, fv.SCHOOL_TRAITS),
+        Variable("drop_mean", fv.DROPOUT_RATE, fv.SCHOOL_TRAITS),
+        Variable("inse", fv.SOCIAL_INDEX, fv.SCHOOL_TRAITS),
     ]
     return stack_report(
         group_difference_table(
             add_rate(schools, "aluno_prof", "qt_mat", "n_prof"), "NO_CATEGORIA", levels, variables, minuend="rural"
         ),
-        distinct_entity_row(schools, "CIE_ESCOLA", "NO_CATEGORIA", levels, "N (schools)", school, count_na),
+        distinct_entity_row(schools, "CIE_ESCOLA", "NO_CATEGORIA", levels, fv.SCHOOLS_COUNTED, fv.SCHOOL_TRAITS, count_na),
     )
