@@ -1,0 +1,124 @@
+"""Plain single-process versions of the operators' results, for comparison."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+NAME = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def decontamination(docs, benchmark):
+    """docs and benchmark: (id, text) pairs. Rows doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    windows = {}
+    for item, text in benchmark:
+        words = NAME.findall((text or "").translate(UPPER))
+        size = min(10, len(words))
+        for i in range(len(words) - size + 1) if words else ():
+            windows.setdefault(tuple(words[i : i + size]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        words = NAME.findall((text or "").translate(UPPER))
+        hit, items = set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                if found := windows.get(tuple(words[i : i + size])):
+                    hit.update(range(i, i + size))
+                    items |= found
+        ids = ",".join(sorted(str(i) for i in items))
+        out.append((doc, len(words), len(hit), len(items), sha(ids), bool(hit)))
+    return out
+
+
+def quality(docs):
+    """Rows doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        words = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        inside = {i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+        failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+        counts = (sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
+        out.append((doc, len(words), *counts, failed))
+    return out
+
+
+def chat(rows):
+    """rows: (conv_id, turn, role, text). Rows conv_id, n_turns, turns_sha256, loss_chars, loss_sha256."""
+    said = {}
+    for conv, turn, role, text in rows:
+        said.setdefault(conv, []).append((turn, role, text or ""))
+    out = []
+    for conv, turns in said.items():
+        turns.sort()
+        learned = "".join(t for _, r, t in turns if r == "assistant")
+        out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(learned), sha(learned)))
+    return out
+
+
+ASSIGN = re.compile(r"""((?a:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def secrets(docs):
+    """Rows doc_id, n_assign, n_access, n_hex, base_sha256."""
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        found.sort()
+        kinds = Counter(k for _, k, _ in found)
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in found)
+        out.append((doc, kinds[0], kinds[1], kinds[2], sha(base)))
+    return out
+
+
+def shingles(text):
+    words = (text or "").translate(UPPER)
+    words = WORD.findall(words)
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def near_duplicates(docs):
+    """Rows doc_id, n_shingles, component_id, kept."""
+    sets = {doc: shingles(text) for doc, text in docs}
+    parent = {doc: doc for doc in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    return [(d, len(sets[d]), root(d), root(d) == d) for d in ids]
+
+
+def unigram(docs):
+    """Rows doc_id, held_out, n_tokens, n_known, train_tokens, base_score."""
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs}
+    tokens = {d: [*WORD.findall((t or "").translate(UPPER)), None] for d, t in docs}
+    counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    out = []
+    for d, ws in tokens.items():
+        score = math.fsum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
+        out.append((d, held[d], len(ws), sum(counts[w] > 0 for w in ws), total, score))
+    return out
