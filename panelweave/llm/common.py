@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,36 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, match) of a pattern: what lies between matches gives their places."""
+
+    def place(gaps: Column, found: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("spans"))
+
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + F.char_length(x["gap"])
+            span = F.array(F.struct(start.alias("start"), x["match"].alias("match")))
+            return F.struct((start + F.char_length(x["match"])).alias("at"), F.concat(a["spans"], span).alias("spans"))
+
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        return F.aggregate(pairs, zero, step, lambda a: a["spans"])
+
+    found = let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: let(F.split(text, pattern, -1), lambda g: place(g, m)),
+    )
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they have no installed copy."""
+    home = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "")
+    if home not in paths.split(":"):
+        environment["PYTHONPATH"] = f"{home}:{paths}" if paths else home
+
+
 class Stages:
     """Tables that one job writes for its own later steps, in the shared folder of the session.
 
@@ -42,6 +73,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         shared = spark.conf.get("spark.checkpoint.dir", None)
         base = shared.rstrip("/") if shared else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
         self.spark, self.folder = spark, f"{base}/{name}-{uuid.uuid4().hex}"

@@ -9,17 +9,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, decontamination, quality_rules, secrets
-from panelweave.llm.common import whole_number
+from panelweave.llm import chat, decontamination, html_text, lm_scoring, near_dedup, packing, quality_rules, secrets, token_counts, toxicity
+from panelweave.llm.common import ship, whole_number
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(of: int) -> Column:
+    """Whether a row's id falls into fold ``of`` of five."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == of
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"), _fold(1))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after the personal data of each document gives way to marks."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = token_counts.redactions(F.coalesce("text", F.lit("")))
+    return token_counts.apply_edits(token_counts.build_trees(docs).withColumn("edits", edits))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.coalesce(decontamination.covered_words(F.col("spans")), whole_number(0))
@@ -35,12 +52,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col("m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.sql("SELECT -7L AS conv_id, explode(array(0L, 1L)) AS turn").select(
@@ -63,7 +88,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
-    def count(kind: str):
+    def count(kind: str) -> Column:
         rank = secrets.KINDS.index(kind)
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{kind}")
 
@@ -77,11 +102,27 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~_fold(0))
+    return scored.select("doc_id", F.coalesce(_fold(0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(_table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
+    "op10_html_text": op10_html_text,
 }
 
 LLM_SQL: dict[str, str] = {

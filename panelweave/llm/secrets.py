@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import let
+from panelweave.llm.common import let, matches
 
 #: Fixed patterns of the three base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,30 +46,9 @@ ERROR = 0.05
 LENGTHS = (24, 32, 40, 64, 128)
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, match) of a pattern: what lies between matches gives their places."""
-
-    def place(gaps: Column, found: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + F.char_length(x["gap"])
-            span = F.array(F.struct(start.alias("start"), x["match"].alias("match")))
-            return F.struct((start + F.char_length(x["match"])).alias("at"), F.concat(a["spans"], span).alias("spans"))
-
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        return F.aggregate(pairs, zero, step, lambda a: a["spans"])
-
-    found = let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m: let(F.split(text, pattern, -1), lambda g: place(g, m)),
-    )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
-
-
-def _spans(matches: Column, kind: str) -> Column:
+def _spans(found: Column, kind: str) -> Column:
     return F.transform(
-        matches,
+        found,
         lambda m: F.struct(
             m["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("rank"),
@@ -80,9 +59,9 @@ def _spans(matches: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Sorted array of (start, rank of the kind, end) of the three base kinds."""
-    long_enough = F.filter(_matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 1)) >= MIN_SECRET)
+    long_enough = F.filter(matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 1)) >= MIN_SECRET)
     return F.sort_array(
-        F.concat(_spans(long_enough, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex"))
+        F.concat(_spans(long_enough, "assign"), _spans(matches(text, ACCESS), "access"), _spans(matches(text, HEX), "hex"))
     )
 
 
@@ -123,7 +102,7 @@ def p_value(symbols: Column, size: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Every long run of ``docs`` (doc_id, text_hash): start, end, encoding, whether it is a decoy, length class, p."""
-    runs = docs.select("doc_id", "text_hash", F.explode(_matches(F.col("text"), RUN)).alias("m")).select("doc_id", "text_hash", "m.*")
+    runs = docs.select("doc_id", "text_hash", F.explode(matches(F.col("text"), RUN)).alias("m")).select("doc_id", "text_hash", "m.*")
     run = F.col("match")
     letters = run.rlike("^[A-Za-z]?(?:[a-z]+|[A-Z]+)$")
     mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
