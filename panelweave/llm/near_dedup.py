@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,9 +120,13 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash, bands and bits of every row."""
-    schema = T.StructType([docs.schema["doc_id"]]).add("n_shingles", "long").add("set_hash", "binary").add("bands", T.ArrayType(T.LongType())).add("bits", "binary")
+    """doc_id, text_hash, n_shingles, set_hash, bands and bits of every row."""
+    schema = T.StructType([docs.schema["doc_id"]]).add("text_hash", "long").add("n_shingles", "long").add("set_hash", "binary").add("bands", T.ArrayType(T.LongType())).add("bits", "binary")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _multipliers()
@@ -134,10 +138,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 low = minima(own, a, b)
                 band = _mixed((low.reshape(BANDS, ROWS).astype(np.uint64) * weight).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
                 out.append((len(own), _digest(own), band.astype(np.int64), packed_bits(low).tobytes()))
-            found = pd.DataFrame(out, columns=schema.names[1:], index=batch.index)
-            yield pd.concat([batch[["doc_id"]], found], axis=1)
+            found = pd.DataFrame(out, columns=schema.names[2:], index=batch.index)
+            yield pd.concat([batch[["doc_id", "text_hash"]], found], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, schema)
+    return docs.select("doc_id", _text_hash(), "text").mapInPandas(sketch, schema)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -292,7 +296,7 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` as doc_id, n_shingles, component_id, kept."""
+    """Every row of ``docs`` as doc_id, n_shingles, component_id, kept, and text_hash, which tells equal ids apart."""
     stages = Stages(docs.sparkSession, "near-dedup")
     drawn = stages.write(sketches(docs), "sketches")
     named = drawn.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -305,7 +309,27 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     group = classes.select("set_hash", "node", "rep").join(components(joined, stages), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = group.groupBy("component").agg(F.min("rep").alias("of"))
     labels = group.join(least, "component").select("set_hash", "of")
-    rows = drawn.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_hash")).alias("set_hash"))
+    rows = drawn.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_hash")).alias("set_hash"))
     out = rows.join(labels, "set_hash", "left")
     component = F.coalesce("of", F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """One row of each group of near-duplicates, all columns; rows without words are no duplicates, but one of repeated rows stays.
+
+    Where ids repeat with texts of one group, the row of the least text hash stays.
+    """
+    stages = Stages(docs.sparkSession, "near-dedup-rows")
+    labelled = stages.write(near_duplicates(docs, percent).select("doc_id", "text_hash", "component_id", "kept"), "labels")
+    out = labelled.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    held = docs.withColumn("__text_hash", _text_hash())
+    held = held.join(out, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti")
+    again = labelled.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        # Ids that repeat: one row of each id and group stays.
+        least = labelled.where("kept").groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("__hash")).select(F.col("doc_id").alias("__id"), "__hash")
+        held = held.join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+        held = held.dropDuplicates(["doc_id", "__text_hash"])
+    return held.drop("__text_hash")

@@ -152,7 +152,11 @@ def random_spans(docs: DataFrame, error: float = ERROR) -> DataFrame:
 
 
 def scan(docs: DataFrame, error: float = ERROR) -> DataFrame:
-    """Every row of ``docs`` with ``base``, its base spans, and ``spans``, those and the random ones that overlap none of them."""
+    """Every row of ``docs`` with ``base``, its base spans, and ``spans``, those and the random ones that overlap none of them.
+
+    Columns of these names give way.
+    """
+    docs = docs.drop("base", "spans")
     keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     more = random_spans(keyed.select("doc_id", F.col("__hash").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")), error)
     more = more.withColumnsRenamed({"doc_id": "__id", "text_hash": "__found_hash", "found": "__found"})
@@ -177,3 +181,10 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
     end = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) > 0, end).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[secret]", error: float = ERROR) -> DataFrame:
+    """The rows of ``docs`` with every span of their text masked; texts without any stay as they are."""
+    found = scan(docs, error)
+    clean = found.withColumn("text", masked(F.col("text"), F.col("spans"), mask)).drop("base", "spans")
+    return clean.select(*[c for c in docs.columns if c in clean.columns])

@@ -227,9 +227,9 @@ def train(sample: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, **
     return fit([unpack(r["own"]) for r in found], np.array([r["toxic"] for r in found], float), changes, **settings)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to every row of ``docs``; a column of that name gives way."""
-    held = docs.drop("score")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Add the score of every row of ``docs`` as column ``name``; a column of that name gives way."""
+    held = docs.drop(name)
     spark = docs.sparkSession
     ship(spark)
     model_there = spark.sparkContext.broadcast(model)  # bounded: weights of features of the sample
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model_there.value.score(texts.tolist()))
 
-    return held.withColumn("score", scored(F.coalesce("text", F.lit(""))))
+    return held.withColumn(name, scored(F.coalesce("text", F.lit(""))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> DataFrame:
