@@ -47,12 +47,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     key = ["conv_id", "message"]
     log = events.select(*key, "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     resets = F.col("kind").isin("edit", "regenerate")
-    last = log.groupBy(*key).agg(
-        F.max(F.when(resets, F.col("seq"))).alias("__from"), F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role")
-    )
+    at = F.struct("seq")  # a NULL seq comes first
+    last = log.groupBy(*key).agg(F.max(F.when(resets, at)).alias("__from"), F.max_by("role", F.when(F.col("role").isNotNull(), at)).alias("role"))
     last = last.withColumnsRenamed({c: f"__{c}" for c in key})
     same = log["conv_id"].eqNullSafe(last["__conv_id"]) & log["message"].eqNullSafe(last["__message"])
-    live = F.col("__from").isNull() | (F.col("seq") > F.col("__from")) | ((F.col("seq") == F.col("__from")) & (F.col("kind") == "edit"))
+    live = F.col("__from").isNull() | (at > F.col("__from")) | ((at == F.col("__from")) & (F.col("kind") == "edit"))
     adds = F.col("kind").isin("delta", "edit") & live
     parts = log.drop("role").join(last, same).groupBy(*key, "role").agg(
         F.sort_array(F.collect_list(F.when(adds, F.struct("seq", "text")))).alias("parts")

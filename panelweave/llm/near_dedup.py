@@ -296,7 +296,7 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` as doc_id, n_shingles, component_id, kept, and text_hash, which tells equal ids apart."""
+    """Every row of ``docs`` as doc_id, n_shingles, component_id, kept; text_hash and group tell equal ids apart."""
     stages = Stages(docs.sparkSession, "near-dedup")
     drawn = stages.write(sketches(docs), "sketches")
     named = drawn.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -308,12 +308,12 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     joined = stages.write(links(docs, classes, stages, percent), "links")
     group = classes.select("set_hash", "node", "rep").join(components(joined, stages), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = group.groupBy("component").agg(F.min("rep").alias("of"))
-    labels = group.join(least, "component").select("set_hash", "of")
+    labels = group.join(least, "component").select("set_hash", "of", F.col("component").alias("group"))
     rows = drawn.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_hash")).alias("set_hash"))
     out = rows.join(labels, "set_hash", "left")
     component = F.coalesce("of", F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", F.coalesce("group", "text_hash").alias("group"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
@@ -322,14 +322,14 @@ def without_near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFr
     Where ids repeat with texts of one group, the row of the least text hash stays.
     """
     stages = Stages(docs.sparkSession, "near-dedup-rows")
-    labelled = stages.write(near_duplicates(docs, percent).select("doc_id", "text_hash", "component_id", "kept"), "labels")
+    labelled = stages.write(near_duplicates(docs, percent).select("doc_id", "text_hash", "group", "kept"), "labels")
     out = labelled.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     held = docs.withColumn("__text_hash", _text_hash())
-    held = held.join(out, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_anti")
-    again = labelled.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not again.isEmpty():
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    held = held.join(out, same, "left_anti")
+    groups = labelled.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "group").agg(F.count("*").alias("n"), F.min("text_hash").alias("__hash"))
+    if not groups.where("n > 1").isEmpty():
         # Ids that repeat: one row of each id and group stays.
-        least = labelled.where("kept").groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("__hash")).select(F.col("doc_id").alias("__id"), "__hash")
-        held = held.join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-        held = held.dropDuplicates(["doc_id", "__text_hash"])
+        one = held.join(groups.select(F.col("doc_id").alias("__id"), "__hash"), same, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+        held = held.where("doc_id IS NULL").unionByName(one)
     return held.drop("__text_hash")

@@ -63,7 +63,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ three p-values combine by Bonferroni's rule into one.
 Any run of few symbols can look random, so a span counts only where the error is under control:
 runs that mix digits with letters are candidates, runs of letters in one case are words and
 serve as decoys. Within a class of like lengths, a candidate is taken at the lowest threshold
-of p at which (decoys passing + 1) / decoys is at most ``error`` times the share of candidates that
-pass. The counts cover all rows; they are held by class of length and hundredth of p.
+of p at which the share of decoys that pass, those of shorter classes included, is at most ``error`` times
+the share of candidates that pass; without decoys none is taken. The counts cover all rows; they
+are held by class of length and hundredth of p.
 
 Spans count code points, the end left out. NULL and empty texts have no spans; repeated rows
 each get the spans of their text.
@@ -128,7 +129,11 @@ def thresholds(found: DataFrame, error: float = ERROR) -> DataFrame:
     counts = found.groupBy("class", level.alias("level")).agg(
         F.sum(F.col("decoy").cast("long")).alias("decoys"), F.sum((~F.col("decoy")).cast("long")).alias("others")
     )
-    by_class = counts.groupBy("class").agg(F.collect_list(F.struct("level", "decoys", "others")).alias("bins"))
+    # Longer runs are told apart more surely, so that shorter decoys stand in for longer ones; a few hundred rows at most.
+    onward = counts.withColumn("to", F.explode(F.sequence(F.col("class"), F.lit(len(LENGTHS)))))
+    others = F.when(F.col("to") == F.col("class"), F.col("others")).otherwise(F.lit(0).cast("long"))
+    bins = F.collect_list(F.struct("level", "decoys", others.alias("others")))
+    by_class = onward.groupBy(F.col("to").alias("class")).agg(bins.alias("bins"))
 
     def total(bins: Column, name: str) -> Column:
         return F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b[name])
