@@ -1,15 +1,18 @@
 """Read directories of delimited files whose columns drift, bound by column name.
 
 Spark binds the columns of a multi-file CSV read by position, so files are grouped by
-their header first: one short read of each file's first lines, then one scan per
-distinct header, each with that header's own column list.
+their header first: the first lines of each file are opened through the session's own file
+system, then there is one scan per distinct header, with that header's own column list.
+Nothing is cut or guessed: a file that cannot be read as told raises with its path.
 """
 
 from __future__ import annotations
 
-import io
+import csv
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
@@ -24,30 +27,21 @@ from panelweave.functions.periods import period_in_text, period_year
 SEPARATORS = (",", ";", "\t", "|")
 MISSING_TEXT = "NA"
 
-PROBE_BYTES = 1 << 20
+QUOTES = {"quote": '"', "escape": '"'}
+TRIM = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+#: Read as the separator of a scan that wants whole lines; no text file holds it.
+NO_SEPARATOR = "\0"
+#: Files whose first lines are opened at once.
+OPENED_AT_ONCE = 16
 
 
-def _header_probe(skip: int, encoding: str):
-    """Task function: path in, header line out. Reads only as far as the header."""
+@dataclass
+class Layout:
+    """Files of one header: its column names, and how many filled lines each file has up to it."""
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            headers = []
-            for path in batch["path"]:
-                # Spark lists file:/x and s3a://x, which pyarrow wants as file:///x and s3://x.
-                uri = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path))
-                store, name = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(name, compression="detect") as raw:
-                    text = io.TextIOWrapper(io.BufferedReader(raw, 1 << 16), encoding=encoding)
-                    line = ""
-                    for _ in range(skip + 1):
-                        line = text.readline(PROBE_BYTES)
-                headers.append(line.rstrip("\r\n").lstrip("﻿"))
-            yield pd.DataFrame({"path": batch["path"], "header": headers})
-
-    return probe
+    sep: str
+    names: list[str]
+    leading: dict[str, int] = field(default_factory=dict)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
@@ -56,31 +50,72 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive
     return reader.option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length")
 
 
-def file_signatures(
-    spark: SparkSession, path: str, pattern: str, recursive: bool, skip: int, encoding: str
-) -> dict[str, list[str]]:
-    """Files by header line. One short line per file reaches the driver, like the file index."""
-    files = list_files(spark, path, pattern, recursive).where("length > 0").select("path")
-    probed = files.mapInPandas(_header_probe(skip, encoding), "path string, header string")
-    signatures: dict[str, list[str]] = {}
-    for row in probed.orderBy("path").toLocalIterator():
-        if row["header"].strip():
-            signatures.setdefault(row["header"], []).append(row["path"])
-    return signatures
+def first_lines(spark: SparkSession, path: str, skip: int, encoding: str) -> list[str]:
+    """The lines of a file up to its header, opened as Spark would open it, and closed after them.
+
+    Without a preamble the header is the first line that is not blank.
+    """
+    jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    raw = where.getFileSystem(hadoop).open(where)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop).getCodec(where)
+        stream = codec.createInputStream(raw) if codec is not None else raw
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+        lines: list[str] = []
+        while (line := reader.readLine()) is not None:
+            lines.append(line.lstrip("﻿") if not lines else line)
+            if len(lines) > skip and (skip or line.strip()):
+                break
+        return lines
+    finally:
+        raw.close()
 
 
 def split_header(header: str, sep: str | None) -> tuple[str, list[str]]:
-    """Separator (the most frequent candidate when not given) and upper-cased column names."""
-    sep = sep or max(SEPARATORS, key=header.count)
-    names = [n.strip().strip('"').strip().upper() for n in header.split(sep)]
+    """Separator (the most frequent candidate outside quotes when not given) and upper-cased column names."""
+    bare = re.sub(r'"[^"]*"', "", header)
+    sep = sep or max(SEPARATORS, key=bare.count)
+    # csv's own limit on a field's length would refuse long names.
+    csv.field_size_limit(max(csv.field_size_limit(), len(header) + 1))
+    names = [n.strip().upper() for n in next(csv.reader([header], delimiter=sep, skipinitialspace=True))]
     repeated = {n for n in names if n and names.count(n) > 1}
     if repeated:
         raise ValueError(f"repeated column names in header: {sorted(repeated)}")
     return sep, [n or f"_UNNAMED_{i}" for i, n in enumerate(names)]
 
 
-def _drop_leading(lines: int):
-    """Task function: drop each file's first lines, counting only where a file begins."""
+def file_layouts(
+    spark: SparkSession, path: str, pattern: str, recursive: bool, skip: int, encoding: str, sep: str | None = None
+) -> list[Layout]:
+    """The files of a directory by header. One header for each file reaches the driver, like the file index."""
+    files = sorted(r["path"] for r in list_files(spark, path, pattern, recursive).where("length > 0").select("path").toLocalIterator())
+    with ThreadPoolExecutor(OPENED_AT_ONCE) as pool:
+        tops = pool.map(lambda f: first_lines(spark, f, skip, encoding), files)
+        found: dict[str, Layout] = {}
+        for file, lines in zip(files, tops):
+            if not any(line.strip() for line in lines):
+                continue  # a file of blank lines only has nothing to lose
+            if len(lines) <= skip or not lines[-1].strip():
+                raise ValueError(f"no header after {skip} lines in {file}")
+            if any(line.count('"') % 2 for line in lines):
+                raise ValueError(f"a quoted line break up to the header of {file}")
+            if lines[-1] not in found:
+                try:
+                    found[lines[-1]] = Layout(*split_header(lines[-1], sep))
+                except ValueError as wrong:
+                    raise ValueError(f"{wrong} in {file}") from wrong
+            found[lines[-1]].leading[file] = sum(bool(line.strip()) for line in lines)
+    return list(found.values())
+
+
+def _literal(path: str) -> str:
+    """A path as it is, where Spark would take some characters for a glob."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def _drop_leading(leading: dict[str, int]):
+    """Task function: drop each file's lines up to its header, counting only where a file begins."""
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
@@ -89,41 +124,63 @@ def _drop_leading(lines: int):
             order = top.groupby(top).cumcount() + top.map(seen).fillna(0)
             for path, n in top.value_counts().items():
                 seen[path] = seen.get(path, 0) + int(n)
-            yield batch.loc[~batch.index.isin(order.index[order < lines]), ["value", "__file"]]
+            header = top.map(leading)
+            yield batch.loc[~batch.index.isin(order.index[order < header])].drop(columns=["__path", "__start"])
 
     return drop
 
 
-def _scan(spark: SparkSession, paths: list[str], names: list[str], sep: str, skip: int, encoding: str) -> DataFrame:
+def _scan(spark: SparkSession, layout: Layout, skip: int, encoding: str, multi_line: bool) -> DataFrame:
     """All columns as text, with the file name as ``__file``."""
+    paths, names = [_literal(p) for p in layout.leading], layout.names
+    options = {**TRIM, **QUOTES, "sep": layout.sep, "maxColumns": str(max(20480, len(names)))}
+    file = F.col("_metadata.file_name").alias("__file")
+    place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")]
+    reader = spark.read.option("encoding", encoding).option("header", str(skip == 0).lower())
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    trim = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    if multi_line:
+        # Such files are read whole by one task each, so their first records come first.
+        scan = reader.options(**options, multiLine="true").schema(text).csv(paths)
+    else:
+        scan = reader.options(sep=NO_SEPARATOR, quote="", maxCharsPerColumn="-1").schema("value string").csv(paths)
     if skip == 0:
-        scan = spark.read.options(**trim).csv(paths, schema=text, header=True, sep=sep, encoding=encoding)
-        return scan.select("*", F.col("_metadata.file_name").alias("__file"))
-    if encoding.upper().replace("-", "") != "UTF8":
-        raise ValueError("files with a preamble must be UTF-8")
-    lines = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_name").alias("__file"),
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__start"),
-    )
-    body = lines.mapInPandas(_drop_leading(skip + 1), "value string, __file string").where(F.length("value") > 0)
-    ddl = ", ".join(f"`{n}` STRING" for n in names)
-    row = F.from_csv("value", ddl, {**trim, "sep": sep})
-    return body.select(row.alias("__row"), "__file").select("__row.*", "__file")
-
-
-def typed(col: Column, kind: T.DataType) -> Column:
-    """Text as a declared type. Blank text stays blank, ``NA`` and unreadable numbers are NULL."""
+        lines = scan.select("*", file)
+    else:
+        # The paths as the scan names them.
+        named = {r["p"]: layout.leading[r["f"]] for r in _scan_names(spark, layout).toLocalIterator()}
+        columns = [T.StructField(c, T.StringType()) for c in [*scan.columns, "__file"]]
+        lines = scan.select("*", file, *place).mapInPandas(_drop_leading(named), T.StructType(columns))
+    if multi_line:
+        return lines
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = F.concat(F.lit("a quoted line break, or an open quote, in "), "__file", F.lit("; read it with multi_line. Line: "), F.left("value", F.lit(200)))
+    value = F.when(quotes % 2 == 1, F.raise_error(broken)).otherwise(F.col("value"))
+    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    row = F.from_csv(value, ddl, options)
+    return lines.where(F.length(F.trim("value")) > 0).select(row.alias("__row"), "__file").select("__row.*", "__file")
+
+
+def _scan_names(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Each file's path (f) beside the name that a scan gives it (p)."""
+    files = spark.read.format("binaryFile").load([_literal(p) for p in layout.leading])
+    return files.select(F.col("path").alias("f"), F.col("_metadata.file_path").alias("p"))
+
+
+def typed(col: Column, kind: T.DataType, name: str = "") -> Column:
+    """Text as a declared type. Blank text stays blank, ``NA`` and unreadable numbers are NULL.
+
+    A whole number may have been written as 3.0 or 3.5e7; one with a fraction is refused, not cut.
+    """
     if isinstance(kind, T.StringType):
         return F.nullif(F.coalesce(col, F.lit("")), F.lit(MISSING_TEXT))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return number(col).cast(kind)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        # A whole number may have been written as 3.0 or 3.5e7.
-        return F.coalesce(F.trim(col).try_cast(kind), number(col).try_cast(kind))
+        read = number(col)
+        cut = F.raise_error(F.concat(F.lit(f"column {name} holds whole numbers, but also "), col)).cast(kind)
+        whole = F.when(read != F.floor(read), cut).otherwise(read.try_cast(kind))
+        plain = F.trim(col).rlike(r"^[+-]?[0-9]+$")  # not by way of a double, which holds 53 bits
+        return F.when(plain, F.trim(col).try_cast(kind)).otherwise(whole)
     return F.trim(col).try_cast(kind)
 
 
@@ -137,20 +194,29 @@ def read_period_files(
     sep: str | None = None,
     encoding: str = "UTF-8",
     stamp: bool = True,
+    multi_line: bool = False,
+    required: tuple[str, ...] = (),
 ) -> DataFrame:
     """Stack the files of a directory into one table with the declared columns.
 
-    Columns are found by upper-cased name in each file; one a file lacks is NULL there.
-    ``skip`` preamble lines precede the header. ``stamp`` adds ``DATE``, the first four
-    digits of the file name (``MMYY``, NULL without any), and the integer ``YEAR``.
+    Columns are found by upper-cased name in each file; one a file lacks is NULL there, but
+    a file without any, or without one of ``required``, is refused. ``skip`` preamble
+    lines precede the header; without any, blank lines before it are passed over. ``stamp``
+    adds ``DATE``, the first four digits of the file name (``MMYY``, NULL without any),
+    and the integer ``YEAR``. Doubled quotes stand for one. Quoted line breaks need
+    ``multi_line``, with which a file is read by one task; without it they are refused.
     """
     tables = []
-    for header, paths in file_signatures(spark, path, pattern, recursive, skip, encoding).items():
-        used, names = split_header(header, sep)
-        scan = _scan(spark, paths, names, used, skip, encoding)
-        columns = [typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema if f.name in names]
+    for layout in file_layouts(spark, path, pattern, recursive, skip, encoding, sep):
+        first = next(iter(layout.leading))
+        absent = [n for n in required if n not in layout.names]
+        if absent or not any(f.name in layout.names for f in schema):
+            raise ValueError(f"no column {', '.join(absent) or 'that is declared'} in {first}")
+        scan = _scan(spark, layout, skip, encoding, multi_line)
+        columns = [typed(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in schema if f.name in layout.names]
         if stamp:
-            period = period_in_text("__file")
+            # Scans escape file names; an escape's digits are no period.
+            period = period_in_text(F.url_decode(F.replace("__file", F.lit("+"), F.lit(" "))))
             columns = [period.alias("DATE"), period_year(period).alias("YEAR"), *columns]
         tables.append(scan.select(*columns))
     stamped = [T.StructField("DATE", T.StringType()), T.StructField("YEAR", T.IntegerType())] if stamp else []

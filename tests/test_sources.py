@@ -144,3 +144,74 @@ def test_table_with_several_readers_is_the_same_table(spark, collect):
     df = spark.createDataFrame([("a", 1), ("b", None)], "id string, n int")
     again = reused(df)
     assert again.schema == df.schema and collect(again) == collect(df)
+
+
+def read(spark, folder, **settings):
+    return read_period_files(spark, str(folder), SCHEMA, **settings)
+
+
+def test_names_with_spaces_accents_and_glob_characters(spark, collect, tmp_path):
+    for i, name in enumerate(["abs 0121.csv", "ação_0221.csv", "a[1]{2}*_0321.csv", "a%20b_0421.csv", "a+b_0521.csv"]):
+        write(tmp_path / name, f"ID,N\nr{i},{i}\n")
+    assert collect(read(spark, tmp_path), "DATE", "ID", "N") == [("0121", "r0", 0), ("0221", "r1", 1), ("0321", "r2", 2), ("0421", "r3", 3), ("0521", "r4", 4)]
+    assert len({r["DATE"] for r in read(spark, tmp_path).select("DATE").collect()}) == 5
+
+
+def test_doubled_quotes_and_separators_in_quotes(spark, collect, tmp_path):
+    write(tmp_path / "f_0121.csv", 'ID,"KIND",N\na,"SAO ""X"", Y",5\n"b;1","",6\n')
+    assert collect(read(spark, tmp_path), "ID", "KIND", "N") == [("a", 'SAO "X", Y', 5), ("b;1", "", 6)]
+
+
+def test_header_with_a_quoted_separator(spark, collect, tmp_path):
+    write(tmp_path / "f_0121.csv", 'ID,"OTHER, MORE",N\na,x,7\n')
+    assert collect(read(spark, tmp_path), "ID", "N") == [("a", 7)]
+
+
+def test_quoted_line_breaks(spark, collect, tmp_path):
+    write(tmp_path / "a" / "f_0121.csv", 'ID,KIND,N\na,"two\nlines",1\nb,x,2\n')
+    with pytest.raises(Exception, match="multi_line"):
+        read(spark, tmp_path / "a").collect()
+    assert collect(read(spark, tmp_path / "a", multi_line=True), "ID", "KIND", "N") == [("a", "two\nlines", 1), ("b", "x", 2)]
+    write(tmp_path / "b" / "f_0121.csv", PREAMBLE + 'ID,KIND,N\na,"two\n\nlines",1\nb,x,2\n')
+    assert collect(read(spark, tmp_path / "b", multi_line=True, skip=8), "ID", "KIND", "N") == [("a", "two\n\nlines", 1), ("b", "x", 2)]
+
+
+def test_blank_first_lines_are_passed_over(spark, collect, tmp_path):
+    write(tmp_path / "f_0121.csv", "\n  \nID,N\na,1\n")
+    assert collect(read(spark, tmp_path), "ID", "N") == [("a", 1)]
+
+
+def test_fractions_of_whole_numbers_are_refused(spark, collect, tmp_path):
+    write(tmp_path / "a" / "f_0121.csv", "ID,N,CODE\na,3.0,9007199254740993\n")
+    assert collect(read(spark, tmp_path / "a"), "N", "CODE") == [(3, 9007199254740993)]
+    write(tmp_path / "b" / "f_0121.csv", "ID,N\na,3.7\n")
+    with pytest.raises(Exception, match="column N holds whole numbers, but also 3.7"):
+        read(spark, tmp_path / "b").collect()
+
+
+def test_over_long_preamble_is_refused(spark, tmp_path):
+    write(tmp_path / "a" / "x_2021.csv", PREAMBLE + "\nID,KIND\na,b\n")
+    with pytest.raises(ValueError, match="no header after 8 lines in .*x_2021"):
+        read(spark, tmp_path / "a", skip=8)
+    write(tmp_path / "b" / "x_2021.csv", "Title\n")
+    with pytest.raises(ValueError, match="no header"):
+        read(spark, tmp_path / "b", skip=8)
+
+
+def test_header_over_one_mebibyte(spark, collect, tmp_path):
+    write(tmp_path / "f_0121.csv", f"ID,{'X' * (1 << 20)},KIND,N\na,b,c,4\n")
+    assert collect(read(spark, tmp_path), "ID", "KIND", "N") == [("a", "c", 4)]
+
+
+def test_files_without_known_or_required_columns_are_refused(spark, tmp_path):
+    write(tmp_path / "f_0121.csv", "AA,BB\n1,2\n")
+    with pytest.raises(ValueError, match="declared in .*f_0121"):
+        read(spark, tmp_path)
+    write(tmp_path / "g" / "f_0121.csv", "ID\n1\n")
+    with pytest.raises(ValueError, match="no column N in .*f_0121"):
+        read(spark, tmp_path / "g", required=("ID", "N"))
+
+
+def test_preamble_files_in_another_encoding(spark, collect, tmp_path):
+    write(tmp_path / "x_2021.csv", PREAMBLE + "ID,KIND,N\nção,é,1\n", "latin-1")
+    assert collect(read(spark, tmp_path, skip=8, encoding="ISO-8859-1"), "ID", "KIND", "N") == [("ção", "é", 1)]
