@@ -9,7 +9,9 @@ No bucket is expanded into pairs. In each bucket the representative that shares
 with others is the centre, and the others are compared with it by signature:
 
 * at 0.3 or more they join its family; at 0.65 or more they also leave the bucket;
-* what stays in a bucket gets another centre in the next round, until no two are left.
+* a bucket whose remaining members all joined the same centre is done;
+* of the others, the members outside the commonest family become centres, up to 16 at a time, and
+  leave after they have met the rest, until no bucket has two families left.
 
 One minus the similarity is a metric, so two sets of similarity 0.85 differ by at most 0.15 in their
 distance from any third; a pair that is to be linked thus always lands in one family. In a family
@@ -44,6 +46,8 @@ THRESHOLD = 85  # percent
 FAMILY, LEAVE = 0.3, 0.65
 #: A pair whose signatures estimate less than this is not compared on full sets.
 ESTIMATE_FLOOR = 0.66
+#: Centres that a bucket gets in each round after the first.
+CENTRES = 16
 #: Members of a family that one side of a comparison block holds.
 BLOCK = 512
 #: Words whose hashes a worker remembers.
@@ -152,38 +156,54 @@ def _estimated(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(estimate(np.frombuffer(b"".join(x), np.uint8).reshape(shape), np.frombuffer(b"".join(y), np.uint8).reshape(shape)))
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """(bucket, doc) rows of the buckets that hold two or more."""
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return members.join(shared, "bucket")
+def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Add the estimated similarity to pairs (doc, centre)."""
+    own, theirs = classes.select(F.col("node").alias("doc"), "bits"), classes.select(F.col("node").alias("centre"), F.col("bits").alias("centre_bits"))
+    return pairs.join(own, "doc").join(theirs, "centre").select("doc", "centre", _estimated("bits", "centre_bits").alias("similar"))
+
+
+def _open_buckets(active: DataFrame) -> DataFrame:
+    """The rows (bucket, doc, label) of buckets whose members have different labels."""
+    mixed = active.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return active.join(mixed.select("bucket"), "bucket")
 
 
 def families(classes: DataFrame, stages: Stages) -> DataFrame:
     """Chains (a, b) of a member and a centre that belong to one family. ``classes``: node, bands, bits."""
     members = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("bucket"))
-    active = stages.write(_buckets(members), "buckets")
-    chains, first = [], True
-    while not active.isEmpty():
-        if not first:
-            active = stages.write(_buckets(active.drop("n")), "buckets")
-            if active.isEmpty():
-                break
-        first = False
-        weight = active.groupBy("doc").agg(F.sum("n").alias("weight"))
-        centres = active.join(weight, "doc").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc")).alias("least"))).alias("c"))
-        centres = centres.select("bucket", (-F.col("c.least")).alias("centre"))
-        led = active.select("bucket", "doc").join(centres, "bucket").where("doc != centre")
-        pairs = led.select("doc", "centre").distinct()
-        own, theirs = classes.select(F.col("node").alias("doc"), "bits"), classes.select(F.col("node").alias("centre"), F.col("bits").alias("centre_bits"))
-        judged = stages.write(
-            pairs.join(own, "doc").join(theirs, "centre").select("doc", "centre", _estimated("bits", "centre_bits").alias("similar")), "judged"
-        )
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    active = stages.write(members.join(shared, "bucket"), "buckets")
+    weight = active.groupBy("doc").agg(F.sum("n").alias("weight"))
+    heaviest = active.join(weight, "doc").groupBy("bucket").agg(F.max(F.struct("weight", "doc")).alias("c"))
+    led = stages.write(
+        active.select("bucket", "doc").join(heaviest.select("bucket", F.col("c.doc").alias("centre")), "bucket").where("doc != centre"), "led"
+    )
+    stages.drop(active)
+    chains = []
+    label = F.when(F.col("similar") >= FAMILY, F.col("centre")).otherwise(F.col("doc")).alias("label")
+    own_label = None
+    while True:
+        judged = stages.write(_similar(led.select("doc", "centre").distinct(), classes), "judged")
         chains.append(judged.where(F.col("similar") >= FAMILY).select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-        stay = judged.where(F.col("similar") < LEAVE).select("doc", "centre")
-        left = stages.write(led.join(stay, ["doc", "centre"]).select("bucket", "doc", F.lit(0).cast("long").alias("n")), "active")
-        stages.drop(active)
-        active = left
-    found = chains[0] if chains else classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a != b")
+        seen = led.join(judged, ["doc", "centre"])
+        if own_label is None:
+            left = seen.where(F.col("similar") < LEAVE).select("bucket", "doc", label)
+        else:
+            # What has been a centre, or is close to one, has met all that it could be linked with in its bucket.
+            near = seen.where(F.col("similar") >= LEAVE).select("bucket", "doc")
+            gone = near.unionByName(led.select("bucket", F.col("centre").alias("doc"))).distinct()
+            left = own_label.join(gone, ["bucket", "doc"], "left_anti")
+        own_label = stages.write(_open_buckets(left), "open")
+        stages.drop(led)
+        if own_label.isEmpty():
+            break
+        # Members that share the commonest label of their bucket are one family; the others are centres by and by.
+        sizes = own_label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        common = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("c")).select("bucket", F.col("c.label").alias("common"))
+        rare = own_label.join(common, "bucket").where("label != common")
+        centres = rare.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(CENTRES)).alias("part")).agg(F.min("doc").alias("centre"))
+        led = stages.write(own_label.join(centres.select("bucket", "centre"), "bucket").where("doc != centre").select("bucket", "doc", "centre"), "led")
+    found = chains[0]
     for more in chains[1:]:
         found = found.unionByName(more)
     return found
