@@ -83,10 +83,9 @@ class Stages:
         self.written += 1
         return f"{self.folder}/{self.written}-{name}"
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._stage_path = path
         return table

@@ -38,7 +38,7 @@ from panelweave.llm.common import Stages
 
 DEPTH = 4
 #: Bytes of text that one block holds, but for a longer text, which is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text whose runs are looked up at once.
 CHUNK_BYTES = 1 << 20
 MARK = b"\xff"  # never a byte of UTF-8: start marks before a text, the end mark after it
@@ -85,9 +85,9 @@ def in_blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES)
 
 
 def _requests(depth: int):
-    """Task function: the distinct words and runs of each block with their counts in training texts."""
+    """Task function: the distinct words and runs of each block with their counts in training texts. The word of an end is empty."""
 
-    def of_block(block: int, rows: list[tuple[bool, bytes]]) -> pd.DataFrame:
+    def of_block(block: int, rows: list[tuple[bool, bytes]]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for held in (False, True):
@@ -108,22 +108,23 @@ def _requests(depth: int):
                 codes.append(code)
                 counts.append(n * (not held))
             words[b""] += 0 if held else len(texts)
+        yield pd.DataFrame({"block": block, "word": [w.decode() for w in words], "run": pd.array([None] * len(words), "Int64"), "n": list(words.values())})
+        words.clear()
         code, place = np.unique(np.concatenate(codes), return_inverse=True)
         n = np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
-        asked = pd.DataFrame({"word": [w.decode() for w in words], "n": list(words.values())})
-        return pd.concat([asked, pd.DataFrame({"run": pd.array(code, "Int64"), "n": n})]).assign(block=block)[["block", "word", "run", "n"]]
+        yield pd.DataFrame({"block": block, "word": None, "run": pd.array(code, "Int64"), "n": n})
 
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, rows = None, []
         for batch in batches:
             for number, held, text in zip(batch["block"], batch["held_out"], batch["text"]):
                 if number != block and rows:
-                    yield of_block(block, rows)
+                    yield from of_block(block, rows)
                     rows = []
                 block = number
                 rows.append((held, lowered(text)))
         if rows:
-            yield of_block(block, rows)
+            yield from of_block(block, rows)
 
     return requests
 
@@ -261,20 +262,19 @@ def _score_block(depth: int, tokens: int, distinct: int):
     base = math.log10(tokens + 0.5 * (distinct + 1))
 
     def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        is_word = told["word"].notna().to_numpy()
-        known = dict(zip(told.loc[is_word, "word"], told.loc[is_word, "value"]))
+        is_word = told["word"].notna()
+        totals = {w.encode(): int(c) for w, c in zip(told["word"][is_word], told["value"][is_word])}
         looked = told.loc[~is_word, ["run", "value"]].drop_duplicates("run")
         lookup = _Lookup(looked["run"].to_numpy(np.int64), looked["value"].to_numpy(float))
-        totals = {w.encode(): int(c) for w, c in known.items()}
-        logs = {w: math.log10(c + 0.5) - base for w, c in totals.items()}
+        log_of = {c: math.log10(c + 0.5) - base for c in set(totals.values()) | {0}}
         end = totals.get(b"", 0)
         texts = [lowered(t) for t in rows["text"]]
         n_tokens, n_known, base_score = [], [], []
         for t in texts:
-            words = t.split()
-            n_tokens.append(len(words) + 1)
-            n_known.append(sum(totals[w] > 0 for w in words) + (end > 0))
-            base_score.append(math.fsum(map(logs.__getitem__, words)) + math.log10(end + 0.5) - base)
+            counts = [*map(totals.__getitem__, t.split()), end]
+            n_tokens.append(len(counts))
+            n_known.append(len(counts) - counts.count(0))
+            base_score.append(math.fsum(map(log_of.__getitem__, counts)))
         scores, at = np.zeros(len(texts)), 0
         while at < len(texts):
             to, size = at, 0
