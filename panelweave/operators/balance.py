@@ -34,13 +34,15 @@ def balance_panel(
     length: int | None = None,
     count_na: bool = False,
     salts: Column | None = None,
+    deal: list[str] | None = None,
 ) -> DataFrame:
     """Rows of the entities that appear in every period.
 
     The panel length is computed, or given as ``length``. Entities are counted on distinct
     (entity, period) pairs, so an entity's repeated rows merge before the shuffle.
     """
-    return keyed_join(df, balanced_entities(df, entity, period, length, count_na), [entity], "left_semi", salts)
+    kept = balanced_entities(df, entity, period, length, count_na)
+    return keyed_join(df, kept, [entity], "left_semi", salts, deal=deal)
 
 
 def balance_check(df: DataFrame, entity: str, by: str, name: str = "entities", count_na: bool = False) -> DataFrame:

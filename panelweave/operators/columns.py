@@ -63,6 +63,7 @@ def first_activity(
     tenure: str = "tenure",
     age: str = "age",
     salts: Column | None = None,
+    deal: list[str] | None = None,
 ) -> DataFrame:
     """Earliest date per entity on every row, with tenure and age as calendar-year differences.
 
@@ -71,7 +72,7 @@ def first_activity(
     """
     name = first or date
     earliest = earliest_dates(df, entity, date, name)
-    dated = keyed_join(df.drop(name), earliest, [entity], "left", salts)
+    dated = keyed_join(df.drop(name), earliest, [entity], "left", salts, deal=deal)
     dated = dated.select(*(df.columns if name in df.columns else dated.columns))
     return add_years_since(dated, year, {tenure: name} | ({age: born} if born else {}))
 

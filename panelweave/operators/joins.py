@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 SALT = "__salt"
 RIGHT = "__right_"
 
-# At most this many keys can each hold the share of rows that makes a key hot.
-MAX_HOT_KEYS = 512
-SKETCH_ITEMS = 4096
+# A sketch follows this many items for each key that may be hot; its counts are off by less than rows / items.
+SKETCH_ITEMS_PER_KEY = 8
+LEAST_SKETCH_ITEMS = 4096
 SKETCH_BUCKETS = 1024
+# Limits of the sketch function itself, beyond any number of partitions in use.
+MOST_SKETCH_KEYS, MOST_SKETCH_ITEMS = 100_000, 1_000_000
 
 # Used where the session leaves the number of shuffle partitions to the cluster.
 DEFAULT_PARTITIONS = 200
@@ -49,39 +51,55 @@ def _check_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
             raise ValueError(f"join key {k!r} is {a.simpleString()} on the left and {b.simpleString()} on the right")
 
 
+def _partitions(df: DataFrame) -> int:
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return int(setting) if setting.isdigit() else DEFAULT_PARTITIONS
+
+
+def _cut(share: Column, parts: int) -> Column:
+    """Slices for a key with this share of all rows: about two for each partition's worth."""
+    return F.least(F.ceil(share * (2 * parts)), F.lit(parts)).cast("int")
+
+
 def key_salts(df: DataFrame, keys: list[str]) -> Column:
     """Map of key hash to number of slices for the hot keys of ``df``, as a scalar subquery.
 
-    One narrow pass, no shuffle of rows: each task sends one sketch, every bucket of tasks
-    reports its heaviest keys, their counts are added up, and at most ``MAX_HOT_KEYS``
-    entries remain. Measure once on a cheap table and hand the column to several operators
-    that share the key.
+    A key is hot from one partition's share of the rows on, so there are at most as many
+    as partitions. One narrow pass, no shuffle of rows: each task sends one sketch, every
+    bucket of tasks reports its heaviest keys, and their counts are added up. Measure once
+    on a cheap table and hand the column to several operators that share the key.
     """
-    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts = int(setting) if setting.isdigit() else DEFAULT_PARTITIONS
-    hot_share = max(1.0 / parts, 1.0 / MAX_HOT_KEYS)
+    return several_key_salts(df, [keys])[0]
+
+
+def several_key_salts(df: DataFrame, several: list[list[str]]) -> list[Column]:
+    """:func:`key_salts` of several keys of one table, measured in one pass over it."""
+    parts = _partitions(df)
+    most = min(max(parts, 64), MOST_SKETCH_KEYS)
+    items = min(max(SKETCH_ITEMS_PER_KEY * parts, LEAST_SKETCH_ITEMS), MOST_SKETCH_ITEMS)
     all_rows = F.struct(F.lit(None).cast("bigint").alias("item"), F.col("n").alias("count"))
-    heaviest = (
-        df.select(
-            _key_hash(df, keys).alias("h"),
-            F.pmod(F.spark_partition_id(), F.lit(SKETCH_BUCKETS)).alias("bucket"),
-        )
-        .groupBy("bucket")
-        .agg(F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count("*").alias("n"))
-        .select(F.inline(F.concat("top", F.array(all_rows))))
-        .groupBy("item")
-        .agg(F.sum("count").alias("count"))
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT_KEYS + 1)
-        .agg(
-            F.max(F.when(F.col("item").isNull(), F.col("count"))).alias("n"),
-            F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "count"))).alias("top"),
-        )
+    hashes = df.select(*[_key_hash(df, keys).alias(f"h{i}") for i, keys in enumerate(several)], F.spark_partition_id().alias("task"))
+    sketches = hashes.groupBy(F.pmod("task", F.lit(SKETCH_BUCKETS)).alias("bucket")).agg(
+        F.count("*").alias("n"), *[F.expr(f"approx_top_k(h{i}, {most}, {items})").alias(f"top{i}") for i in range(len(several))]
     )
-    share = lambda key: key["count"].cast("double") / F.col("n")
-    slices = lambda key: F.least(F.ceil(share(key) * (2 * parts)), F.lit(parts)).cast("int")
-    hot = F.transform(F.filter("top", lambda key: share(key) >= hot_share), lambda key: F.struct(key["item"], slices(key)))
-    return heaviest.select(F.map_from_entries(hot)).scalar()
+    found = []
+    for i in range(len(several)):
+        heaviest = (
+            sketches.select(F.inline(F.concat(f"top{i}", F.array(all_rows))))
+            .groupBy("item")
+            .agg(F.sum("count").alias("count"))
+            .orderBy(F.desc("count"))
+            .limit(most + 1)
+            .agg(
+                F.max(F.when(F.col("item").isNull(), F.col("count"))).alias("n"),
+                F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "count"))).alias("top"),
+            )
+        )
+        share = lambda key: key["count"].cast("double") / F.col("n")
+        is_hot = lambda key: share(key) >= 1.0 / parts
+        hot = F.transform(F.filter("top", is_hot), lambda key: F.struct(key["item"], _cut(share(key), parts)))
+        found.append(heaviest.select(F.map_from_entries(hot)).scalar())
+    return found
 
 
 def _slices(salts: Column, df: DataFrame, keys: list[str]) -> Column:
@@ -105,6 +123,7 @@ def keyed_join(
     how: str = "left",
     salts: Column | bool | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
+    deal: list[str] | None = None,
 ) -> DataFrame:
     """Join ``left`` (many rows per key) to ``right`` (few rows per key) on equal keys.
 
@@ -114,6 +133,11 @@ def keyed_join(
     ``salts`` may carry :func:`key_salts` measured elsewhere on the same keys, or ``False``
     where ``left`` is already reduced to few rows per key and needs no splitting.
 
+    Rows of a hot key are dealt by the hash of the ``deal`` columns of ``left``, by default all of
+    them. Name a few that tell rows apart, so that the others can be pruned from the scan.
+    The hash is of values and of the task's number, never random: a task that is run again
+    after a failure must deal its rows as before.
+
     Filter ``left`` before the join: a filter on the result still runs ahead of the shuffle,
     but the dealing of rows keeps it from moving on into the scan.
     """
@@ -125,14 +149,17 @@ def keyed_join(
     if how == "left_semi":
         right = right.select(*keys)
     else:
+        before = left.columns
         left, right = _disambiguate(left, right, keys, suffixes)
+        deal = None if deal is None else [after for name, after in zip(before, left.columns) if name in deal]
     out = left.columns if how == "left_semi" else left.columns + [c for c in right.columns if c not in keys]
 
     carried = [F.col(f"`{c}`").alias(RIGHT + c if c in keys else c) for c in right.columns]
     on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{RIGHT}{k}`")) for k in keys])
     if salts is not False:
         # The task number in the hash deals out rows that are copies of each other as well.
-        hashable = [f"`{f.name}`" for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+        dealing = [f for f in left.schema.fields if deal is None or f.name in deal]
+        hashable = [f"`{f.name}`" for f in dealing if not isinstance(f.dataType, T.MapType)]
         dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), _slices(salts, left, keys)).cast("int")
         carried.append(F.explode(F.sequence(F.lit(0), _slices(salts, right, keys) - 1)).alias(RIGHT + SALT))
         left = left.withColumn(SALT, dealt)

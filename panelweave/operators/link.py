@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.missing import as_column
 from panelweave.functions.periods import days_in_month, period_start
 from panelweave.operators.columns import zero_fill
-from panelweave.operators.joins import key_salts, keyed_join
+from panelweave.operators.joins import key_salts, keyed_join, several_key_salts
 from panelweave.operators.quality import percent
 
 
@@ -52,14 +52,15 @@ def link_coverage(base: DataFrame, links: list[Link], by: str, both: str | None
         stacked = stacked.unionByName(tagged(links[i].table, {rows(i): F.lit(1), known(i): known_here}))
     counts = stacked.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns]).where("__n > 0")
 
-    for i, link in enumerate(links):
-        if i not in exact:
-            per_key = link.table.groupBy(*link.keys).agg(
-                F.count("*").alias(rows(i)), F.count(link.probe).alias(known(i))
-            )
-            salts = key_salts(base, list(link.keys))
-            counts = keyed_join(counts, per_key, list(link.keys), "left", salts)
-            counts = counts.fillna(0, subset=[rows(i), known(i)])
+    # Where a link's key and ``by`` make up the whole key, a link key has one row of counts for each ``by``.
+    rest = [i for i in range(len(links)) if i not in exact]
+    wide = [i for i in rest if {by, *links[i].keys} != set(keys)]
+    measured = dict(zip(wide, several_key_salts(base, [list(links[i].keys) for i in wide]))) if wide else {}
+    for i in rest:
+        link = links[i]
+        per_key = link.table.groupBy(*link.keys).agg(F.count("*").alias(rows(i)), F.count(link.probe).alias(known(i)))
+        counts = keyed_join(counts, per_key, list(link.keys), "left", measured.get(i, False), deal=keys)
+        counts = counts.fillna(0, subset=[rows(i), known(i)])
 
     def fan_out(matched: set[int]) -> Column:
         factors = [
@@ -96,8 +97,8 @@ class Dim:
     keys: tuple[str, ...]
 
 
-def join_facts(base: DataFrame, facts: list[Fact], keys: list[str], salts: Column | None = None) -> DataFrame:
-    """Join every fact to ``base`` on one shared key.
+def join_facts(base: DataFrame, facts: list[Fact], keys: list[str], salts: Column | bool | None = None) -> DataFrame:
+    """Join every fact to ``base`` on one shared key. ``salts`` is ``False`` where the key is unique in ``base``.
 
     Facts share the key, so they are joined to each other first and meet the large base
     in a single shuffle. Without an inner fact the left joins run one after another.
@@ -144,7 +145,7 @@ def assemble_panel(
     period: str | None = None,
     month_days: str | None = None,
     rate: tuple[str, str] | None = None,
-    fact_salts: Column | None = None,
+    fact_salts: Column | bool | None = None,
     dim_salts: Column | None = None,
 ) -> DataFrame:
     """Entity-by-month panel from a base, facts on its key and descriptive tables.

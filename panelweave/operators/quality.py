@@ -58,20 +58,19 @@ def attribute_conflict_profile(df: DataFrame, entity: str, attrs: list[str], by:
 
 
 def consistent_entities(df: DataFrame, entity: str, attrs: list[str]) -> DataFrame:
-    """Entities with exactly one known value of every attribute, one row each."""
-    combos = df.select(entity, *[a for a in attrs if a != entity]).distinct()
+    """Entities with exactly one known value of every attribute, one row each: one aggregate, merged before its shuffle."""
     single = reduce(and_, [F.col(_low(a)) == F.col(_high(a)) for a in attrs])
-    return combos.groupBy(entity).agg(*_ranges(attrs)).where(single).select(entity)
+    return df.groupBy(entity).agg(*_ranges(attrs)).where(single).select(entity)
 
 
 def drop_conflicting_entities(
-    df: DataFrame, entity: str, attrs: list[str], salts: Column | None = None
+    df: DataFrame, entity: str, attrs: list[str], salts: Column | None = None, deal: list[str] | None = None
 ) -> DataFrame:
     """Keep the rows of entities with exactly one known value of every attribute.
 
     An entity whose attribute is always NULL goes too.
     """
-    return keyed_join(df, consistent_entities(df, entity, attrs), [entity], "left_semi", salts)
+    return keyed_join(df, consistent_entities(df, entity, attrs), [entity], "left_semi", salts, deal=deal)
 
 
 def key_multiplicity_profile(df: DataFrame, keys: list[str], by: str) -> DataFrame:

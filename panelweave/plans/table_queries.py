@@ -140,7 +140,7 @@ def first_activity_query(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.year("o_orderdate").alias("year")
     )
-    dated = first_activity(orders, "o_custkey", "day", "year", born="day", first="first_day")
+    dated = first_activity(orders, "o_custkey", "day", "year", born="day", first="first_day", deal=["o_orderkey"])
     return dated.select("o_orderkey", "o_custkey", "year", day_text("first_day").alias("first_day"), "tenure", "age")
 
 
@@ -325,8 +325,9 @@ def left_join_facts(spark, sf):
     )
     of_kind = lambda kind: keep_singleton_keys(events.where(F.col("event_type") == kind).drop("event_id", "event_type"), keys)
     base = events.where(F.col("event_type") == "view").drop("event_type")
-    with_clicks = keyed_join(base, of_kind("click"), keys, "left")
-    return keyed_join(with_clicks, of_kind("purchase").withColumnRenamed("value", "bought"), keys, "left")
+    salts = key_salts(base, keys)
+    with_clicks = keyed_join(base, of_kind("click"), keys, "left", salts, deal=["event_id"])
+    return keyed_join(with_clicks, of_kind("purchase").withColumnRenamed("value", "bought"), keys, "left", salts, deal=["event_id"])
 
 
 def panel_assembly(spark, sf):
@@ -358,6 +359,7 @@ def panel_assembly(spark, sf):
         period="mmyy",
         month_days="TOTAL_DAYS",
         rate=("RATE", "TOT_returned"),
+        fact_salts=False,  # one row for each order
         dim_salts=key_salts(site(orders), ["site"]),
     ).withColumns(rounded("TT_quantity", "TOT_returned", "RATE"))
 
@@ -373,12 +375,12 @@ def supplier_months(spark, sf) -> DataFrame:
 
 def balanced_computed(spark, sf):
     """Lines of suppliers that ship in every month of the panel."""
-    return balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy")
+    return balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy", deal=["l_orderkey", "l_linenumber"])
 
 
 def balanced_entities_query(spark, sf):
     """Balanced suppliers with their row and month counts."""
-    kept = balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy")
+    kept = balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy", deal=["mmyy"])
     return kept.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_distinct("mmyy").alias("n_months"))
 
 
@@ -399,20 +401,25 @@ def balanced_fixed(spark, sf):
 
 def balance_report(spark, sf):
     """Balanced suppliers per year."""
-    return balance_check(balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy"), "l_suppkey", "ship_year", "suppliers")
+    kept = balance_panel(supplier_months(spark, sf), "l_suppkey", "mmyy", deal=["ship_year"])
+    return balance_check(kept, "l_suppkey", "ship_year", "suppliers")
 
 
 def balance_retention(spark, sf):
     """Share of lines left after balancing."""
     lines = supplier_months(spark, sf)
-    return retention(balance_panel(lines, "l_suppkey", "mmyy"), lines).withColumns(rounded("retained"))
+    return retention(balance_panel(lines, "l_suppkey", "mmyy", deal=["mmyy"]), lines).withColumns(rounded("retained"))
 
 
 # Cells and reports
 
 
-def site_orders(spark, sf) -> DataFrame:
-    """Orders with customer, nation and region; contract and education stand-ins partly NULL."""
+def site_orders(spark, sf, orders_where: Column | None = None, sites_where: Column | None = None) -> DataFrame:
+    """Orders with customer, nation and region; contract and education stand-ins partly NULL.
+
+    Conditions come before the join, so that they reach the scans, and rows are dealt by price
+    alone, so that columns nobody reads stay in the files.
+    """
     sites = (
         table(spark, sf, "customer")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -420,7 +427,9 @@ def site_orders(spark, sf) -> DataFrame:
         .select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment", "n_name", "r_name")
     )
     orders = dated_orders(spark, sf).withColumn("contract", F.nullif("o_orderstatus", F.lit("P")))
-    return keyed_join(orders, sites, ["o_custkey"], "inner")
+    orders = orders if orders_where is None else orders.where(orders_where)
+    sites = sites if sites_where is None else sites.where(sites_where)
+    return keyed_join(orders, sites, ["o_custkey"], "inner", deal=["o_totalprice"])
 
 
 def site_cells(spark, sf) -> DataFrame:
@@ -498,10 +507,8 @@ def priority_parts() -> list[Variable]:
 
 def composition(spark, sf):
     """Shares of order value by priority in two segments, large orders only."""
-    rows = site_orders(spark, sf)
-    return reported(
-        composition_table(rows, "c_mktsegment", SEGMENT_LEVELS, priority_parts(), where=F.col("o_totalprice") > 2000)
-    )
+    rows = site_orders(spark, sf, orders_where=F.col("o_totalprice") > 2000)
+    return reported(composition_table(rows, "c_mktsegment", SEGMENT_LEVELS, priority_parts()))
 
 
 def report_entities(spark, sf):
@@ -512,7 +519,7 @@ def report_entities(spark, sf):
 
 def report_people(spark, sf):
     """Person-level report: differences, composition and number of customers."""
-    rows = reused(site_orders(spark, sf).where(not_in("c_mktsegment", ["FURNITURE", "HOUSEHOLD"])))
+    rows = reused(site_orders(spark, sf, sites_where=not_in("c_mktsegment", ["FURNITURE", "HOUSEHOLD"])))
     variables = [
         Variable("c_acctbal", "Balance", "General"),
         Variable("o_totalprice", "Price", "General"),
