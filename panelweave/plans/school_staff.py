@@ -12,17 +12,28 @@ from panelweave.operators.balance import balance_check, retention
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
 from panelweave.plans import fixed_values as fv
 from panelweave.plans import panels, schemas, staff
-from panelweave.sources import load_panel, read_period_files, save_report, stage_folder, staged
+from panelweave.sources import load_panel, read_period_files, remove_folder, save_report, stage_folder, staged
 
 
-def run(spark: SparkSession, raw_dir: str, out_dir: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """Read ``raw_dir``, write every panel and report under ``out_dir``, and return them by name."""
-    stages = stage_folder(spark, otherwise=f"{out_dir}/_stages")
+def run(
+    spark: SparkSession,
+    raw_dir: str,
+    out_dir: str,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+    count_na: bool = False,
+) -> dict[str, DataFrame]:
+    """Read ``raw_dir``, write every panel and report under ``out_dir``, and return them by name.
+
+    ``multi_line`` reads quoted line breaks; ``count_na`` counts missing teachers and contracts
+    as one more value in distinct counts.
+    """
+    stages = stage_folder(spark)
 
     def read(folder, schema, recursive=False, skip=0, stamp=True):
         path = f"{raw_dir}/{folder}"
         return read_period_files(
-            spark, path, schema, recursive=recursive, skip=skip, encoding=encoding if skip == 0 else "UTF-8", stamp=stamp
+            spark, path, schema, recursive=recursive, skip=skip, encoding=encoding, stamp=stamp, multi_line=multi_line
         )
 
     def stage(df, name):
@@ -69,10 +80,11 @@ def run(spark: SparkSession, raw_dir: str, out_dir: str, encoding: str = "UTF-8"
     report(balance_check(balanced, "ID_INTERNO", "YEAR", "n_teachers"), "teacher_balance")
     report(retention(balanced, teachers), "teacher_retention")
 
-    schools = panel(panels.school_panel(teachers), "school_level_unb")
+    schools = panel(panels.school_panel(teachers, count_na), "school_level_unb")
     balanced = panel(panels.balanced_schools(schools), "school_level_bal")
     report(balance_check(balanced, "CIE_ESCOLA", "YEAR", "n"), "school_balance")
 
-    report(panels.teacher_table(teachers), "teacher_table")
-    report(panels.school_table(schools), "school_table")
+    report(panels.teacher_table(teachers, count_na), "teacher_table")
+    report(panels.school_table(schools, count_na), "school_table")
+    remove_folder(spark, stages)
     return results

@@ -1,12 +1,13 @@
 """Reading period-stamped files, saving and loading panels."""
 
 from panelweave.sources.period_files import list_files, read_period_files
-from panelweave.sources.tables import load_panel, reused, save_panel, save_report, stage_folder, staged
+from panelweave.sources.tables import load_panel, remove_folder, reused, save_panel, save_report, stage_folder, staged
 
 __all__ = [
     "list_files",
     "load_panel",
     "read_period_files",
+    "remove_folder",
     "reused",
     "save_panel",
     "save_report",

@@ -35,20 +35,26 @@ def staged(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return load_panel(df.sparkSession, path, df.schema).select(*df.columns)
 
 
-def stage_folder(spark: SparkSession, otherwise: str | None = None) -> str | None:
-    """A new folder for one job's stages, inside the shared folder the session names.
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for one job's stages, in a folder that all executors share.
 
-    Where ``spark.checkpoint.dir`` is not set, the folder lies inside ``otherwise``, or
-    there is none.
+    ``spark.checkpoint.dir`` names it; where that is unset it is the warehouse, which
+    has to be shared too. There is always one, so a plan never depends on the setting.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or otherwise
-    return f"{shared.rstrip('/')}/panelweave-{uuid.uuid4().hex}" if shared else None
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+    return f"{base.rstrip('/')}/panelweave-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a stage folder once no table is read from it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def reused(df: DataFrame) -> DataFrame:
     """Write a table that several parts of a query read, so that it is computed once.
 
-    Without a shared folder the table stays lazy and is computed by each reader.
+    The write runs here, while the query is being built; the table it returns is lazy.
     """
-    folder = stage_folder(df.sparkSession)
-    return staged(df, folder) if folder else df
+    return staged(df, stage_folder(df.sparkSession))

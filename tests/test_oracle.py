@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from panelweave.plans.ingest_queries import INGEST_QUERIES
 from panelweave.plans.staff_queries import STAFF_QUERIES
 from panelweave.plans.table_queries import TABLE_QUERIES
 
@@ -34,7 +35,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted({**TABLE_QUERIES, **STAFF_QUERIES}))
+@pytest.mark.parametrize("name", sorted({**TABLE_QUERIES, **STAFF_QUERIES, **INGEST_QUERIES}))
 def test_query_equals_its_sql(spark, duck, name):
     df = queries()[name](spark, SMOKE_DIR)
     columns = sorted(df.columns)
@@ -47,5 +48,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_has_a_counterpart_and_the_entry_runs(spark):
-    assert {*TABLE_QUERIES, *STAFF_QUERIES} <= set(oracle_sql()) <= set(queries())
+    assert {*TABLE_QUERIES, *STAFF_QUERIES, *INGEST_QUERIES} <= set(oracle_sql()) <= set(queries())
     assert entry(spark).count() > 0

@@ -132,12 +132,11 @@ def test_saved_panel_reads_only_the_years_asked_for(spark, collect, tmp_path):
 
 
 def test_stages_go_to_the_folder_the_session_names():
-    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/x/"})
-    first, second = stage_folder(named, "/out"), stage_folder(named, "/out")
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/x/", "spark.sql.warehouse.dir": "/wh"})
+    first, second = stage_folder(named), stage_folder(named)
     assert first.startswith("/shared/x/panelweave-") and first != second
-    unnamed = SimpleNamespace(conf={})
-    assert stage_folder(unnamed, "/out").startswith("/out/panelweave-")
-    assert stage_folder(unnamed) is None
+    unnamed = SimpleNamespace(conf={"spark.sql.warehouse.dir": "/wh/"})
+    assert stage_folder(unnamed).startswith("/wh/_stages/panelweave-")
 
 
 def test_table_with_several_readers_is_the_same_table(spark, collect):
