@@ -331,3 +331,21 @@ def test_quality_reports(job):
 def test_outputs_are_partitioned_by_year(job):
     _, _, root = job
     assert {p.name for p in (root / "out" / "teacher_level_unb").iterdir() if p.is_dir()} == {f"YEAR=20{y}" for y in (21, 22, 23, 24)}
+
+
+def test_distinct_counts_with_missing_contracts_in_both_modes(spark, job):
+    """A contract type outside the table is missing; ``count_na`` counts it as one more value, as ``unique`` does."""
+    from panelweave.plans import panels
+
+    _, results, _ = job
+    teachers = results["teacher_level_unb"]
+    assert teachers.where("CATEG_corr IS NULL").count() > 0
+    keys = ["YEAR", "CIE_ESCOLA", "CO_MUNICIPIO", "NO_CATEGORIA"]
+    missing = {tuple(r) for r in teachers.where("CATEG_corr IS NULL").select(*keys).distinct().collect()}
+    plain, with_na = (
+        {tuple(r[k] for k in keys): (r["n_temp"], r["n_efet"]) for r in panels.school_panel(teachers, mode).collect()}
+        for mode in (False, True)
+    )
+    for cell, (temporary, permanent) in plain.items():
+        more = int(cell in missing)
+        assert with_na[cell] == (temporary + more, permanent + more)
