@@ -105,3 +105,14 @@ PUPILS_PER_TEACHER = "Pupil-teacher ratio"
 DROPOUT_RATE = "Dropout rate"
 SOCIAL_INDEX = "INSE"
 SCHOOLS_COUNTED = "N (schools)"
+
+# Education labels and contract codes, as the raw files write them, that stand in for order priorities
+# (by their first digit) where a query derives staff tables from orders.
+STAND_IN_LABELS = {
+    "1": "LICENCIATURA-PLENA + MESTRADO",
+    "2": "ENSINO MÉDIO",
+    "3": "BACHARELADO/TECNÓLOGO+ESPECIALIZAÇÃO",
+    "4": "S/INFO",
+    "5": "CURSO LIVRE+DOUTORADO",
+}
+STAND_IN_CONTRACTS = {"1": "A", "2": "O", "3": "O", "4": "P"}

@@ -72,6 +72,7 @@ def balanced_teachers(panel: DataFrame) -> DataFrame:
 def school_panel(panel: DataFrame, count_na: bool = False) -> DataFrame:
     """Unbalanced school-by-year panel."""
     contract, education = F.col("CATEG_corr"), F.col("NIVEL_FORMACAO")
+    # The names are those that readers of the panel expect.
     metrics = [
         cells.entities("n_prof", count_na=count_na),
         cells.total("dias_aus_totais", "TOT_DIAS_AUSENCIAS"),

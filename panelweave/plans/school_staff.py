@@ -51,7 +51,7 @@ def run(
 
     rows = stage(staff.active_rows(read(fv.ACTIVE_DIR, schemas.ACTIVE)), "active_rows")
     records = stage(staff.active_records(rows), "active_records")
-    report(attribute_conflict_profile(records, "ID_INTERNO", staff.TEACHER_TRAITS, by="YEAR"), "active_conflicts")
+    report(attribute_conflict_profile(records, "ID_INTERNO", staff.LASTING_TRAITS, by="YEAR"), "active_conflicts")
     active = stage(staff.clean_active(records, rows), "active")
 
     records = stage(staff.absence_records(read(fv.ABSENCE_DIR, schemas.ABSENCES, recursive=True)), "absence_records")

@@ -13,7 +13,7 @@ from panelweave.operators.joins import keyed_join
 from panelweave.operators.quality import consistent_entities, keep_singleton_keys
 from panelweave.plans import fixed_values as fv
 
-TEACHER_TRAITS = ["ID_COR", "SEXO", "DATA_NASCIMENTO"]
+LASTING_TRAITS = ["ID_COR", "SEXO", "DATA_NASCIMENTO"]
 FIRST_DAY = "DATA_INICIO_EXERCICIO_E"
 TEACHER_MONTH_SCHOOL = ["YEAR", "DATE", "ID_INTERNO", "CIE_ESCOLA"]
 
@@ -37,7 +37,7 @@ def clean_active(records: DataFrame, rows: DataFrame, salts: Column | None = Non
     joined to each other first and the records are shuffled once for both.
     """
     first = earliest_dates(rows, "ID_INTERNO", FIRST_DAY)
-    agreeing = consistent_entities(records, "ID_INTERNO", TEACHER_TRAITS)
+    agreeing = consistent_entities(records, "ID_INTERNO", LASTING_TRAITS)
     people = keyed_join(first, agreeing, ["ID_INTERNO"], "left_semi", salts=False)
     kept = keyed_join(records, people, ["ID_INTERNO"], "inner", salts)
     kept = add_years_since(kept, "YEAR", {"ANOS_ATIVIDADE": FIRST_DAY, "IDADE": "DATA_NASCIMENTO"})

@@ -15,20 +15,11 @@ from pyspark.sql import functions as F
 from panelweave.functions.periods import period_of
 from panelweave.operators.joins import key_salts, keyed_join
 from panelweave.operators.quality import attribute_conflict_profile, key_multiplicity_profile
+from panelweave.plans import fixed_values as fv
 from panelweave.plans import panels, staff
 from panelweave.plans.table_queries import reported, rounded, table
 from panelweave.sources import reused
 
-CREDENTIALS = {
-    "1": "LICENCIATURA-PLENA + MESTRADO",
-    "2": "ENSINO MÉDIO",
-    "3": "BACHARELADO/TECNÓLOGO+ESPECIALIZAÇÃO",
-    "4": "S/INFO",
-    "5": "CURSO LIVRE+DOUTORADO",
-}
-CONTRACTS = {"1": "A", "2": "O", "3": "O", "4": "P"}
-
-
 def by_priority(values: dict[str, str], otherwise: Column) -> Column:
     first = F.left(F.col("o_orderpriority"), F.lit(1))
     result = F
@@ -89,7 +80,7 @@ class StaffTables:
             "YEAR",
             "ID_INTERNO",
             F.col("UNIT").alias("UAC"),
-            by_priority(CONTRACTS, F.when(status != "F", F.lit("D"))).alias("CATEG_E"),
+            by_priority(fv.STAND_IN_CONTRACTS, F.when(status != "F", F.lit("D"))).alias("CATEG_E"),
             F.when(F.col("c_acctbal") >= 0, F.when(segment.isin("BUILDING", "FURNITURE"), "F").otherwise("M")).alias("SEXO"),
             F.when(F.col("o_totalprice") > 499000, "N").otherwise(F.coalesce(usual_race, F.lit("B"))).alias("ID_COR"),
             F.concat(date_text(born), F.lit(" 00:00")).alias("DATA_NASCIMENTO"),
@@ -105,7 +96,7 @@ class StaffTables:
             "ID_INTERNO",
             "CIE_ESCOLA",
             F.col("UNIT").alias("UA_EXERC"),
-            by_priority(CREDENTIALS, F.lit(None)).alias("FORMACAO"),
+            by_priority(fv.STAND_IN_LABELS, F.lit(None)).alias("FORMACAO"),
         )
 
     @cached_property
@@ -246,7 +237,7 @@ def staff_active(spark, sf):
 def staff_active_conflicts(spark, sf):
     """Teacher records per year whose teacher changes race, sex or birth date."""
     records = StaffTables(spark, sf).active_records
-    return attribute_conflict_profile(records, "ID_INTERNO", staff.TEACHER_TRAITS, by="YEAR")
+    return attribute_conflict_profile(records, "ID_INTERNO", staff.LASTING_TRAITS, by="YEAR")
 
 
 def staff_education(spark, sf):
