@@ -10,7 +10,7 @@ with others is the centre, and the others are compared with it by signature:
 
 * at 0.3 or more they join its family; at 0.65 or more they also leave the bucket;
 * a bucket whose remaining members all joined the same centre is done;
-* of the others, the members outside the commonest family become centres, up to 16 at a time, and
+* of the others, the members outside the commonest family become centres, up to 64 at a time, and
   leave after they have met the rest, until no bucket has two families left.
 
 One minus the similarity is a metric, so two sets of similarity 0.85 differ by at most 0.15 in their
@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from panelweave.llm.common import Stages
 from panelweave.llm.components import components
+from panelweave.operators.joins import keyed_join
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 24, 5, 4
@@ -47,7 +48,7 @@ FAMILY, LEAVE = 0.3, 0.65
 #: A pair whose signatures estimate less than this is not compared on full sets.
 ESTIMATE_FLOOR = 0.66
 #: Centres that a bucket gets in each round after the first.
-CENTRES = 16
+CENTRES = 64
 #: Members of a family that one side of a comparison block holds.
 BLOCK = 512
 #: Words whose hashes a worker remembers.
@@ -271,7 +272,8 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
     heads = sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("centre_shingles"))
     size, other = F.size("shingles"), F.size("centre_shingles")
     both = F.size(F.array_intersect("shingles", "centre_shingles"))
-    measured = sets.join(lead.join(heads, "centre"), "family")
+    # One family may hold a third of the rows: its members are dealt over several tasks.
+    measured = keyed_join(sets, lead.join(heads, "centre"), ["family"], "inner", deal=["doc"])
     placed = stages.write(
         measured.select("doc", "family", "centre", "shingles", "bits", both.alias("both"), (size + other - both).alias("all")), "placed"
     )
@@ -281,14 +283,14 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
     # Zone 0 is what is linked to the centre; others lie one zone for each (100 - percent) hundredths further out.
     zone = F.when(100 * F.col("both") >= percent * F.col("all"), 0).otherwise(F.floor(100 * (F.col("all") - F.col("both")) / F.col("all") / (100 - percent))).cast("int")
     zoned = placed.select("doc", "family", "shingles", "bits", zone.alias("zone"))
-    # A family without members outside zone 0 is done.
-    open_families = zoned.where("zone > 0").select("family").distinct()
-    zoned = zoned.join(open_families, "family", "left_semi")
     blocks = zoned.groupBy("family", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    zoned = zoned.join(blocks, ["family", "zone"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # A family without members outside zone 0 is done.
+    open_families = blocks.groupBy("family").agg(F.max("zone").alias("last")).where("last > 0").select("family")
     following = blocks.select("family", (F.col("zone") - 1).alias("zone"), F.col("blocks").alias("next_blocks"))
     before = blocks.select("family", (F.col("zone") + 1).alias("zone"), F.col("blocks").alias("last_blocks"))
-    dealt = zoned.join(following, ["family", "zone"], "left").join(before, ["family", "zone"], "left")
+    around = blocks.join(open_families, "family").join(following, ["family", "zone"], "left").join(before, ["family", "zone"], "left")
+    dealt = keyed_join(zoned, around, ["family", "zone"], "inner", deal=["doc"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
 
     def cells(count: str, low_zone, low_block, high_block):
         span = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
