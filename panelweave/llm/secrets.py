@@ -6,12 +6,14 @@ against uniform random symbols of that alphabet: a chi-squared test of the symbo
 runs test about the middle of the alphabet, and the serial correlation of neighbours. The
 three p-values combine by Bonferroni's rule into one.
 
-Any run of few symbols can look random, so a span counts only where the error is under control:
-runs that mix digits with letters are candidates, runs of letters in one case are words and
-serve as decoys. Within a class of like lengths, a candidate is taken at the lowest threshold
-of p at which the share of decoys that pass, those of shorter classes included, is at most ``error`` times
-the share of candidates that pass; without decoys none is taken. The counts cover all rows; they
-are held by class of length and hundredth of p.
+Any run of few symbols can look random, so a span counts only where the error is under control.
+The tests reject what is regular (p under ``REGULAR``); for the rest, the probability of the run under
+uniform symbols, divided by that under a fixed model of word-like text (words, names, slugs,
+paths, dates and counters), is its evidence. The mean of that ratio over word-like text is one, so
+its inverse is a p-value, and Benjamini and Hochberg's rule over all candidates holds the false
+discoveries at ``error`` however the runs depend on each other. The model does not come from
+the rows, so one key in a small text can be found. Counts cover all rows; they are held by tenth
+of the evidence's decimal logarithm.
 
 Spans count code points, the end left out. NULL and empty texts have no spans; repeated rows
 each get the spans of their text.
@@ -19,6 +21,9 @@ each get the spans of their text.
 
 from __future__ import annotations
 
+from functools import cache
+from math import log10
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +48,49 @@ ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 ERROR = 0.05
-#: Lower ends of the classes of length after the first.
-LENGTHS = (24, 32, 40, 64, 128)
+#: A run that the battery finds less probable than this among uniform symbols is regular.
+REGULAR = 0.001
+#: Tenths of the evidence's decimal logarithm that are told apart.
+LEVELS = 600
+
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+#: Word-like text: letters in a thousand (European languages together), and what kind of symbol follows which.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (75, 16, 30, 42, 120, 16, 20, 35, 73, 8, 18, 43, 27, 72, 60, 22, 5, 64, 62, 62, 46, 14, 18, 4, 18, 18)))
+FOLLOWS = {
+    "vowel": {"vowel": 0.16, "consonant": 0.72, "digit": 0.04, "mark": 0.08},
+    "consonant": {"vowel": 0.52, "consonant": 0.36, "digit": 0.04, "mark": 0.08},
+    "digit": {"vowel": 0.05, "consonant": 0.10, "digit": 0.70, "mark": 0.15},
+    "mark": {"vowel": 0.25, "consonant": 0.50, "digit": 0.15, "mark": 0.10},
+}
+MARKS = {"+": 0.05, "/": 0.25, "-": 0.35, "_": 0.35}
+#: Share of uniform symbols in word-like text.
+STRAY = 0.05
+
+
+def _kind(symbol: str) -> str:
+    if symbol in MARKS:
+        return "mark"
+    return "digit" if symbol.isdigit() else "vowel" if symbol.lower() in "aeiouy" else "consonant"
+
+
+def _word_like(before: str, symbol: str) -> float:
+    """Probability of a symbol after another in word-like text."""
+    kind = _kind(symbol)
+    share = FOLLOWS[_kind(before)][kind]
+    if kind == "mark":
+        return share * (0.7 * (symbol == before) + 0.3 / len(MARKS) if before in MARKS else MARKS[symbol])
+    if kind == "digit":
+        # Zeros and repeated or counted digits within numbers, years and small numbers at their start.
+        usual = 0.3 * (symbol == before) + 0.2 * (int(symbol) == (int(before) + 1) % 10) if before.isdigit() else 0.25 * (symbol in "12")
+        return share * (0.035 + 0.15 * (symbol == "0") + usual)
+    upper = 0.05 if before.islower() else 0.75 if before.isupper() else 0.35
+    return share * LETTERS[symbol.lower()] / sum(w for c, w in LETTERS.items() if _kind(c) == kind) * (upper if symbol.isupper() else 1 - upper)
+
+
+@cache
+def _word_table() -> str:
+    """Decimal logarithms of the probabilities of all pairs of symbols, row by row of the first."""
+    return " ".join(f"{log10((1 - STRAY) * _word_like(x, y) + STRAY / len(SYMBOLS)):.4f}" for x in SYMBOLS for y in SYMBOLS)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -101,57 +147,63 @@ def p_value(symbols: Column, size: Column) -> Column:
     return let(symbols, lambda x: let(F.size(x).cast("double"), lambda n: battery(x, n)))
 
 
+def evidence(run: Column, size: Column) -> Column:
+    """Decimal logarithm of how much more probable a run is under ``size`` uniform symbols than in word-like text; the choice of alphabet is allowed for."""
+    table = F.split(F.lit(_word_table()), " ").cast("array<double>")
+
+    def word_like(x: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(x, i - 1), F.lit(SYMBOLS.index("-")))
+        each = F.transform(x, lambda y, i: F.get(table, before(i) * len(SYMBOLS) + y))
+        return F.aggregate(each, F.lit(0.0), lambda a, y: a + y)
+
+    places = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(SYMBOLS)) - 1)
+    return -F.char_length(run) * F.log10(size) - let(places, word_like) - log10(len(ALPHABETS))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every long run of ``docs`` (doc_id, text_hash): start, end, encoding, whether it is a decoy, length class, p."""
+    """Every long run of ``docs`` (doc_id, text_hash): start, end, encoding, p, and evidence, 0 where the run is regular."""
     runs = docs.select("doc_id", "text_hash", F.explode(matches(F.col("text"), RUN)).alias("m")).select("doc_id", "text_hash", "m.*")
     run = F.col("match")
-    letters = run.rlike("^[A-Za-z]?(?:[a-z]+|[A-Z]+)$")
     mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
     encoding, alphabet = F.lit("other"), F.lit(ALPHABETS[-2][1])
     for name, symbols in reversed(ALPHABETS):
         only = run.rlike(f"^[{symbols.replace('-', '')}{'-' if '-' in symbols else ''}]+$")
         encoding, alphabet = F.when(only, F.lit(name)).otherwise(encoding), F.when(only, F.lit(symbols)).otherwise(alphabet)
-    wide = F.lit(len(LENGTHS))
-    for k, low in reversed(list(enumerate(LENGTHS))):
-        wide = F.when(F.char_length(run) < low, F.lit(k)).otherwise(wide)
-    found = runs.where(letters | mixed).select(
-        "doc_id", "text_hash", "start", (F.col("start") + F.char_length(run)).alias("end"), "match", letters.alias("decoy"),
-        encoding.alias("encoding"), alphabet.alias("alphabet"), wide.alias("class"),
+    found = runs.where(mixed).select(
+        "doc_id", "text_hash", "start", (F.col("start") + F.char_length(run)).alias("end"), "match", encoding.alias("encoding"), alphabet.alias("alphabet")
     )
     places = F.transform(F.split("match", ""), lambda c: F.position(c, F.col("alphabet")) - 1)
-    known = found.where(F.col("encoding") != "other")
-    return known.withColumn("p", p_value(places, F.char_length("alphabet").cast("double"))).drop("match", "alphabet")
+    size = F.char_length("alphabet").cast("double")
+    known = found.where(F.col("encoding") != "other").withColumn("p", p_value(places, size))
+    likely = F.when(F.col("p") >= REGULAR, F.greatest(evidence(run, size), F.lit(0.0))).otherwise(F.lit(0.0))
+    return known.withColumn("evidence", likely).drop("match", "alphabet")
 
 
-def thresholds(found: DataFrame, error: float = ERROR) -> DataFrame:
-    """For each class of length the least hundredth of p from which on runs are taken as random; classes without one are left out."""
-    level = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(F.col("p") * 100))).cast("int")
-    counts = found.groupBy("class", level.alias("level")).agg(
-        F.sum(F.col("decoy").cast("long")).alias("decoys"), F.sum((~F.col("decoy")).cast("long")).alias("others")
-    )
-    # Longer runs are told apart more surely, so that shorter decoys stand in for longer ones; a few hundred rows at most.
-    onward = counts.withColumn("to", F.explode(F.sequence(F.col("class"), F.lit(len(LENGTHS)))))
-    others = F.when(F.col("to") == F.col("class"), F.col("others")).otherwise(F.lit(0).cast("long"))
-    bins = F.collect_list(F.struct("level", "decoys", others.alias("others")))
-    by_class = onward.groupBy(F.col("to").alias("class")).agg(bins.alias("bins"))
+def _level() -> Column:
+    return F.least(F.lit(LEVELS), F.floor(F.col("evidence") * 10)).cast("int")
+
+
+def threshold(found: DataFrame, error: float = ERROR) -> DataFrame:
+    """The least level of evidence from which on runs are taken as random, in one row; none without such a level."""
+    counts = found.groupBy(_level().alias("level")).agg(F.count("*").alias("n"))
+    # At most LEVELS rows, whatever the input.
+    bins = counts.agg(F.collect_list(F.struct("level", "n")).alias("bins"))
 
-    def total(bins: Column, name: str) -> Column:
-        return F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b[name])
+    def total(bins: Column) -> Column:
+        return F.aggregate(bins, F.lit(0).cast("long"), lambda a, b: a + b["n"])
 
     def holds(t: Column) -> Column:
-        passing = F.filter("bins", lambda b: b["level"] >= t)
-        decoy_share = (total(passing, "decoys") + 1) / (total(F.col("bins"), "decoys") + 1)
-        share = total(passing, "others") / F.greatest(total(F.col("bins"), "others"), F.lit(1))
-        return (total(passing, "others") > 0) & (decoy_share <= error * share)
+        passing = total(F.filter("bins", lambda b: b["level"] >= t))
+        return (passing > 0) & (passing * F.pow(F.lit(10.0), t / 10) * error >= total(F.col("bins")))
 
-    cut = F.get(F.filter(F.sequence(F.lit(1), F.lit(100)), holds), F.lit(0))
-    return by_class.select("class", cut.alias("cut")).where(F.col("cut").isNotNull())
+    cut = F.get(F.filter(F.sequence(F.lit(1), F.lit(LEVELS)), holds), F.lit(0))
+    return bins.select(cut.alias("cut")).where(F.col("cut").isNotNull())
 
 
 def random_spans(docs: DataFrame, error: float = ERROR) -> DataFrame:
     """Documents (doc_id, text_hash) with ``found``, the (start, rank, end) of runs taken as random."""
     found = candidates(docs)
-    taken = found.where(~F.col("decoy")).join(thresholds(found, error), "class").where(F.floor(F.col("p") * 100) >= F.col("cut"))
+    taken = found.crossJoin(threshold(found, error)).where(_level() >= F.col("cut"))
     span = F.struct(F.col("start"), F.lit(KINDS.index("random")).alias("rank"), F.col("end"))
     return taken.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("found"))
 

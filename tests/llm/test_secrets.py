@@ -74,3 +74,17 @@ def test_empty_and_repeated(spark, docs_table):
     docs = docs_table([(None, "token=abcdefg1"), (None, "token=abcdefg1")])
     assert [r["spans"] for r in scanned(docs).collect()] == ["assign:0:14"] * 2
     assert scanned(docs.limit(0)).collect() == []
+
+
+def test_one_key_without_long_words_and_among_many_slugs(spark, docs_table):
+    rng = random.Random(11)
+    key = base64.b64encode(rng.randbytes(30)).decode()
+    lone = [(1, f"see {key} here"), (2, "short words only")]
+    assert {r["doc_id"]: r["spans"] for r in scanned(docs_table(lone)).collect()} == {1: "random:4:44", 2: ""}
+    slugs = [f"posts-{rng.randrange(2000, 2025)}-how-to-{'-'.join(rng.choices(['make', 'paint', 'find', 'repair', 'garden'], k=4))}" for _ in range(300)]
+    rows = lone + [(10 + i, f"see {s} here") for i, s in enumerate(slugs)] + [(3, "abcdefghijklmnopqrstuvwxyz0123456789")]
+    assert {r["doc_id"]: r["spans"] for r in scanned(docs_table(rows)).collect() if r["spans"]} == {1: "random:4:44"}
+
+
+def test_word_like_probabilities_sum_to_one():
+    assert all(abs(sum(secrets._word_like(x, y) for y in secrets.SYMBOLS) - 1) < 1e-9 for x in secrets.SYMBOLS)
