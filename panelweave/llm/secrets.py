@@ -1,10 +1,11 @@
 """Secret scans: known patterns, and strings that pass a battery of randomness tests.
 
 ``base_spans`` finds assignments, access keys and hex strings by pattern. ``random_spans`` takes
-every run of 20 or more characters of the base64 alphabets, infers its encoding, and tests it
-against uniform random symbols of that alphabet: a chi-squared test of the symbol counts, a
-runs test about the middle of the alphabet, and the serial correlation of neighbours. The
-three p-values combine by Bonferroni's rule into one.
+every run of 20 or more characters of base64, of base64url and of letters and digits alone, infers its
+encoding, and tests it against uniform random symbols of that alphabet: a chi-squared test of the
+symbol counts, a runs test about the middle of the alphabet, and the serial correlation of
+neighbours. The three p-values combine by Bonferroni's rule into one. Of runs that overlap and are
+taken, the one of the most evidence stays, so that a key behind a path or a prefix is found as such.
 
 Any run of few symbols can look random, so a span counts only where the error is under control.
 The tests reject what is regular (p under ``REGULAR``); for the rest, the probability of the run under
@@ -37,13 +38,19 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_SECRET = 6
 
 RUN = r"[A-Za-z0-9+/_-]{20,}"
+#: What is tested of a run: its longest parts in one alphabet, and those between any marks.
+PARTS = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 #: Alphabets from narrow to wide; the first that holds every symbol is the encoding.
 ALPHABETS = (
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
@@ -161,21 +168,23 @@ def evidence(run: Column, size: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every long run of ``docs`` (doc_id, text_hash): start, end, encoding, p, and evidence, 0 where the run is regular."""
-    runs = docs.select("doc_id", "text_hash", F.explode(matches(F.col("text"), RUN)).alias("m")).select("doc_id", "text_hash", "m.*")
-    run = F.col("match")
-    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-    encoding, alphabet = F.lit("other"), F.lit(ALPHABETS[-2][1])
-    for name, symbols in reversed(ALPHABETS):
-        only = run.rlike(f"^[{symbols.replace('-', '')}{'-' if '-' in symbols else ''}]+$")
+    """Every long part of a run of ``docs`` (doc_id, text_hash): the run's place, start, end, encoding, p, and evidence, 0 where the part is regular."""
+    runs = docs.select("doc_id", "text_hash", F.explode(matches(F.col("text"), RUN)).alias("whole"))
+    parts = F.array_distinct(F.concat(*[matches(F.col("whole.match"), part) for part in PARTS]))
+    found = runs.select("doc_id", "text_hash", F.col("whole.start").alias("run"), F.explode(parts).alias("m"))
+    run = F.col("m.match")
+    encoding, alphabet = F.lit(ALPHABETS[-1][0]), F.lit(ALPHABETS[-1][1])
+    for name, symbols in reversed(ALPHABETS[:-1]):
+        only = run.rlike(f"^[{symbols}]+$")
         encoding, alphabet = F.when(only, F.lit(name)).otherwise(encoding), F.when(only, F.lit(symbols)).otherwise(alphabet)
-    found = runs.where(mixed).select(
-        "doc_id", "text_hash", "start", (F.col("start") + F.char_length(run)).alias("end"), "match", encoding.alias("encoding"), alphabet.alias("alphabet")
+    start = F.col("run") + F.col("m.start")
+    found = found.select(
+        "doc_id", "text_hash", "run", start.alias("start"), (start + F.char_length(run)).alias("end"), run.alias("match"), encoding.alias("encoding"), alphabet.alias("alphabet")
     )
     places = F.transform(F.split("match", ""), lambda c: F.position(c, F.col("alphabet")) - 1)
     size = F.char_length("alphabet").cast("double")
-    known = found.where(F.col("encoding") != "other").withColumn("p", p_value(places, size))
-    likely = F.when(F.col("p") >= REGULAR, F.greatest(evidence(run, size), F.lit(0.0))).otherwise(F.lit(0.0))
+    known = found.withColumn("p", p_value(places, size))
+    likely = F.when(F.col("p") >= REGULAR, F.greatest(evidence(F.col("match"), size), F.lit(0.0))).otherwise(F.lit(0.0))
     return known.withColumn("evidence", likely).drop("match", "alphabet")
 
 
@@ -204,8 +213,15 @@ def random_spans(docs: DataFrame, error: float = ERROR) -> DataFrame:
     """Documents (doc_id, text_hash) with ``found``, the (start, rank, end) of runs taken as random."""
     found = candidates(docs)
     taken = found.crossJoin(threshold(found, error)).where(_level() >= F.col("cut"))
-    span = F.struct(F.col("start"), F.lit(KINDS.index("random")).alias("rank"), F.col("end"))
-    return taken.groupBy("doc_id", "text_hash").agg(F.collect_set(span).alias("found"))
+    parts = F.sort_array(F.collect_set(F.struct("evidence", "start", "end")), asc=False)
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+
+    def step(a: Column, s: Column) -> Column:
+        span = F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), s["end"].alias("end"))
+        return F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.concat(a, F.array(span)))
+
+    apart = taken.groupBy("doc_id", "text_hash", "run").agg(F.aggregate(parts, none, step).alias("spans"))
+    return apart.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("found"))
 
 
 def scan(docs: DataFrame, error: float = ERROR) -> DataFrame:

@@ -88,3 +88,20 @@ def test_one_key_without_long_words_and_among_many_slugs(spark, docs_table):
 
 def test_word_like_probabilities_sum_to_one():
     assert all(abs(sum(secrets._word_like(x, y) for y in secrets.SYMBOLS) - 1) < 1e-9 for x in secrets.SYMBOLS)
+
+
+def test_keys_of_any_symbols_and_behind_paths(spark, docs_table):
+    rng = random.Random(5)
+
+    def made(symbols, n):
+        return "".join(rng.choices(symbols, k=n))
+
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    standard = made(lower + lower.upper() + digits, 15) + "/" + made(lower + digits, 9) + "+" + made(lower.upper() + digits, 12)
+    keys = [made(lower + lower.upper(), 32), made(digits, 23), made(lower.upper(), 30), made(lower, 40), standard]
+    plain = [(i, f"see {key} here") for i, key in enumerate(keys)]
+    behind = [(10, "see /v1_keys/" + keys[0]), (11, "see live_" + standard), (12, "see /v1/" + made(lower + digits, 14) + "_" + made(lower.upper() + digits, 14) + "-x")]
+    words = [(20, " ".join(WORDS)), (21, "INTERNATIONALIZATION"), (22, "0" * 23), (23, "-" * 30 + "+" * 30), (24, "/usr/local/share/some_long_name-of-a-file/with/parts")]
+    got = {r["doc_id"]: r["text"][4 : int(r["spans"].split(":")[2])] if r["doc_id"] < 10 else r["spans"] for r in scanned(docs_table(plain + behind + words)).collect() if r["spans"]}
+    # A prefix in the key's own alphabet may count as a part of it.
+    assert got == dict(enumerate(keys)) | {10: "random:13:45", 11: "random:9:47", 12: "random:8:39"}
