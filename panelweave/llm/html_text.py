@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import ship
 
-#: A subtree is a template part from so many different main texts of its host on, and from this share of them on.
+#: A subtree is a template part from so many different main texts of its host on, however many the host has.
 MIN_PAGES = 10
-MIN_SHARE = 0.05
 
 # Fixed element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -234,15 +233,14 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out})
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url and text of every row of ``pages`` (page_id, url, html); other columns are left out."""
     ship(pages.sparkSession)
     body = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", body).alias("key"))
     seen = keyed.select("host", "key", "html").mapInPandas(_subtrees, "host string, key long, main long, subtree long")
     beside = seen.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    sites = seen.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    templates = beside.where(F.col("n") >= min_pages).join(sites, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    templates = beside.where(F.col("n") >= min_pages).select("host", "subtree")
     found = seen.select("host", "key", "subtree").join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates"))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
     return keyed.join(found, "key", "left").select("page_id", "url", "html", "templates").mapInPandas(_texts, schema)

@@ -60,3 +60,11 @@ def test_odd_rows(spark):
     assert table.columns == ["page_id", "url", "text"]
     assert sorted(((r["page_id"], r["text"]) for r in table.collect()), key=str) == sorted([(1, ""), (1, ""), (None, "a"), (2, ""), (3, "b")], key=str)
     assert ht.extract(rows(spark, []).limit(0)).collect() == []
+
+
+def test_the_box_of_one_section_goes_on_hosts_of_any_size(spark):
+    box = "<div><div>News of the section</div></div>"
+    for n in (40, 600):
+        pages = [(i, f"https://big.example/{i}", f"<article><div>Own {i}</div>{box if i < 12 else ''}</article>") for i in range(n)]
+        got = {r["page_id"]: r["text"] for r in ht.extract(rows(spark, pages)).collect()}
+        assert got == {i: f"Own {i}" for i in range(n)}
