@@ -5,7 +5,7 @@ DataFrame. ``run`` writes each stage as Parquet in the session's shared folder a
 as the next one's ``docs``, so a lost executor costs the tasks of one stage.
 
 1. ``toxicity`` fits on the labels of all documents that ``docs`` still holds and drops what scores 0.5 or more.
-2. ``near_dedup`` keeps one document of each group of near-duplicates, that of the least id.
+2. ``near_dedup`` keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that of the least id.
 3. ``decontamination`` drops documents that share a window with a benchmark item.
 4. ``secrets`` keeps every document, puts a mark in place of secrets in its text, and counts n_chars again.
 5. ``packing`` cuts and packs the texts; its rows are the pieces with their sequences.
@@ -26,6 +26,8 @@ from panelweave.llm import decontamination, near_dedup, packing, secrets, toxici
 from panelweave.llm.common import Stages, ship
 
 TOXIC_FROM = 0.5
+#: Percent of shared five-word shingles from which on documents are near-duplicates; the query op6 has its own.
+SIMILAR_FROM = 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.without_near_duplicates(docs)
+    return near_dedup.without_near_duplicates(docs, SIMILAR_FROM)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

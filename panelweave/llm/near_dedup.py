@@ -1,27 +1,28 @@
 """Near-duplicates by b-bit MinHash.
 
 A document is the set of its five-word shingles. Equal sets collapse to one representative.
-Each representative has 120 minima. Bands of five whole minima give the candidates; of each
-minimum four bits are packed into a signature, and the share of equal bits, corrected for equality
+Each representative has 120 minima. Bands of five whole minima (at a threshold of 85 percent; of fewer at
+lower ones) give the candidates; of each minimum four bits are packed into a signature, and the share of equal bits, corrected for equality
 by chance, estimates the similarity of two representatives.
 
 No bucket is expanded into pairs. In each bucket the representative that shares the most buckets
 with others is the centre, and the others are compared with it by signature:
 
-* at 0.3 or more they join its family; at 0.65 or more they also leave the bucket;
+* at 0.3 or more they join its family; at 0.65 or more (at 85 percent) they also leave the bucket;
 * a bucket whose remaining members all joined the same centre is done;
 * of the others, the members outside the commonest family become centres, up to 64 at a time, and
   leave after they have met the rest, until no bucket has two families left.
 
 One minus the similarity is a metric, so two sets of similarity 0.85 differ by at most 0.15 in their
-distance from any third; a pair that is to be linked thus always lands in one family. In a family
+distance from any third (of any other threshold likewise); a pair that is to be linked thus always lands in one family. In a family
 the exact distance from its centre deals the members to zones 0.15 wide. Members of zone 0 are
 linked to the centre and need no more comparison among each other; others can be linked
 only within their zone and the next one, which are compared block by block: by signature first,
 then on full sets, each block reporting a spanning forest of its links.
 
-Two documents of similarity 0.85 share no band with a probability below one in a million; the signature
-bounds (0.19 below the threshold) miss a link with a similar one.
+Two documents at the threshold share no band with a probability below one in a million; the signature
+bounds (5.6 standard errors below the threshold, 0.19 at 85 percent) miss a link with a similar one.
+All figures for 85 percent follow from the threshold by ``rows_of_band``, ``leave_from`` and ``estimate_floor``.
 
 NULL ids link with nothing and have a NULL component; NULL or empty texts have no shingles and are
 linked with nothing. Rows are linked by their texts, also where ids repeat.
@@ -42,11 +43,13 @@ from panelweave.llm.components import components
 from panelweave.operators.joins import keyed_join
 
 SHINGLE = 5
-BANDS, ROWS, BITS = 24, 5, 4
+MINIMA, BITS = 120, 4
 THRESHOLD = 85  # percent
-FAMILY, LEAVE = 0.3, 0.65
-#: A pair whose signatures estimate less than this is not compared on full sets.
-ESTIMATE_FLOOR = 0.66
+#: Thresholds that the bounds below cover.
+THRESHOLDS = range(60, 100)
+FAMILY = 0.3
+#: Most minima of a band, and the probability with which a pair at the threshold may share none.
+ROWS, MISSED = 5, 1e-6
 #: Centres that a bucket gets in each round after the first.
 CENTRES = 64
 #: Members of a family that one side of a comparison block holds.
@@ -57,6 +60,25 @@ REMEMBERED = 500_000
 _A2Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def rows_of_band(percent: int) -> int:
+    """Minima of one band: the most with which a pair at the threshold shares a band nearly always."""
+    if percent not in THRESHOLDS:
+        raise ValueError(f"a threshold of {percent} percent is not from {THRESHOLDS[0]} to {THRESHOLDS[-1]}")
+    return max(r for r in range(1, ROWS + 1) if MINIMA % r == 0 and (1 - (percent / 100) ** r) ** (MINIMA // r) < MISSED)
+
+
+def leave_from(percent: int) -> float:
+    """What is so similar to a centre has all its links in the centre's family, with 0.2 for the estimates' errors."""
+    return FAMILY + (100 - percent) / 100 + 0.2
+
+
+def estimate_floor(percent: int) -> float:
+    """A pair whose signatures estimate less than this is not compared on full sets."""
+    chance = 1 / (1 << BITS)
+    equal = chance + (1 - chance) * percent / 100
+    return percent / 100 - 5.6 * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
+
+
 class _Words(dict):
     """Hash of each word, remembered within a worker."""
 
@@ -93,7 +115,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(20240229)
-    shape = BANDS * ROWS
+    shape = MINIMA
     return random.integers(1, 1 << 32, shape, np.uint32) | np.uint32(1), random.integers(0, 1 << 32, shape, np.uint32)
 
 
@@ -116,7 +138,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     differ = x ^ y
     equal = ((differ & 0x0F) == 0).sum(axis=-1, dtype=np.int32) + ((differ & 0xF0) == 0).sum(axis=-1, dtype=np.int32)
     chance = 1 / (1 << BITS)
-    return (equal / (BANDS * ROWS) - chance) / (1 - chance)
+    return (equal / MINIMA - chance) / (1 - chance)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -129,19 +151,22 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_hash, bands and bits of every row."""
     schema = T.StructType([docs.schema["doc_id"]]).add("text_hash", "long").add("n_shingles", "long").add("set_hash", "binary").add("bands", T.ArrayType(T.LongType())).add("bits", "binary")
 
+    rows = rows_of_band(percent)
+    bands = MINIMA // rows
+
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _multipliers()
-        weight = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        weight = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         for batch in batches:
             out = []
             for text in batch["text"]:
                 own = shingle_set(text)
                 low = minima(own, a, b)
-                band = _mixed((low.reshape(BANDS, ROWS).astype(np.uint64) * weight).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+                band = _mixed((low.reshape(bands, rows).astype(np.uint64) * weight).sum(axis=1) + np.arange(bands, dtype=np.uint64))
                 out.append((len(own), _digest(own), band.astype(np.int64), packed_bits(low).tobytes()))
             found = pd.DataFrame(out, columns=schema.names[2:], index=batch.index)
             yield pd.concat([batch[["doc_id", "text_hash"]], found], axis=1)
@@ -169,7 +194,7 @@ def _open_buckets(active: DataFrame) -> DataFrame:
     return active.join(mixed.select("bucket"), "bucket")
 
 
-def families(classes: DataFrame, stages: Stages) -> DataFrame:
+def families(classes: DataFrame, stages: Stages, percent: int = THRESHOLD) -> DataFrame:
     """Chains (a, b) of a member and a centre that belong to one family. ``classes``: node, bands, bits."""
     members = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -180,7 +205,7 @@ def families(classes: DataFrame, stages: Stages) -> DataFrame:
         active.select("bucket", "doc").join(heaviest.select("bucket", F.col("c.doc").alias("centre")), "bucket").where("doc != centre"), "led"
     )
     stages.drop(active)
-    chains = []
+    chains, leave = [], leave_from(percent)
     label = F.when(F.col("similar") >= FAMILY, F.col("centre")).otherwise(F.col("doc")).alias("label")
     own_label = None
     while True:
@@ -188,10 +213,10 @@ def families(classes: DataFrame, stages: Stages) -> DataFrame:
         chains.append(judged.where(F.col("similar") >= FAMILY).select(F.col("doc").alias("a"), F.col("centre").alias("b")))
         seen = led.join(judged, ["doc", "centre"])
         if own_label is None:
-            left = seen.where(F.col("similar") < LEAVE).select("bucket", "doc", label)
+            left = seen.where(F.col("similar") < leave).select("bucket", "doc", label)
         else:
             # What has been a centre, or is close to one, has met all that it could be linked with in its bucket.
-            near = seen.where(F.col("similar") >= LEAVE).select("bucket", "doc")
+            near = seen.where(F.col("similar") >= leave).select("bucket", "doc")
             gone = near.unionByName(led.select("bucket", F.col("centre").alias("doc"))).distinct()
             left = own_label.join(gone, ["bucket", "doc"], "left_anti")
         own_label = stages.write(_open_buckets(left), "open")
@@ -225,6 +250,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _forest(percent: int):
     """Task function: the links of a block that join what was apart, found on full sets."""
+    floor = estimate_floor(percent)
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
         block = block.reset_index(drop=True)
@@ -246,7 +272,7 @@ def _forest(percent: int):
         for i in left:
             others = np.flatnonzero(side != side[i]) if block["two"].iloc[0] else np.arange(i + 1, len(block))
             fits = others[(100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
-            near = fits[estimate(bits[fits], bits[i]) >= ESTIMATE_FLOOR]
+            near = fits[estimate(bits[fits], bits[i]) >= floor]
             for j in near:
                 if root(i) != root(j):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -260,7 +286,7 @@ def _forest(percent: int):
 
 def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between classes that connect all that are linked on full sets. ``classes``: node, rep, set_hash, bands, bits."""
-    chains = families(classes, stages)
+    chains = families(classes, stages, percent)
     family = components(chains, stages)
     members = family.select(F.col("node").alias("doc"), F.col("component").alias("family"))
     wanted = classes.join(family, "node", "left_semi")
@@ -320,7 +346,7 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` as doc_id, n_shingles, component_id, kept; text_hash and group tell equal ids apart."""
     stages = Stages(docs.sparkSession, "near-dedup")
-    drawn = stages.write(sketches(docs), "sketches")
+    drawn = stages.write(sketches(docs, percent), "sketches")
     named = drawn.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Equal sets have equal sketches; the least id stands for them.
     sketch = F.first(F.struct("bands", "bits")).alias("s")

@@ -90,3 +90,38 @@ def test_components_of_long_paths_and_stars(spark):
     assert {got[200 + i] for i in range(50)} == {100}
     assert got[301] == got[300] == 300
     assert components(spark.createDataFrame([], "a long, b long"), Stages(spark, "test")).collect() == []
+
+
+def test_the_pipeline_links_from_80_percent_on(spark, docs_table):
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    rows, linked = [], []
+    for k in range(60):
+        words = [f"t{k}w{i}" for i in range(200)]
+        # Four words far apart change 20 of 196 shingles: 176 of 216 are shared, below 0.85. Six words leave less than 0.8.
+        for own, places in ((10 * k, ()), (10 * k + 1, (20, 60, 100, 140)), (10 * k + 2, (20, 60, 100, 140, 180, 190))):
+            rows.append((own, " ".join(f"x{k}y{own}{i}" if i in places else w for i, w in enumerate(words))))
+        linked.append(10 * k + 1)
+    rng.shuffle(rows)
+    docs = docs_table(rows)
+    kept = {r["doc_id"] for r in cp.near_dedup_stage(spark, docs, "").select("doc_id").collect()}
+    shingles = {i: brute.shingles(t) for i, t in rows}
+    share = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert 0.8 <= share(0, 1) < 0.85 and share(0, 2) < 0.8 and share(1, 2) < 0.8
+    assert kept == {i for i, _ in rows} - set(linked)
+
+
+def test_bounds_follow_the_threshold():
+    assert nd.rows_of_band(85) == 5 and nd.rows_of_band(80) == 4
+    assert abs(nd.leave_from(85) - 0.65) < 1e-9 and abs(nd.estimate_floor(85) - 0.66) < 0.001
+    for percent in nd.THRESHOLDS:
+        rows = nd.rows_of_band(percent)
+        assert (1 - (percent / 100) ** rows) ** (nd.MINIMA // rows) < 1e-6
+        assert nd.FAMILY < nd.leave_from(percent) - (100 - percent) / 100
+    for percent in (59, 100):
+        try:
+            nd.rows_of_band(percent)
+        except ValueError:
+            continue
+        raise AssertionError(percent)
