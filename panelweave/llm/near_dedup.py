@@ -306,8 +306,10 @@ def links(docs: DataFrame, classes: DataFrame, stages: Stages, percent: int = TH
     linked = (100 * F.col("both") >= percent * F.col("all")) & (F.col("doc") != F.col("centre"))
     direct = placed.where(linked).select(F.col("doc").alias("a"), F.col("centre").alias("b"))
 
-    # Zone 0 is what is linked to the centre; others lie one zone for each (100 - percent) hundredths further out.
-    zone = F.when(100 * F.col("both") >= percent * F.col("all"), 0).otherwise(F.floor(100 * (F.col("all") - F.col("both")) / F.col("all") / (100 - percent))).cast("int")
+    # Zone k holds the distances above k and up to k + 1 times (100 - percent) hundredths, zone 0 also none at all:
+    # two sets that may be linked then lie in one zone or in neighbouring ones, also exactly at the threshold.
+    apart, width = 100 * (F.col("all") - F.col("both")), F.col("all") * (100 - percent)
+    zone = F.greatest(F.floor((apart + width - 1) / width) - 1, F.lit(0)).cast("int")
     zoned = placed.select("doc", "family", "shingles", "bits", zone.alias("zone"))
     blocks = zoned.groupBy("family", "zone").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     # A family without members outside zone 0 is done.
@@ -348,10 +350,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     stages = Stages(docs.sparkSession, "near-dedup")
     drawn = stages.write(sketches(docs, percent), "sketches")
     named = drawn.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # Equal sets have equal sketches; the least id stands for them.
+    # Equal sets have equal sketches; the least id stands for them. Numbers are given while the table is written, so each set has its own for good.
     sketch = F.first(F.struct("bands", "bits")).alias("s")
     classes = stages.write(
-        named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), sketch).select(F.xxhash64("set_hash").alias("node"), "set_hash", "rep", "s.*"), "classes"
+        named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), sketch).select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep", "s.*"), "classes"
     )
     joined = stages.write(links(docs, classes, stages, percent), "links")
     group = classes.select("set_hash", "node", "rep").join(components(joined, stages), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -90,7 +90,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """Rows doc_id, n_shingles, component_id, kept."""
     sets = {doc: shingles(text) for doc, text in docs}
     parent = {doc: doc for doc in sets}
@@ -105,7 +105,7 @@ def near_duplicates(docs):
         for b in ids[i + 1 :]:
             if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((root(a), root(b)))
                     parent[y] = x
     return [(d, len(sets[d]), root(d), root(d) == d) for d in ids]

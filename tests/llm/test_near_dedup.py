@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelweave.llm import near_dedup as nd
@@ -45,6 +46,20 @@ def test_chains_reach_beyond_the_threshold(spark, docs_table):
     assert not 100 * len(brute.shingles(rows[0][1]) & brute.shingles(rows[-1][1])) >= 85 * 116
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_links_exactly_at_the_threshold(spark, docs_table, percent):
+    """A and B lack C's ends and are linked through texts at both ends of a zone: A to C at the threshold, B twice as far from C."""
+    rng = random.Random(percent)
+    rows, cut = [], 100 - percent
+    for f in range(24):
+        a = [f"f{f}w{i}" for i in range(104)]  # 100 shingles
+        c, b = a[: 104 - cut], a[cut:]
+        texts = [a, c, b] + [[*c[:-k], *(f"f{f}e{k}x{i}" for i in range(k))] for k in range(1, 3 + f % 5)]
+        rows += [(1000 * f + i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    assert rows_of(nd.near_duplicates(docs_table(rows), percent)) == sorted(brute.near_duplicates(rows, percent), key=str)
+
+
 def test_many_copies_and_repeated_rows(spark, docs_table):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(i, text) for i in range(300, 500)] + [(300, text), (7, text + " end"), (None, text), (None, None), (9, "other"), (9, "words here")]

@@ -73,7 +73,7 @@ def test_stages_equal_brute_force_on_the_smallest_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
     pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
     near = {r["doc_id"] for r in cp.near_dedup_stage(spark, docs, SMOKE_DIR).collect()}
-    assert near == {r[0] for r in brute.near_duplicates(pairs) if r[3]}
+    assert near == {r[0] for r in brute.near_duplicates(pairs, cp.SIMILAR_FROM) if r[3]}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMOKE_DIR}/benchmark.parquet").collect()]
     clean = {r["doc_id"] for r in cp.decontamination_stage(spark, docs, SMOKE_DIR).collect()}
     assert clean == {r[0] for r in brute.decontamination(pairs, bench) if not r[5]}
