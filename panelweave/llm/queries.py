@@ -12,8 +12,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, decontamination, html_text, lm_scoring, near_dedup, packing, quality_rules, secrets, token_counts, toxicity
-from panelweave.llm.common import ship, whole_number
+from panelweave.llm import (
+    chat,
+    decontamination,
+    html_text,
+    lm_scoring,
+    near_dedup,
+    packing,
+    period_runs,
+    quality_rules,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    vector_codes,
+)
+from panelweave.llm.common import SPACE, let, ship, split_words, whole_number
+
+SHARDS = 24
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +128,50 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    dealt = sharding.shuffled_shards(_table(spark, sf_dir, "documents").select("doc_id", size, crc), SHARDS)
+    return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The texts of a tenth of the documents repeat a stretch of theirs to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, whole_number(8))))
+        word = lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int")))
+        return F.when(n > 0, F.array_join(F.transform(words, word), " ")).otherwise(F.lit(""))
+
+    text = F.when(F.pmod(h, whole_number(10)) == 0, let(split_words(F.col("text"), SPACE), planted)).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(_with_planted_runs(_table(spark, sf_dir, "documents")))
+    order = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    line = lambda r: F.concat(F.array_join(F.array(*[r[c].cast("string") for c in ("start", "length", "period")]), ","), F.lit("\n"))
+    best = found.withColumn("best", F.array_max(order))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
@@ -123,6 +183,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_sharding": op12_sharding,
+    "op13_period_runs": op13_period_runs,
 }
 
 LLM_SQL: dict[str, str] = {

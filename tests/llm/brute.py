@@ -122,3 +122,70 @@ def unigram(docs):
         score = math.fsum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
         out.append((d, held[d], len(ws), sum(counts[w] > 0 for w in ws), total, score))
     return out
+
+
+def runs(words, least=12):
+    """The runs (start, length, period) by start and period: every period tried on its own, the smallest kept of equal stretches."""
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def period_runs(docs):
+    """Rows doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256, with the planted repeats."""
+    out = []
+    for doc, text in docs:
+        words = WORD.findall(text or "")
+        h = zlib.crc32(str(doc).encode())
+        g, n = h // 10, len(words)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        found = runs(words)
+        dropped = {i for s, length, q in found for i in range(s + q, s + length)}
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        milli = 1000 * best[1] // best[2] if found else None
+        lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+        out.append((doc, len(found), *best, milli, sha(lines), sha(" ".join(w for i, w in enumerate(words) if i not in dropped))))
+    return out
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4):
+    """rows: (vec_id, vector, label). Rows vec_id, code, error, label_error, codebooks_sha256."""
+    kept = []
+    for i, v, label in rows:
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(1024 * x) for x in v], label))
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    cut = [[v[k * width : (k + 1) * width] for _, v, _ in kept] for k in range(parts)]
+    books = [[list(x) for x in own[:entries]] for own in cut]
+
+    def nearest(x, book):
+        far = [sum((a - b) ** 2 for a, b in zip(x, c)) for c in book]
+        return far.index(min(far)), min(far)
+
+    for _ in range(rounds):
+        for own, book in zip(cut, books):
+            members = {}
+            for x in own:
+                members.setdefault(nearest(x, book)[0], []).append(x)
+            for e, xs in members.items():
+                book[e] = [sum(col) // len(xs) for col in zip(*xs)]
+    coded = [[nearest(own[r], book) for own, book in zip(cut, books)] for r in range(len(kept))]
+    digest = sha(",".join(str(v) for book in books for c in book for v in c))
+    by_label = Counter()
+    for (_, _, label), found in zip(kept, coded):
+        by_label[label] += sum(d for _, d in found)
+    return [(i, "".join(f"{e:02x}" for e, _ in found), sum(d for _, d in found), by_label[label], digest) for (i, _, label), found in zip(kept, coded)]

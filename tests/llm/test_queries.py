@@ -26,7 +26,7 @@ def run(spark, name, *columns):
 
 def test_each_operator_has_a_query():
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{k}" for k in range(1, 11)] + ["pipeline"])
+    assert sorted(n.split("_")[0] for n in names) == sorted([f"op{k}" for k in range(1, 14)] + ["pipeline"])
     assert set(oracle_sql()) <= set(queries())
 
 
@@ -131,3 +131,33 @@ def test_op10(spark, table):
         joined = "\n\n".join(filter(None, (" ".join(html.unescape(p).split()) for p in parts)))
         want.append((page, url, joined, len(joined)))
     assert run(spark, "op10_html_text", "page_id", "url", "text", "n_chars") == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_sharding"])
+def test_sql_of_new_queries(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE_DIR}/{t}.parquet'")
+    found = queries()[name](spark, SMOKE_DIR)
+    cursor = con.execute(oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(cursor.fetchall())
+
+
+def test_op11(spark, table):
+    want = brute.vector_codes(table("embeddings", "vec_id, embedding, label"))
+    assert run(spark, "op11_vector_codes", "vec_id", "code", "error", "label_error", "codebooks_sha256") == sorted(want)
+
+
+def test_op12(spark, table):
+    got = run(spark, "op12_sharding", "doc_id", "size", "text_crc32", "shard", "slot")
+    texts = dict(table("documents", "doc_id, text"))
+    assert [r[:3] for r in got] == sorted((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in texts.items())
+    sizes = [sum(r[3] == s for r in got) for s in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and {(r[3], r[4]) for r in got} == {(s, k) for s in range(24) for k in range(sizes[s])}
+
+
+def test_op13(spark, table):
+    columns = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert run(spark, "op13_period_runs", *columns) == sorted(brute.period_runs(table("documents", "doc_id, text")))
