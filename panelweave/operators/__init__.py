@@ -12,7 +12,7 @@ from panelweave.operators.columns import (
     upper_case_names,
     zero_fill,
 )
-from panelweave.operators.joins import key_salts, keyed_join
+from panelweave.operators.joins import grid_join, grid_slices, key_salts, keyed_join
 from panelweave.operators.link import Dim, Fact, Link, assemble_panel, join_dims, join_facts, link_coverage
 from panelweave.operators.quality import (
     attribute_conflict_profile,
@@ -47,6 +47,8 @@ __all__ = [
     "drop_conflicting_entities",
     "drop_suffix",
     "first_activity",
+    "grid_join",
+    "grid_slices",
     "group_difference_table",
     "join_dims",
     "join_facts",

@@ -6,6 +6,10 @@ several sub-keys and the matching right rows are repeated once per sub-key, so t
 result is the same as that of the plain join while no task holds a whole hot key.
 The sketch only decides how rows are spread: if it misses a key, that key is simply
 joined unsplit.
+
+Where both sides may hold many rows of one key, :func:`grid_join` lays its rows out as a grid:
+left rows go to one row of cells, right rows to one column, so that every pair
+meets in exactly one cell, and cells are what tasks join.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ SKETCH_BUCKETS = 1024
 # Limits of the sketch function itself, beyond any number of partitions in use.
 MOST_SKETCH_KEYS, MOST_SKETCH_ITEMS = 100_000, 1_000_000
 
+# Cells of a grid for each partition's worth of work, so that cells dealt by hash even out, and the most cells of one key.
+CELLS_PER_PARTITION = 8
+MOST_CELLS = 1 << 20
+
 # Used where the session leaves the number of shuffle partitions to the cluster.
 DEFAULT_PARTITIONS = 200
 
@@ -72,23 +80,33 @@ def key_salts(df: DataFrame, keys: list[str]) -> Column:
     return several_key_salts(df, [keys])[0]
 
 
-def several_key_salts(df: DataFrame, several: list[list[str]]) -> list[Column]:
-    """:func:`key_salts` of several keys of one table, measured in one pass over it."""
+def _sketch_size(df: DataFrame) -> tuple[int, int, int]:
+    """Shuffle partitions, keys that may be hot, and items that a sketch follows."""
     parts = _partitions(df)
-    most = min(max(parts, 64), MOST_SKETCH_KEYS)
-    items = min(max(SKETCH_ITEMS_PER_KEY * parts, LEAST_SKETCH_ITEMS), MOST_SKETCH_ITEMS)
+    return parts, min(max(parts, 64), MOST_SKETCH_KEYS), min(max(SKETCH_ITEMS_PER_KEY * parts, LEAST_SKETCH_ITEMS), MOST_SKETCH_ITEMS)
+
+
+def _frequent(df: DataFrame, several: list[list[str]]) -> list[DataFrame]:
+    """For each key a table (item, count): its frequent hashes, and the number of all rows beside a NULL item."""
+    _, most, items = _sketch_size(df)
     all_rows = F.struct(F.lit(None).cast("bigint").alias("item"), F.col("n").alias("count"))
     hashes = df.select(*[_key_hash(df, keys).alias(f"h{i}") for i, keys in enumerate(several)], F.spark_partition_id().alias("task"))
     sketches = hashes.groupBy(F.pmod("task", F.lit(SKETCH_BUCKETS)).alias("bucket")).agg(
         F.count("*").alias("n"), *[F.expr(f"approx_top_k(h{i}, {most}, {items})").alias(f"top{i}") for i in range(len(several))]
     )
+    return [
+        sketches.select(F.inline(F.concat(f"top{i}", F.array(all_rows)))).groupBy("item").agg(F.sum("count").alias("count"))
+        for i in range(len(several))
+    ]
+
+
+def several_key_salts(df: DataFrame, several: list[list[str]]) -> list[Column]:
+    """:func:`key_salts` of several keys of one table, measured in one pass over it."""
+    parts, most, _ = _sketch_size(df)
     found = []
-    for i in range(len(several)):
+    for counts in _frequent(df, several):
         heaviest = (
-            sketches.select(F.inline(F.concat(f"top{i}", F.array(all_rows))))
-            .groupBy("item")
-            .agg(F.sum("count").alias("count"))
-            .orderBy(F.desc("count"))
+            counts.orderBy(F.desc("count"))
             .limit(most + 1)
             .agg(
                 F.max(F.when(F.col("item").isNull(), F.col("count"))).alias("n"),
@@ -102,6 +120,45 @@ def several_key_salts(df: DataFrame, several: list[list[str]]) -> list[Column]:
     return found
 
 
+def grid_slices(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Map of key hash to the grid (rows, columns) of each key that is hot, as a scalar subquery.
+
+    A key's weight is its share of the joined rows, or of the rows of one side where that is more; from half a
+    partition's worth on it gets cells in proportion. Rows and columns follow the counts of
+    the two sides, so that a cell takes like numbers of both and copies are fewest.
+    """
+    parts, most, _ = _sketch_size(left)
+    one, none = F.col("count").cast("double"), F.lit(0.0)
+    both = _frequent(left, [keys])[0].select("item", one.alias("l"), none.alias("r"))
+    both = both.unionByName(_frequent(right, [keys])[0].select("item", none.alias("l"), one.alias("r")))
+    heaviest = (
+        both.groupBy("item")
+        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        .orderBy(F.col("item").isNull().desc(), (F.greatest("l", F.lit(1.0)) * F.greatest("r", F.lit(1.0))).desc())
+        .limit(2 * most + 1)
+        .agg(
+            F.max(F.when(F.col("item").isNull(), F.col("l"))).alias("all_l"),
+            F.max(F.when(F.col("item").isNull(), F.col("r"))).alias("all_r"),
+            F.collect_list(F.when(F.col("item").isNotNull(), F.struct("item", "l", "r"))).alias("top"),
+        )
+    )
+    joined = lambda key: key["l"] * F.greatest(key["r"], F.lit(1.0))
+    out = F.aggregate("top", F.greatest("all_l", F.lit(1.0)), lambda sum_, key: sum_ + joined(key))
+    weight = lambda key: F.greatest(
+        joined(key) / F.col("out"), F.try_divide(key["l"], F.col("all_l")), F.try_divide(key["r"], F.col("all_r"))
+    )
+    cells = lambda key: F.least(F.ceil(weight(key) * (CELLS_PER_PARTITION * parts)), F.lit(MOST_CELLS))
+
+    def grid(key: Column) -> Column:
+        l, r = F.greatest(key["l"], F.lit(1.0)), F.greatest(key["r"], F.lit(1.0))
+        columns = F.least(F.greatest(F.round(F.sqrt(cells(key) * r / l)), F.lit(1.0)), r, cells(key))
+        rows = F.least(F.ceil(cells(key) / columns), l)
+        return F.struct(key["item"], F.struct(F.ceil(rows).cast("int").alias("rows"), F.ceil(columns).cast("int").alias("columns")))
+
+    is_hot = lambda key: weight(key) >= 0.5 / parts
+    return heaviest.withColumn("out", out).select(F.map_from_entries(F.transform(F.filter("top", is_hot), grid))).scalar()
+
+
 def _slices(salts: Column, df: DataFrame, keys: list[str]) -> Column:
     return F.coalesce(F.try_element_at(salts, _key_hash(df, keys)), F.lit(1))
 
@@ -166,3 +223,64 @@ def keyed_join(
         on = on & (F.col(SALT) == F.col(RIGHT + SALT))
     right = right.select(*carried)
     return left.join(right, on, how).select(*[F.col(f"`{c}`") for c in out])
+
+
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    suffixes: tuple[str, str] = ("_x", "_y"),
+    deal: tuple[list[str] | None, list[str] | None] = (None, None),
+) -> DataFrame:
+    """Join two tables of which both may hold many rows of one key; ``inner`` or ``left``.
+
+    NULL keys match NULL keys, repeated keys fan out, clashing names get ``suffixes``. A hot key's left rows are
+    dealt to the rows of its grid and repeated for each column, its right rows are dealt to
+    the columns and repeated for each row: a pair meets in one cell, and no task holds
+    the key. ``deal`` names the columns by whose hash the rows of each side are dealt, as in
+    :func:`keyed_join`. The sketches decide the grids only, never the result.
+
+    In a ``left`` join of a key with several columns, a left row without a partner in a column says nothing
+    about the others. So each row of cells also gets one mark of the key in its first
+    column, where the right side has the key at all: what matches a mark, and what is unmatched in
+    another column, is left out.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
+    _check_keys(left, right, keys)
+    grids = grid_slices(left, right, keys)
+    before = left.columns, right.columns
+    left, right = _disambiguate(left, right, keys, suffixes)
+    out = left.columns + [c for c in right.columns if c not in keys]
+    own = [
+        None if names is None else [after for name, after in zip(old, table.columns) if name in names]
+        for names, old, table in zip(deal, before, (left, right))
+    ]
+
+    def size(df: DataFrame, side: str) -> Column:
+        return F.coalesce(F.try_element_at(grids, _key_hash(df, keys))[side], F.lit(1))
+
+    def place(df: DataFrame, names: list[str] | None, side: str) -> Column:
+        dealing = [f for f in df.schema.fields if names is None or f.name in names]
+        hashable = [f"`{f.name}`" for f in dealing if not isinstance(f.dataType, T.MapType)]
+        return F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), size(df, side)).cast("int")
+
+    def along(df: DataFrame, side: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), size(df, side) - 1))
+
+    row, column, mark = f"{SALT}_row", f"{SALT}_column", f"{SALT}_mark"
+    spread = left.select("*", place(left, own[0], "rows").alias(row), along(left, "columns").alias(column))
+    carried = [F.col(f"`{c}`").alias(RIGHT + c if c in keys else c) for c in right.columns]
+    place_right = place(right, own[1], "columns").alias(RIGHT + column)
+    dealt = right.select(*carried, place_right, along(right, "rows").alias(RIGHT + row), F.lit(False).alias(mark))
+    if how == "left":
+        several = right.where(size(right, "columns") > 1).select(*keys).distinct()
+        marks = several.select(*[F.col(f"`{k}`").alias(RIGHT + k) for k in keys], F.lit(0).alias(RIGHT + column), along(several, "rows").alias(RIGHT + row), F.lit(True).alias(mark))
+        dealt = dealt.unionByName(marks, allowMissingColumns=True)
+    on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{RIGHT}{k}`")) for k in keys])
+    on = on & (F.col(row) == F.col(RIGHT + row)) & (F.col(column) == F.col(RIGHT + column))
+    joined = spread.join(dealt, on, how)
+    if how == "left":
+        joined = joined.where(~F.coalesce(F.col(mark), F.col(column) > 0))
+    return joined.select(*[F.col(f"`{c}`") for c in out])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.missing import as_column
 from panelweave.functions.periods import days_in_month, period_start
 from panelweave.operators.columns import zero_fill
-from panelweave.operators.joins import key_salts, keyed_join, several_key_salts
+from panelweave.operators.joins import grid_join, key_salts, keyed_join, several_key_salts
 from panelweave.operators.quality import percent
 
 
@@ -82,11 +82,15 @@ def link_coverage(base: DataFrame, links: list[Link], by: str, both: str | None
 
 @dataclass(frozen=True)
 class Fact:
-    """A table with the base's grain, joined ``inner`` or ``left``, less the ``drop`` columns."""
+    """A table with the base's grain, joined ``inner`` or ``left``, less the ``drop`` columns.
+
+    ``few`` says that no key has many rows in it, which spares looking for keys that are hot on both sides of a join.
+    """
 
     table: DataFrame
     how: str = "left"
     drop: tuple[str, ...] = ()
+    few: bool = False
 
 
 @dataclass(frozen=True)
@@ -98,22 +102,31 @@ class Dim:
 
 
 def join_facts(base: DataFrame, facts: list[Fact], keys: list[str], salts: Column | bool | None = None) -> DataFrame:
-    """Join every fact to ``base`` on one shared key. ``salts`` is ``False`` where the key is unique in ``base``.
+    """Join every fact to ``base`` on one shared key. ``salts`` is ``False`` where no key has many rows in ``base``.
 
     Facts share the key, so they are joined to each other first and meet the large base
-    in a single shuffle. Without an inner fact the left joins run one after another.
+    in a single shuffle. Without an inner fact the left joins run one after another. Facts whose
+    keys may repeat are joined cell by cell of a grid, as a key may be hot on both sides.
     """
-    tables = [(f.table.drop(*f.drop), f.how) for f in facts]
+    if any(f.how not in ("inner", "left") for f in facts):
+        raise ValueError("a fact is joined 'inner' or 'left'")
+
+    def joined(panel: tuple[DataFrame, bool], fact: tuple[DataFrame, bool], how: str) -> tuple[DataFrame, bool]:
+        (left, left_few), (right, right_few) = panel, fact
+        if not right_few:
+            return grid_join(left, right, keys, how), False
+        return keyed_join(left, right, keys, how, False if left_few else salts if left is base else None), left_few
+
+    tables = [((f.table.drop(*f.drop), f.few), f.how) for f in facts]
     inner = [t for t, how in tables if how == "inner"]
     left = [t for t, how in tables if how == "left"]
-    if len(inner) + len(left) != len(tables):
-        raise ValueError("a fact is joined 'inner' or 'left'")
-    salts = key_salts(base, keys) if salts is None else salts
+    start = (base, salts is False)
     if not inner:
-        return reduce(lambda panel, t: keyed_join(panel, t, keys, "left", salts), left, base)
-    merged = reduce(lambda a, b: keyed_join(a, b, keys, "inner", salts=False), inner)
-    merged = reduce(lambda a, b: keyed_join(a, b, keys, "left", salts=False), left, merged)
-    return keyed_join(base, merged, keys, "inner", salts)
+        salts = key_salts(base, keys) if salts is None and any(f.few for f in facts) else salts
+        return reduce(lambda panel, t: (keyed_join(panel[0], t[0], keys, "left", salts), panel[1]) if t[1] else joined(panel, t, "left"), left, start)[0]
+    merged = reduce(lambda a, b: joined(a, b, "inner"), inner)
+    merged = reduce(lambda a, b: joined(a, b, "left"), left, merged)
+    return joined(start, merged, "inner")[0]
 
 
 def join_dims(panel: DataFrame, dims: list[Dim], salts: Column | None = None) -> DataFrame:

@@ -39,7 +39,8 @@ def link_records(
     active: DataFrame, education: DataFrame, absences: DataFrame, salts: Column | None = None
 ) -> DataFrame:
     """Teacher records with education, and absences where known, under normalised school codes."""
-    facts = [Fact(education, "inner"), Fact(absences, "left", drop=("CIE_ESCOLA",))]
+    # Both tables have one row for each teacher, month and school.
+    facts = [Fact(education, "inner", few=True), Fact(absences, "left", drop=("CIE_ESCOLA",), few=True)]
     linked = join_facts(active, facts, TEACHER_MONTH_UNIT, salts).drop("CATEG_E", "UAC")
     return linked.withColumn("CIE_ESCOLA", school_code("CIE_ESCOLA"))
 

@@ -39,6 +39,7 @@ from panelweave.operators import (
     drop_conflicting_entities,
     drop_suffix,
     first_activity,
+    grid_join,
     group_difference_table,
     keep_singleton_keys,
     key_multiplicity_profile,
@@ -330,6 +331,34 @@ def left_join_facts(spark, sf):
     return keyed_join(with_clicks, of_kind("purchase").withColumnRenamed("value", "bought"), keys, "left", salts, deal=["event_id"])
 
 
+def grid_join_facts(spark, sf):
+    """Dear lines beside returned lines of the same supplier and month; a third of both sides is of one supplier.
+
+    Counted for each year, with the lines that have no partner.
+    """
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 > 0, F.col("l_suppkey")).alias("supplier"),
+        F.year("l_shipdate").alias("year"),
+        F.month("l_shipdate").alias("month"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_returnflag",
+    )
+    keys = ["supplier", "year", "month"]
+    dear = lines.where(F.col("l_quantity") > 45).drop("l_returnflag")
+    back = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 20)).drop("l_returnflag")
+    deal = ["l_orderkey", "l_linenumber"]
+    pairs = grid_join(dear, back, keys, "left", deal=(deal, deal))
+    known = F.col("l_orderkey_y").isNotNull()
+    return pairs.groupBy("year").agg(
+        F.count_if(known).alias("pairs"),
+        F.count_if(~known).alias("alone"),
+        F.sum("l_quantity_x").cast("long").alias("dear_quantity"),
+        F.sum(F.when(known, F.pmod(F.col("l_orderkey_x") * 7 + F.col("l_orderkey_y") * 3 + F.col("l_linenumber_y"), F.lit(1000))).otherwise(0)).alias("told_apart"),
+    )
+
+
 def panel_assembly(spark, sf):
     """Orders linked to line sums, returns and customer sites, zero-filled, with a monthly rate."""
     orders = table(spark, sf, "orders").select(
@@ -351,7 +380,7 @@ def panel_assembly(spark, sf):
     regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("n_regionkey"), "r_name")
     return assemble_panel(
         orders,
-        [Fact(shipped, "inner"), Fact(returned, "left")],
+        [Fact(shipped, "inner", few=True), Fact(returned, "left", few=True)],
         ["o_orderkey"],
         [Dim(sites.join(regions, "n_regionkey"), ("site",))],
         prepare=site,
@@ -612,6 +641,7 @@ TABLE_QUERIES = {
     "link_coverage_fan_out": link_coverage_fan_out,
     "link_coverage_whole_key": link_coverage_whole_key,
     "left_join_facts": left_join_facts,
+    "grid_join_facts": grid_join_facts,
     "panel_assembly": panel_assembly,
     "balanced_computed": balanced_computed,
     "balanced_entities": balanced_entities_query,

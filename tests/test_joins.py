@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators.joins import key_salts, keyed_join
+from panelweave.operators.joins import grid_join, grid_slices, key_salts, keyed_join
 
 
 def hot_table(spark, n=4000):
@@ -94,3 +94,57 @@ def test_self_derived_right_side(spark):
     out = keyed_join(left, counts, ["k"], "inner")
     assert out.count() == left.count()
     assert out.where("k = 7").agg(F.max("n")).first()[0] == left.where("k = 7").count()
+
+
+def two_sided(spark, n=3000, hot=True):
+    """Tables of which key 7 holds a third on both sides, and NULL a sixth on the left only."""
+    key = lambda third, m: F.when(F.lit(hot) & (F.col("id") % 3 == 0), F.lit(third)).otherwise(F.col("id") % m)
+    left = spark.range(0, n, 1, 8).select(F.when(F.col("id") % 6 != 5, key(7, 400)).cast("long").alias("k"), F.col("id").alias("v"))
+    right = spark.range(0, n // 2, 1, 8).select(key(7, 500).cast("long").alias("k"), (F.col("id") % 50).alias("w"))
+    return left, right
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [True, False])
+def test_grid_join_equals_plain_join(spark, how, hot):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = two_sided(spark, hot=hot)
+        summary = lambda df: sorted(map(tuple, df.groupBy("k", "v").agg(F.count("*"), F.sum("w")).collect()), key=str)
+        assert summary(grid_join(left, right, ["k"], how)) == summary(plain(left, right, how))
+        for a, b in ((left.where("false"), right), (left, right.where("false")), (left, right.where("k = 7 and w = 3"))):
+            assert summary(grid_join(a, b, ["k"], how)) == summary(plain(a, b, how))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_grid_of_a_key_hot_on_both_sides(spark):
+    left, right = two_sided(spark)
+    found = spark.range(1).select(grid_slices(left, right, ["k"]).alias("m"), F.xxhash64(F.lit(7).cast("long")).alias("h")).first()
+    grid = found["m"][found["h"]]
+    assert grid["rows"] > grid["columns"] > 1
+    assert grid["rows"] * grid["columns"] >= 30  # 8 partitions
+
+
+def test_pairs_of_a_hot_key_spread_over_tasks(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left, right = two_sided(spark, 12000)
+        per_task = sorted(r["count"] for r in grid_join(left, right, ["k"]).groupBy(F.spark_partition_id()).count().collect())
+        assert len(per_task) == 16 and per_task[-1] < 2 * per_task[8]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_grid_join_refuses_what_it_cannot_do(spark, collect):
+    left, right = two_sided(spark, 30)
+    with pytest.raises(ValueError, match="unsupported"):
+        grid_join(left, right, ["k"], "left_semi")
+    with pytest.raises(ValueError, match="both sides"):
+        grid_join(left, right, ["v"])
+    out = grid_join(left.withColumn("w", F.lit("l")), right, ["k"], "left", deal=(["v", "w"], ["w"]))
+    assert out.columns == ["k", "v", "w_x", "w_y"]
