@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.missing import as_column
 
@@ -44,3 +45,22 @@ def period_of(day: Column | str) -> Column:
     """``MMYY`` text of a date or zone-free timestamp."""
     day = as_column(day)
     return F.concat(F.lpad(F.month(day).cast("string"), 2, "0"), F.right(F.year(day).cast("string"), F.lit(2)))
+
+
+def period_number(period: str, kind: T.DataType) -> Column | None:
+    """A whole number for each period, near for periods that are near; NULL where a text has none.
+
+    Different periods have different numbers. ``MMYY`` texts are months in a row, dates are months in a row for each day of the
+    month, other texts of up to 17 digits are told apart by their length too. Other types
+    have no number (``None``).
+    """
+    col = F.col(f"`{period}`")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return col.cast("long")
+    if isinstance(kind, T.DateType):
+        return (F.dayofmonth(col) - 1).cast("long") * (1 << 20) + F.year(col) * 12 + F.month(col)
+    if isinstance(kind, T.StringType):
+        month = F.left(col, F.lit(2)).try_cast("long") - 1 + 12 * F.right(col, F.lit(2)).try_cast("long")
+        digits = F.concat(F.lit("1"), col).try_cast("long")
+        return F.when(col.rlike(r"\A(0[1-9]|1[0-2])[0-9]{2}\z"), month - 1200).when(col.rlike(r"\A[0-9]{1,17}\z"), digits)
+    return None

@@ -120,6 +120,19 @@ def several_key_salts(df: DataFrame, several: list[list[str]]) -> list[Column]:
     return found
 
 
+def salts_of_counts(counts: DataFrame, keys: list[str], n: str) -> Column:
+    """:func:`key_salts` from a table that has one row for each key and the number of its rows.
+
+    Where a join needs an aggregate by its key anyway, counting along spares the sketch's pass. Spark makes the
+    aggregate once only if both users read the same columns of it: give each a filter over all of them.
+    """
+    parts = _partitions(counts)
+    total = counts.agg(F.sum(n).cast("double").alias("total")).scalar()
+    # At most as many keys as partitions.
+    hot = counts.where(F.col(n) * parts >= total).select(_key_hash(counts, keys).alias("item"), _cut(F.col(n) / total, parts).alias("slices"))
+    return hot.agg(F.map_from_entries(F.collect_list(F.struct("item", "slices"))).alias("salts")).scalar()
+
+
 def grid_slices(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Map of key hash to the grid (rows, columns) of each key that is hot, as a scalar subquery.
 

@@ -1,8 +1,9 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.operators import balance_check, balance_panel, cells, panel_cells, retention
+from panelweave.operators import balance_check, balance_panel, balanced_entities, cells, panel_cells, retention
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 pairs = st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["0121", "0221", "0321"])), min_size=1, max_size=20)
@@ -22,6 +23,55 @@ def test_balanced_entities_have_every_period(spark, data):
     assert abs(kept["retained"] - len(expected) / len(data)) < 1e-12
 
 
+KINDS = {
+    "mmyy": ["0121", "1220", "0100", "1299", "1322", "0021", "00121", "121", "1021", "", "x", "0121 ", "0121\n", None],
+    "int": [0, 1, 63, 64, -1, -64, -65, 2**31 - 1, -(2**31), None],
+    "long": [2**63 - 1, -(2**63), 2**62, 0, None],
+    "double": [0.5, 1.0, float("inf"), None],
+    "date": ["2021-01-01", "2021-02-01", "2021-01-31", "1969-12-31", "2030-01-01", None],
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_periods_of_any_type_are_told_apart(spark, kind):
+    """Entity ``all`` has each period twice, ``less k`` all but the k-th."""
+    periods = KINDS[kind]
+    rows = [("all", str(p) if kind == "date" and p else p) for p in periods * 2]
+    rows += [(f"less {k}", str(p) if kind == "date" and p else p) for k in range(len(periods)) for j, p in enumerate(periods) if j != k]
+    type_ = {"mmyy": "string", "date": "string"}.get(kind, kind)
+    df = spark.createDataFrame(rows, f"id string, p {type_}").repartition(5)
+    if kind == "date":
+        df = df.withColumn("p", F.col("p").cast("date"))
+    kept = {r["id"] for r in balance_panel(df, "id", "p").select("id").distinct().collect()}
+    assert kept == {"all", f"less {len(periods) - 1}"}  # the last one lacks NULL, which does not count
+    assert {r["id"] for r in balance_panel(df, "id", "p", count_na=True).select("id").distinct().collect()} == {"all"}
+    assert {r["id"] for r in balanced_entities(df, "id", "p", len(periods) - 2).collect()} == {f"less {k}" for k in range(len(periods) - 1)}
+
+
+def test_more_periods_than_any_bitmap_holds(spark):
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") - 7000).alias("p"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("id"))
+    df = df.where("id = 'a' or (id = 'b' and p <> 33000 - 1) or (id = 'c' and p % 2 = 0)")
+    assert [r["id"] for r in balanced_entities(df, "id", "p").collect()] == ["a"]
+    assert [r["id"] for r in balanced_entities(df, "id", "p", 20_000).collect()] == ["c"]
+    text = df.withColumn("p", F.concat(F.lit("p"), "p"))
+    assert [r["id"] for r in balanced_entities(text, "id", "p").collect()] == ["a"]
+
+
+def test_one_aggregate_serves_bitmaps_length_and_hot_entities(spark):
+    import re
+
+    df = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("id"), (F.col("id") % 7).cast("int").alias("t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = balance_panel(df, "id", "t")
+        assert len(out.collect()) == 20_000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert "approx_top_k" not in plan
+    assert len(re.findall("ReusedExchange", plan)) >= 2
+
+
 def test_fixed_length_is_exact_not_at_least(spark, collect):
     rows = [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("c", 1), (None, 1), (None, 2), (None, 3)]
     df = spark.createDataFrame(rows, "id string, year int")
