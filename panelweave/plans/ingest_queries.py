@@ -80,6 +80,17 @@ def ingest_preamble(spark, sf):
     return found.withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
 
 
+def ingest_line_breaks(spark, sf):
+    """Monthly files with line breaks, blank lines and quotes in quoted fields, put together over the blocks of a file."""
+    folder, orders = stage_folder(spark), _orders(spark, sf)
+    told = F.concat("o_orderpriority", F.lit('\n\n"'), F.col("o_custkey").cast("string"), F.lit('",\n'), F.repeat(F.lit("so on\n"), F.pmod("o_orderkey", F.lit(5)).cast("int")), F.lit("."))
+    rows = orders.withColumn("o_orderpriority", told)
+    rows.write.partitionBy("mmyy").csv(f"{folder}/lines", header=True, escape='"', quoteAll=True)
+    _name_by_period(spark, f"{folder}/lines", f"{folder}/raw", "orders")
+    found = read_period_files(spark, f"{folder}/raw", RAW, multi_line=True)
+    return found.withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
+
+
 def panel_round_trip(spark, sf):
     """Orders saved as a panel by year and loaded again, those of three years only."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("YEAR", F.year("o_orderdate"))
@@ -98,6 +109,7 @@ def null_predicate(spark, sf):
 INGEST_QUERIES = {
     "ingest_monthly": ingest_monthly,
     "ingest_preamble": ingest_preamble,
+    "ingest_line_breaks": ingest_line_breaks,
     "panel_round_trip": panel_round_trip,
     "null_predicate": null_predicate,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from panelweave.functions.missing import number
 from panelweave.functions.periods import period_in_text, period_year
+from panelweave.sources.quoted_lines import SPLITTABLE, quoted_records
 
 # Separators tried when none is given, and the text that stands for a missing value.
 SEPARATORS = (",", ";", "\t", "|")
@@ -37,11 +38,12 @@ OPENED_AT_ONCE = 16
 
 @dataclass
 class Layout:
-    """Files of one header: its column names, and how many filled lines each file has up to it."""
+    """Files of one header: its column names, and how many filled lines, and lines at all, each file has up to it."""
 
     sep: str
     names: list[str]
     leading: dict[str, int] = field(default_factory=dict)
+    lines: dict[str, int] = field(default_factory=dict)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
@@ -106,6 +108,7 @@ def file_layouts(
                 except ValueError as wrong:
                     raise ValueError(f"{wrong} in {file}") from wrong
             found[lines[-1]].leading[file] = sum(bool(line.strip()) for line in lines)
+            found[lines[-1]].lines[file] = len(lines)
     return list(found.values())
 
 
@@ -133,21 +136,23 @@ def _drop_leading(leading: dict[str, int]):
 def _scan(spark: SparkSession, layout: Layout, skip: int, encoding: str, multi_line: bool) -> DataFrame:
     """All columns as text, with the file name as ``__file``."""
     paths, names = [_literal(p) for p in layout.leading], layout.names
-    options = {**TRIM, **QUOTES, "sep": layout.sep, "maxColumns": str(max(20480, len(names)))}
+    if multi_line and encoding.upper() in SPLITTABLE:
+        lines = quoted_records(spark, paths, _by_scan_name(spark, layout, layout.lines), encoding.upper())
+        return _parsed(lines, layout, {"multiLine": "true"})
+    options = _field_options(layout)
     file = F.col("_metadata.file_name").alias("__file")
     place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start")]
     reader = spark.read.option("encoding", encoding).option("header", str(skip == 0).lower())
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if multi_line:
-        # Such files are read whole by one task each, so their first records come first.
+        # Files that cannot be cut are read whole by one task each, so their first records come first.
         scan = reader.options(**options, multiLine="true").schema(text).csv(paths)
     else:
         scan = reader.options(sep=NO_SEPARATOR, quote="", maxCharsPerColumn="-1").schema("value string").csv(paths)
     if skip == 0:
         lines = scan.select("*", file)
     else:
-        # The paths as the scan names them.
-        named = {r["p"]: layout.leading[r["f"]] for r in _scan_names(spark, layout).toLocalIterator()}
+        named = _by_scan_name(spark, layout, layout.leading)
         columns = [T.StructField(c, T.StringType()) for c in [*scan.columns, "__file"]]
         lines = scan.select("*", file, *place).mapInPandas(_drop_leading(named), T.StructType(columns))
     if multi_line:
@@ -155,15 +160,26 @@ def _scan(spark: SparkSession, layout: Layout, skip: int, encoding: str, multi_l
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     broken = F.concat(F.lit("a quoted line break, or an open quote, in "), "__file", F.lit("; read it with multi_line. Line: "), F.left("value", F.lit(200)))
     value = F.when(quotes % 2 == 1, F.raise_error(broken)).otherwise(F.col("value"))
-    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
-    row = F.from_csv(value, ddl, options)
+    return _parsed(lines.withColumn("value", value), layout, {})
+
+
+def _parsed(lines: DataFrame, layout: Layout, more: dict[str, str]) -> DataFrame:
+    """The fields of each record (value, __file) that is not blank."""
+    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in layout.names)
+    options = {**_field_options(layout), "maxCharsPerColumn": "-1", **more}
+    row = F.from_csv("value", ddl, options)
     return lines.where(F.length(F.trim("value")) > 0).select(row.alias("__row"), "__file").select("__row.*", "__file")
 
 
-def _scan_names(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Each file's path (f) beside the name that a scan gives it (p)."""
+def _field_options(layout: Layout) -> dict[str, str]:
+    return {**TRIM, **QUOTES, "sep": layout.sep, "maxColumns": str(max(20480, len(layout.names)))}
+
+
+def _by_scan_name(spark: SparkSession, layout: Layout, counts: dict[str, int]) -> dict[str, int]:
+    """Counts by file, by the paths as a scan names them."""
     files = spark.read.format("binaryFile").load([_literal(p) for p in layout.leading])
-    return files.select(F.col("path").alias("f"), F.col("_metadata.file_path").alias("p"))
+    names = files.select(F.col("path").alias("f"), F.col("_metadata.file_path").alias("p"))
+    return {r["p"]: counts[r["f"]] for r in names.toLocalIterator()}
 
 
 def typed(col: Column, kind: T.DataType, name: str = "") -> Column:
@@ -204,7 +220,8 @@ def read_period_files(
     lines precede the header; without any, blank lines before it are passed over. ``stamp``
     adds ``DATE``, the first four digits of the file name (``MMYY``, NULL without any),
     and the integer ``YEAR``. Doubled quotes stand for one. Quoted line breaks need
-    ``multi_line``, with which a file is read by one task; without it they are refused.
+    ``multi_line``, with which the quotes of the files are counted first (``quoted_lines``; files
+    in encodings of several bytes for a line feed are read by one task each); without it they are refused.
     """
     tables = []
     for layout in file_layouts(spark, path, pattern, recursive, skip, encoding, sep):
