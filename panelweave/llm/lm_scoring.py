@@ -26,9 +26,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +42,10 @@ from panelweave.llm.common import Stages
 DEPTH = 4
 #: Bytes of text that one block holds, but for a longer text, which is a block of its own.
 BLOCK_BYTES = 16 << 20
-#: Bytes of text whose runs are looked up at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text whose runs are counted or looked up at once.
+CHUNK_BYTES = 1 << 18
+#: Rows of a block that are sent at once.
+ROWS_SENT = 1 << 16
 MARK = b"\xff"  # never a byte of UTF-8: start marks before a text, the end mark after it
 
 _A2Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -50,18 +55,41 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode().translate(_A2Z)
 
 
-def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all runs of depth + 1 bytes that end in a byte or end mark of a text, and the text of each."""
-    joined = np.frombuffer(b"".join(MARK * depth + t + MARK for t in texts), np.uint8).astype(np.int64)
-    n = len(joined) - depth
+def _codes(joined: bytes, depth: int) -> np.ndarray:
+    """Codes of all runs of depth + 1 bytes."""
+    own = np.frombuffer(joined, np.uint8)
+    n = len(own) - depth
     code = np.zeros(n, np.int64)
     for k in range(depth + 1):
-        code = (code << 8) | joined[k : k + n]
-    sizes = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(sizes + depth) - sizes - depth
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    return code[place], owner
+        code <<= 8
+        code |= own[k : k + n]
+    return code
+
+
+def _long_runs(text: bytes, depth: int) -> Iterator[np.ndarray]:
+    """The run codes of one long text with its end mark, chunk by chunk."""
+    for at in range(0, len(text), CHUNK_BYTES):
+        before = MARK * (depth - min(depth, at)) + text[max(0, at - depth) : at]
+        end = MARK if at + CHUNK_BYTES >= len(text) else b""
+        yield _codes(before + text[at : at + CHUNK_BYTES] + end, depth)
+
+
+def runs_within(texts: list[bytes], depth: int) -> np.ndarray:
+    """Which runs of the joined texts, each between start marks and its end mark, end in a byte or end mark of a text."""
+    within = np.ones(sum(len(t) + 1 + depth for t in texts) - depth, bool)
+    at = 0
+    for t in texts[:-1]:
+        at += len(t) + 1
+        within[at : at + depth] = False
+        at += depth
+    return within
+
+
+def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all runs of depth + 1 bytes that end in a byte or end mark of a text, and the text of each."""
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+    joined = b"".join(MARK * depth + t + MARK for t in texts)
+    return _codes(joined, depth)[runs_within(texts, depth)], owner
 
 
 def in_blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -72,59 +100,99 @@ def in_blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES)
         block, held = TaskContext.get().partitionId() << 30, 0
         for batch in batches:
             numbers = []
-            for text in batch["text"]:
-                size = len(text) if text is not None else 0
+            for size in batch["n_bytes"]:
                 if held and held + size > block_bytes:
                     block, held = block + 1, 0
                 held += size
                 numbers.append(block)
-            yield batch.assign(block=numbers)
+            yield batch.drop(columns="n_bytes").assign(block=numbers)
 
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(number, schema)
+    return rows.withColumn("n_bytes", F.octet_length("text")).mapInPandas(number, schema)
+
+
+class _Counts:
+    """Counts of run codes, merged chunk by chunk; the codes stay sorted."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+        self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: dict[bool, list[bytes]] = {False: [], True: []}
+        self.size = {False: 0, True: 0}
+
+    def add(self, held: bool, text: bytes) -> None:
+        """Take a text; a long one goes piece by piece, so that no chunk is much larger than CHUNK_BYTES."""
+        if len(text) > CHUNK_BYTES:
+            for code in _long_runs(text, self.depth):
+                self._merge(code, not held)
+            return
+        self.held[held].append(text)
+        self.size[held] += len(text) + self.depth + 1
+        if self.size[held] > CHUNK_BYTES:
+            self.flush(held)
+
+    def flush(self, held: bool) -> None:
+        texts = self.held[held]
+        if texts:
+            joined = b"".join(MARK * self.depth + t + MARK for t in texts)
+            self._merge(_codes(joined, self.depth)[runs_within(texts, self.depth)], not held)
+            self.held[held], self.size[held] = [], 0
+
+    def _merge(self, code: np.ndarray, trains: bool) -> None:
+        code.sort()
+        edges = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        self.waiting.append((code[edges], np.diff(np.append(edges, len(code))) * trains))
+        if sum(len(c) for c, _ in self.waiting) > max(CHUNK_BYTES, len(self.codes) // 2):
+            self.fold()
+
+    def fold(self) -> None:
+        """Add up what has come since the last time."""
+        codes = np.concatenate([self.codes, *(c for c, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(n for _, n in self.waiting)])
+        self.waiting.clear()
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        edges = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+        self.counts = np.add.reduceat(counts[order], edges) if len(codes) else counts
+        self.codes = codes[edges]
 
 
 def _requests(depth: int):
     """Task function: the distinct words and runs of each block with their counts in training texts. The word of an end is empty."""
+    names = ["block", "word", "run", "n"]
 
-    def of_block(block: int, rows: list[tuple[bool, bytes]]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for held in (False, True):
-            texts = [t for h, t in rows if h == held]
-            parts, size = [[]], 0
-            for t in texts:
-                if size > CHUNK_BYTES * 8:
-                    parts.append([])
-                    size = 0
-                parts[-1].append(t)
-                size += len(t)
-                if held:
-                    words.update(dict.fromkeys(t.split(), 0))
-                else:
-                    words.update(t.split())
-            for part in filter(None, parts):
-                code, n = np.unique(runs(part, depth)[0], return_counts=True)
-                codes.append(code)
-                counts.append(n * (not held))
-            words[b""] += 0 if held else len(texts)
-        yield pd.DataFrame({"block": block, "word": [w.decode() for w in words], "run": pd.array([None] * len(words), "Int64"), "n": list(words.values())})
+    def told(block: int, counts: _Counts, words: Counter) -> Iterator[pa.RecordBatch]:
+        said = iter(words.items())
+        while part := list(islice(said, ROWS_SENT)):
+            own = [np.full(len(part), block), pa.array([w.decode() for w, _ in part]), pa.nulls(len(part), pa.int64()), [n for _, n in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(own[0]), own[1], own[2], pa.array(own[3], pa.int64())], names)
         words.clear()
-        code, place = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(place, np.concatenate(counts), len(code)).astype(np.int64)
-        yield pd.DataFrame({"block": block, "word": None, "run": pd.array(code, "Int64"), "n": n})
-
-    def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, rows = None, []
+        counts.flush(False)
+        counts.flush(True)
+        counts.fold()
+        for at in range(0, len(counts.codes), ROWS_SENT):
+            code, n = counts.codes[at : at + ROWS_SENT], counts.counts[at : at + ROWS_SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.nulls(len(code), pa.string()), pa.array(code), pa.array(n)], names)
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, counts, words = None, _Counts(depth), Counter()
         for batch in batches:
-            for number, held, text in zip(batch["block"], batch["held_out"], batch["text"]):
-                if number != block and rows:
-                    yield from of_block(block, rows)
-                    rows = []
-                block = number
-                rows.append((held, lowered(text)))
-        if rows:
-            yield from of_block(block, rows)
+            for number, held, text in zip(*(batch.column(c) for c in ("block", "held_out", "text"))):
+                if number.as_py() != block:
+                    if block is not None:
+                        yield from told(block, counts, words)
+                    block, counts, words = number.as_py(), _Counts(depth), Counter()
+                own = lowered(text.as_py())
+                if held.as_py():
+                    words.update(dict.fromkeys(own.split(), 0))
+                    words[b""] += 0
+                else:
+                    words.update(own.split())
+                    words[b""] += 1
+                counts.add(held.as_py(), own)
+        if block is not None:
+            yield from told(block, counts, words)
 
     return requests
 
@@ -133,7 +201,7 @@ def answers(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """block, word or run, ``total`` (its count over all training texts) and ``first``, true once for each key."""
     from pyspark.sql import Window
 
-    asked = blocks.select("block", "held_out", "text").mapInPandas(_requests(depth), "block long, word string, run long, n long")
+    asked = blocks.select("block", "held_out", "text").mapInArrow(_requests(depth), "block long, word string, run long, n long")
     # A key has a row for each block that holds it, so no key has more than its share of the blocks.
     key = Window.partitionBy("word", "run")
     total, first = F.sum("n").over(key), F.row_number().over(key.orderBy("block")) == 1
@@ -231,66 +299,77 @@ def run_scores(counts: DataFrame, weights: list[DataFrame]) -> DataFrame:
 
 
 class _Lookup:
-    """Values by 64-bit keys, in an open-addressed table of at most one quarter load."""
+    """Values by 64-bit keys: keys in the order of their hashes, and where each range of hashes begins."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(int(4 * len(keys)).bit_length(), 4)
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slot[left]] == -1
-            self.keys[slot[left[free]]] = keys[left[free]]
-            placed = self.keys[slot[left]] == keys[left]
-            self.values[slot[left[placed]]] = values[left[placed]]
-            left = left[~placed]
-            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        self.bits = max(int(len(keys)).bit_length(), 1)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.searchsorted(slot[order], np.arange(1 << self.bits)).astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        left = np.flatnonzero(self.keys[slot] != keys)
+        """Values of keys that are all known."""
+        at = self.first[self._slot(keys)]
+        left = np.flatnonzero(self.keys[at] != keys)
         while len(left):
-            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
-            left = left[self.keys[slot[left]] != keys[left]]
-        return self.values[slot]
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
 
 
 def _score_block(depth: int, tokens: int, distinct: int):
     base = math.log10(tokens + 0.5 * (distinct + 1))
-
-    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        is_word = told["word"].notna()
-        totals = {w.encode(): int(c) for w, c in zip(told["word"][is_word], told["value"][is_word])}
-        looked = told.loc[~is_word, ["run", "value"]].drop_duplicates("run")
-        lookup = _Lookup(looked["run"].to_numpy(np.int64), looked["value"].to_numpy(float))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        is_word = told["word"].is_valid()
+        own, looked = told.filter(is_word), told.filter(pc.invert(is_word))
+        totals = {w.encode(): int(c) for w, c in zip(own["word"].to_pylist(), own["value"].to_pylist())}
+        lookup = _Lookup(looked["run"].to_numpy(), looked["value"].to_numpy())
+        del own, looked, told
         log_of = {c: math.log10(c + 0.5) - base for c in set(totals.values()) | {0}}
         end = totals.get(b"", 0)
-        texts = [lowered(t) for t in rows["text"]]
-        n_tokens, n_known, base_score = [], [], []
-        for t in texts:
+        n_tokens, n_known, base_score, scores, n_bytes = [], [], [], [], []
+        waiting, size = [], 0
+
+        def look_up() -> None:
+            if waiting:
+                code, owner = runs(waiting, depth)
+                scores.extend(np.bincount(owner, lookup(code), len(waiting)).tolist())
+                waiting.clear()
+
+        for value in rows["text"]:
+            t = lowered(value.as_py())
             counts = [*map(totals.__getitem__, t.split()), end]
             n_tokens.append(len(counts))
             n_known.append(len(counts) - counts.count(0))
             base_score.append(math.fsum(map(log_of.__getitem__, counts)))
-        scores, at = np.zeros(len(texts)), 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
-                size += len(texts[to])
-                to += 1
-            code, owner = runs(texts[at:to], depth)
-            scores[at:to] = np.bincount(owner, lookup(code), to - at)
-            at = to
-        return rows[["doc_id", "held_out"]].assign(
-            n_tokens=n_tokens, n_known=n_known, train_tokens=tokens, base_score=base_score, score=scores, n_bytes=[len(t) for t in texts]
-        )
+            n_bytes.append(len(t))
+            if size + len(t) > CHUNK_BYTES:
+                look_up()
+                size = 0
+            if len(t) > CHUNK_BYTES:
+                scores.append(math.fsum(_long_scores(t, depth, lookup)))
+            else:
+                waiting.append(t)
+                size += len(t)
+        look_up()
+        columns = [rows["doc_id"], rows["held_out"], n_tokens, n_known, [tokens] * len(rows), base_score, scores, n_bytes]
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names)
 
     return score
 
 
+def _long_scores(text: bytes, depth: int, lookup: _Lookup) -> Iterator[float]:
+    """Sums of log probabilities of a long text, chunk by chunk."""
+    for code in _long_runs(text, depth):
+        yield float(lookup(code).sum())
+
+
 def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Learn from the rows of ``docs`` that are not ``held_out`` and score all.
 
@@ -310,5 +389,5 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_byt
     schema = T.StructType([docs.schema["doc_id"]]).add("held_out", "boolean")
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long")):
         schema = schema.add(name, kind)
-    scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(_score_block(depth, sizes["n"] or 0, sizes["v"]), schema)
+    scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(depth, sizes["n"] or 0, sizes["v"]), schema)
     return scored.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).drop("n_bytes")

@@ -1,8 +1,11 @@
 import math
-
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,53 @@ def test_held_out_text_like_the_training_texts_scores_higher(spark):
     assert got[90] < 1 < got[91]
 
 
+def test_long_texts_are_counted_and_scored_in_chunks(spark, monkeypatch):
+    rows = list(enumerate([*TEXTS, "a long text, " * 40, "so long " * 30, "ab" * 7]))
+    want = [(r["score"], r["n_tokens"], r["base_score"]) for r in scored(spark, rows, [8])]
+    depth, texts = 3, [lm_scoring.lowered(t) for _, t in rows]
+    whole = lm_scoring.runs(texts, depth)[0]
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 16)
+    parts = [c for t in texts for c in (lm_scoring._long_runs(t, depth) if len(t) > 16 else [lm_scoring.runs([t], depth)[0]])]
+    assert Counter(np.concatenate(parts).tolist()) == Counter(whole.tolist())
+    counts = lm_scoring._Counts(depth)
+    for i, t in enumerate(texts):
+        counts.add(i % 3 == 0, t)
+    counts.flush(False), counts.flush(True), counts.fold()
+    trained = Counter(c for i, t in enumerate(texts) if i % 3 for c in lm_scoring.runs([t], depth)[0].tolist())
+    assert dict(zip(counts.codes.tolist(), counts.counts.tolist())) == {c: trained[c] for c in whole.tolist()}
+    lookup = lm_scoring._Lookup(counts.codes, counts.counts.astype(float))
+    assert sum(lm_scoring._long_scores(texts[8], depth, lookup)) == sum(trained[c] for c in lm_scoring.runs([texts[8]], depth)[0].tolist())
+    assert len(want) == len(rows)
+
+
+MEASURE = """
+import random, resource, sys
+import numpy as np, pyarrow as pa
+from panelweave.llm import lm_scoring as lm
+rng = random.Random(1)
+letters = sys.argv[1]
+words = ["".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(30_000)]
+weights = [1 / (k + 1) for k in range(len(words))]
+texts, size = [], 0
+while size < lm.BLOCK_BYTES:
+    texts.append(" ".join(rng.choices(words, weights, k=300)))
+    size += len(texts[-1].encode())
+batches = [pa.RecordBatch.from_arrays([pa.array([1] * len(t)), pa.array([False] * len(t)), pa.array(t)], ["block", "held_out", "text"])
+           for t in (texts[i : i + 2000] for i in range(0, len(texts), 2000))]
+told = pa.Table.from_batches(list(lm._requests(lm.DEPTH)(iter(batches))))
+counted = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = pa.table({"doc_id": range(len(texts)), "held_out": [False] * len(texts), "text": texts})
+del texts, batches
+value = np.where(told["word"].is_valid().to_numpy(), told["n"].to_numpy(), -1.0)
+out = lm._score_block(lm.DEPTH, 1000, 100)(rows, told.append_column("value", pa.array(value)))
+print(counted // 1024, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, len(out))
+"""
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上个国和也子"])
+def test_memory_of_a_worker_for_a_whole_block(letters):
+    """Megabytes at most, the interpreter and the block's own texts (held twice here) included."""
+    out = subprocess.run([sys.executable, "-c", MEASURE, letters], capture_output=True, text=True, check=True, cwd=Path(lm_scoring.__file__).parents[2])
+    counted, scored_, n = map(int, out.stdout.split())
+    print(counted, scored_)
+    assert n > 1000 and counted < 300 and scored_ < 350
