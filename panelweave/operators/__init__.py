@@ -17,6 +17,7 @@ from panelweave.operators.link import Dim, Fact, Link, assemble_panel, join_dims
 from panelweave.operators.quality import (
     attribute_conflict_profile,
     consistent_entities,
+    distinct_rows,
     drop_conflicting_entities,
     keep_singleton_keys,
     key_multiplicity_profile,
@@ -44,6 +45,7 @@ __all__ = [
     "composition_table",
     "consistent_entities",
     "distinct_entity_row",
+    "distinct_rows",
     "drop_conflicting_entities",
     "drop_suffix",
     "first_activity",

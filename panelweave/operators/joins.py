@@ -39,6 +39,9 @@ MOST_CELLS = 1 << 20
 DEFAULT_PARTITIONS = 200
 
 
+#: Joins that return columns of the left side only.
+KEY_ONLY = ("left_semi", "left_anti")
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -197,7 +200,7 @@ def keyed_join(
 ) -> DataFrame:
     """Join ``left`` (many rows per key) to ``right`` (few rows per key) on equal keys.
 
-    ``how`` is ``inner``, ``left`` or ``left_semi``. NULL keys match NULL keys, repeated
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. NULL keys match NULL keys, repeated
     keys fan out, and other columns present on both sides get ``suffixes``. No broadcast
     is forced: Spark broadcasts ``right`` only when its size is under the session's limit.
     ``salts`` may carry :func:`key_salts` measured elsewhere on the same keys, or ``False``
@@ -211,18 +214,18 @@ def keyed_join(
     Filter ``left`` before the join: a filter on the result still runs ahead of the shuffle,
     but the dealing of rows keeps it from moving on into the scan.
     """
-    if how not in ("inner", "left", "left_semi"):
+    if how not in ("inner", "left", *KEY_ONLY):
         raise ValueError(f"unsupported join type: {how}")
     _check_keys(left, right, keys)
     if salts is None:
         salts = key_salts(left, keys)
-    if how == "left_semi":
-        right = right.select(*keys)
+    if how in KEY_ONLY:
+        right = right.select(*[F.col(f"`{k}`") for k in keys])
     else:
         before = left.columns
         left, right = _disambiguate(left, right, keys, suffixes)
         deal = None if deal is None else [after for name, after in zip(before, left.columns) if name in deal]
-    out = left.columns if how == "left_semi" else left.columns + [c for c in right.columns if c not in keys]
+    out = left.columns if how in KEY_ONLY else left.columns + [c for c in right.columns if c not in keys]
 
     carried = [F.col(f"`{c}`").alias(RIGHT + c if c in keys else c) for c in right.columns]
     on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{RIGHT}{k}`")) for k in keys])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -9,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelweave.operators.joins import keyed_join
+from panelweave.operators.joins import keyed_join, salts_of_counts
+from panelweave.sources.tables import reused
 
 
-def percent(part: Column | str, whole: Column | str) -> Column:
-    """``100 * part / whole`` to two places, NULL when the whole is 0."""
+def percent(part: Column | str, whole: Column | str, rounding: Callable[[Column, int], Column] = F.round) -> Column:
+    """``100 * part / whole`` to two places, NULL when the whole is 0; ``rounding`` may be :func:`round_nearest`."""
     part = F.col(part) if isinstance(part, str) else part
     whole = F.col(whole) if isinstance(whole, str) else whole
-    return F.round(F.try_divide(100 * part, whole), 2)
+    return rounding(F.try_divide(100 * part, whole), 2)
 
 
 def _low(attr: str) -> str:
@@ -84,13 +86,35 @@ def key_multiplicity_profile(df: DataFrame, keys: list[str], by: str) -> DataFra
     return counts.withColumn("repeated_pct", percent("repeated_keys", "total_keys"))
 
 
-def keep_singleton_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+def keep_singleton_keys(df: DataFrame, keys: list[str], deal: list[str] | None = None) -> DataFrame:
     """Drop every row of a key that occurs more than once; none of its rows is kept.
 
-    One shuffle: the remaining columns travel as the group's first record, which is the
-    only record of every group that is kept. Copies of a key merge before the shuffle.
+    Keys are counted first, by a hash aggregate over the key columns alone, and the repeated ones
+    are written down (when the query is built), so that Spark knows how many they are: few of
+    them it sends to the rows, which then stay where they are read; many meet the rows in a shuffle, in which the
+    counts tell the hot ones. ``deal`` is as in :func:`keyed_join`.
     """
-    rest = [c for c in df.columns if c not in keys]
-    carried = [F.first(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest")] if rest else []
-    single = df.groupBy(*keys).agg(F.count("*").alias("__n"), *carried).where("__n = 1")
-    return single.select(*[F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
+    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("__n"))
+    repeated = reused(counts.where("__n > 1"))
+    return keyed_join(df, repeated, keys, "left_anti", salts_of_counts(repeated, keys, "__n"), deal=deal)
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each row once, as ``distinct``, for tables of wide rows with few copies.
+
+    Rows are counted by a fingerprint of 128 bits. Rows whose fingerprint is theirs alone stay where
+    they are read; the others are compared in full, so that equal fingerprints of different rows do
+    no harm. Where the repeated fingerprints are few, only copies are shuffled. The fingerprints are written
+    down when the query is built. Columns of map type cannot be compared and are refused by Spark.
+    """
+    marks = ("__mark_a", "__mark_b")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # A hash passes over NULLs, so which columns are NULL is hashed beside the values.
+    nulls = [c.isNull() for c in columns]
+    marked = df.withColumns({m: F.xxhash64(F.lit(i), *columns, *nulls) for i, m in enumerate(marks)})
+    counts = marked.groupBy(*marks).agg(F.count("*").alias("__n"))
+    repeated = reused(counts.where("__n > 1"))
+    salts = salts_of_counts(repeated, list(marks), "__n")
+    alone = keyed_join(marked, repeated, list(marks), "left_anti", salts, deal=list(marks))
+    several = keyed_join(marked, repeated, list(marks), "left_semi", salts, deal=list(marks))
+    return alone.drop(*marks).unionByName(several.drop(*marks).distinct())

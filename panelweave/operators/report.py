@@ -6,6 +6,7 @@ meaning in Spark. Every table is one aggregate over the panel plus work on a few
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,7 +143,9 @@ def stack_report(*parts: DataFrame) -> DataFrame:
     return stacked.select("part_no", *[c for c in stacked.columns if c != "part_no"])
 
 
-def present(table: DataFrame, digits: int = 2, titles: dict[str, str] | None = None) -> DataFrame:
-    """Round the numbers for reading and give columns their display titles."""
-    rounded = {c: F.round(c, digits) for c, kind in table.dtypes if kind in ("double", "float")}
+def present(
+    table: DataFrame, digits: int = 2, titles: dict[str, str] | None = None, rounding: Callable[[Column, int], Column] = F.round
+) -> DataFrame:
+    """Round the numbers for reading, as :func:`round_nearest` if told so, and give columns their display titles."""
+    rounded = {c: rounding(F.col(f"`{c}`"), digits) for c, kind in table.dtypes if kind in ("double", "float")}
     return table.withColumns(rounded).withColumnsRenamed(titles or {})

@@ -23,6 +23,7 @@ from panelweave.functions.missing import (
     row_mean,
     row_sum,
 )
+from panelweave.functions.rounding import round_nearest
 from panelweave.functions.periods import days_in_month, leading_date, period_in_text, period_of, period_start, period_year
 from panelweave.operators import (
     Dim,
@@ -36,6 +37,7 @@ from panelweave.operators import (
     balance_panel,
     composition_table,
     distinct_entity_row,
+    distinct_rows,
     drop_conflicting_entities,
     drop_suffix,
     first_activity,
@@ -103,6 +105,29 @@ def scan_filter_dedup(spark, sf):
     return kept.select("o_custkey", F.year("o_orderdate").alias("order_year"), "status", "o_orderpriority").distinct()
 
 
+def row_duplicates(spark, sf):
+    """Rows of which some were written twice or three times, each kept once."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("A")).alias("flag"), F.nullif("l_linestatus", F.lit("F")).alias("status"), "l_quantity"
+    )
+    again = lines.where(F.col("l_orderkey") % 50 == 0)
+    return distinct_rows(lines.unionByName(again).unionByName(again.where(F.col("l_linenumber") < 3)))
+
+
+def rounding_rule(spark, sf):
+    """Ties and prices rounded to the nearest double with that many places."""
+    lines = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return lines.select(
+        "l_orderkey",
+        "l_linenumber",
+        round_nearest(F.col("l_quantity") / 8).alias("eighths"),
+        round_nearest(-F.col("l_quantity") / 40, 1).alias("fortieths"),
+        round_nearest(price, 1).alias("price"),
+        round_nearest(price / 7, 3).alias("weekly"),
+    )
+
+
 def filter_keep_null(spark, sf):
     """Exclusion filter that keeps unknown values, counted per value."""
     orders = table(spark, sf, "orders").withColumn("priority", F.nullif("o_orderpriority", F.lit("5-LOW")))
@@ -622,6 +647,8 @@ TABLE_QUERIES = {
     "period_stamp": period_stamp,
     "scan_filter_dedup": scan_filter_dedup,
     "filter_keep_null": filter_keep_null,
+    "row_duplicates": row_duplicates,
+    "rounding_rule": rounding_rule,
     "union_fill": union_fill,
     "rename_and_drop": rename_and_drop,
     "first_activity": first_activity_query,

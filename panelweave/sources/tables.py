@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +38,23 @@ def staged(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """A new folder for one job's stages, in a folder that all executors share.
+    """A new folder for one job's stages, in a folder that all executors share; what is left in it goes when the driver ends.
 
     ``spark.checkpoint.dir`` names it; where that is unset it is the warehouse, which
     has to be shared too. There is always one, so a plan never depends on the setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-    return f"{base.rstrip('/')}/panelweave-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/panelweave-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_end, spark, folder)
+    return folder
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder while the session still runs; without one there is no way to reach the file system."""
+    with contextlib.suppress(Exception):
+        if not spark.sparkContext._jsc.sc().isStopped():
+            remove_folder(spark, path)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

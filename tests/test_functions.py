@@ -141,3 +141,23 @@ def test_count_distinct_with_missing_values(spark):
 
 def test_rounding_ties_go_away_from_zero(spark):
     assert one(spark, F.round(F.col("v"), 2), v=("double", 0.125)) == 0.13
+
+
+def test_rounding_to_the_nearest_double_of_so_many_digits(spark):
+    from panelweave.functions.rounding import round_nearest
+    from panelweave.operators.quality import percent
+
+    # Written table: value, digits, result.
+    table = [
+        (0.15, 1, 0.1), (0.25, 1, 0.2), (0.35, 1, 0.3), (0.45, 1, 0.4), (0.65, 1, 0.7), (2.675, 2, 2.67), (0.125, 2, 0.12), (0.375, 2, 0.38),
+        (1.005, 2, 1.0), (2.5, 0, 2.0), (3.5, 0, 4.0), (1e15 + 0.5, 0, 1e15), (1e15 + 1.5, 0, 1e15 + 2), (0.0, 2, 0.0), (1e300, 2, 1e300),
+        (4.35, 2, 4.35), (99.995, 2, 100.0), (5e-324, 2, 0.0),
+    ]
+    for value, digits, want in table:
+        for sign in (1, -1):
+            got = spark.range(1).select(round_nearest(F.lit(sign * value), digits).alias("r")).first()["r"]
+            assert got == sign * want, (sign * value, digits, got)
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("-inf"),), (float("nan"),)], "v double")
+    assert [str(r[0]) for r in odd.select(round_nearest("v")).collect()] == ["None", "inf", "-inf", "nan"]
+    ratio = spark.createDataFrame([(1, 800), (0, 0)], "a int, b int").select(percent("a", "b"), percent("a", "b", round_nearest))
+    assert [tuple(r) for r in ratio.collect()] == [(0.13, 0.12), (None, None)]

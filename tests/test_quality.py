@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -92,3 +93,46 @@ def test_profile_matches_brute_force(spark, data):
     kept = drop_conflicting_entities(df, "id", ["sex"])
     assert kept.count() == sum(1 for r in data if len(values[r[0]]) == 1)
     assert kept.where(F.col("id").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_singletons_and_distinct_rows_with_hot_keys(spark, collect, broadcast):
+    from panelweave.operators import distinct_rows
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, None).otherwise(F.col("id"))
+        df = spark.range(0, 3000, 1, 8).select(hot.alias("k"), F.when(F.col("id") % 3 == 2, "x").alias("k 2"), F.array(F.lit("wide")).alias("rest"))
+        df = df.unionByName(df.where("k = 2"))
+        want = sorted(((i, "x", ["wide"]) for i in range(5, 3000, 3)), key=str)
+        assert sorted((tuple(r) for r in keep_singleton_keys(df, ["k", "k 2"]).collect()), key=str) == want
+        assert keep_singleton_keys(df.where("false"), ["k"]).count() == 0
+        one = sorted((tuple(r) for r in distinct_rows(df).collect()), key=str)
+        assert one == sorted((tuple(r) for r in df.distinct().collect()), key=str) and len(one) == 1002
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
+def test_rows_differing_in_the_place_of_a_null_stay_apart(spark, collect):
+    from panelweave.operators import distinct_rows
+
+    rows = [(None, 1, "a"), (1, None, "a"), (None, 1, "a"), (None, None, None), (None, None, None), (1, 1, "a")]
+    out = distinct_rows(spark.createDataFrame(rows, "a int, b int, c string"))
+    assert collect(out) == collect(spark.createDataFrame(list(dict.fromkeys(rows)), "a int, b int, c string"))
+
+
+def test_wide_rows_of_single_keys_are_neither_sorted_nor_shuffled(spark):
+    import re
+
+    from panelweave.operators import distinct_rows
+
+    df = spark.range(0, 4000, 1, 4).select((F.col("id") % 3990).alias("k"), F.repeat(F.lit("wide"), F.lit(50)).alias("text"))
+    out = keep_singleton_keys(df, ["k"])
+    assert len(out.collect()) == 3980
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and not re.search(r"Exchange hashpartitioning[^\n]*text", plan)
+    shuffled = distinct_rows(df)
+    assert len(shuffled.collect()) == 3990
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    # Only the copies reach the shuffle of the full comparison.
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
