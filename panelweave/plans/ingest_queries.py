@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.periods import period_of
-from panelweave.sources import load_panel, read_period_files, save_panel, stage_folder
+from panelweave.sources import load_panel, read_period_files, reused, save_panel, stage_folder, workbook, workbook_rows
 
 #: Lines before the header of the files with a preamble.
 PREAMBLE = ("Orders of the month", "", "source,in,columns", ",,,", '"5"', "6", "7", "8")
@@ -91,6 +91,59 @@ def ingest_line_breaks(spark, sf):
     return found.withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
 
 
+def ingest_inferred(spark, sf):
+    """Monthly files read without a schema: flags, dates, whole numbers, prices and texts, with gaps and drifting columns."""
+    folder = stage_folder(spark)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    key = F.col("o_orderkey")
+    rows = orders.select(
+        F.when(key % 7 > 0, key.cast("string")).otherwise("NA").alias("Order Key"),
+        F.when(key % 5 > 0, F.when(F.col("o_orderstatus") == "O", "TRUE").otherwise("false")).alias("open"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("placed"),
+        F.when(key % 11 > 0, F.col("o_totalprice").cast("string")).otherwise(F.floor("o_totalprice").cast("string")).alias("price"),
+        F.when(key % 1000 == 1, F.lit("none")).otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        period_of("o_orderdate").alias("mmyy"),
+    )
+    for name, part in (("even", rows.where(~_odd_month())), ("odd", rows.where(_odd_month()).select("price", "placed", "Order Key", "customer", "mmyy"))):
+        part.write.partitionBy("mmyy").csv(f"{folder}/{name}", header=True)
+        _name_by_period(spark, f"{folder}/{name}", f"{folder}/raw", name)
+    found = read_period_files(spark, f"{folder}/raw")
+    return found.select(
+        "DATE",
+        F.col("ORDER KEY").alias("order_key"),
+        F.col("OPEN").alias("is_open"),
+        F.date_add("PLACED", 1).cast("string").alias("next_day"),
+        (F.col("PRICE") * 2).alias("twice"),
+        F.concat("CUSTOMER", F.lit("!")).alias("customer"),
+    ).withColumnRenamed("DATE", "date")
+
+
+#: Rows of a workbook of the workbook query.
+BOOK_ROWS = 5000
+
+
+def ingest_workbooks(spark, sf):
+    """Monthly workbooks with eight rows before the header, merged cells and a sheet to pass over; a month has as many as it needs."""
+    orders = _orders(spark, sf).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+    sizes = orders.groupBy("mmyy").agg(F.ceil(F.count("*") / BOOK_ROWS).cast("int").alias("books"))
+    dealt = orders.join(sizes, "mmyy").withColumn("book", F.pmod(F.xxhash64("o_orderkey"), F.col("books")).cast("int"))
+
+    def bind(rows):
+        import pandas as pd
+
+        first = rows.iloc[0]
+        head = [["Orders of the month", None, first["mmyy"]], [], ["as told"], [], [None, 5], [], [], ["8"]]
+        names = ["o_totalprice", None, "O_CustKey", "o_orderpriority", "o_orderkey"]
+        cells = zip(rows["o_totalprice"].tolist(), rows["o_custkey"].tolist(), rows["o_orderpriority"], rows["o_orderkey"].tolist())
+        body = [[price, None, customer, priority, key] for price, customer, priority, key in cells]
+        content = workbook({"orders": [*head, names, [], *body], "notes": [["o_orderkey"], [1]]}, merged=("A1:B1",))
+        return pd.DataFrame({"path": [f"orders_{first['mmyy']} {first['book']}.xlsx"], "content": [content]})
+
+    books = reused(dealt.groupBy("mmyy", "book").applyInPandas(bind, "path string, content binary"))
+    found = workbook_rows(books, RAW, "orders", skip=len(PREAMBLE))
+    return found.withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
+
+
 def panel_round_trip(spark, sf):
     """Orders saved as a panel by year and loaded again, those of three years only."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("YEAR", F.year("o_orderdate"))
@@ -110,6 +163,8 @@ INGEST_QUERIES = {
     "ingest_monthly": ingest_monthly,
     "ingest_preamble": ingest_preamble,
     "ingest_line_breaks": ingest_line_breaks,
+    "ingest_inferred": ingest_inferred,
+    "ingest_workbooks": ingest_workbooks,
     "panel_round_trip": panel_round_trip,
     "null_predicate": null_predicate,
 }

@@ -200,10 +200,62 @@ def typed(col: Column, kind: T.DataType, name: str = "") -> Column:
     return F.trim(col).try_cast(kind)
 
 
+#: Kinds of column from narrow to wide, each with the texts that it takes; what none takes is text.
+LOGICAL_TEXT = r"\A(TRUE|True|true|FALSE|False|false)\z"
+WHOLE_TEXT = r"\A[+-]?[0-9]+\z"
+DATE_TEXT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+
+
+def _kinds(text: Column) -> list[tuple[T.DataType, Column]]:
+    return [
+        (T.BooleanType(), text.rlike(LOGICAL_TEXT)),
+        (T.LongType(), text.rlike(WHOLE_TEXT) & text.try_cast("long").isNotNull()),
+        (T.DoubleType(), number(text).isNotNull()),
+        (T.DateType(), text.rlike(DATE_TEXT) & text.try_cast("date").isNotNull()),
+    ]
+
+
+def _inferred(tables: list[DataFrame]) -> T.StructType:
+    """Types of all text columns of all tables, from one aggregate over them."""
+    names = list(dict.fromkeys(c for t in tables for c in t.columns))
+    if not names:
+        return T.StructType([])
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    flags = []
+    for i, name in enumerate(names):
+        text = F.trim(F.col(f"`{name}`"))
+        known = (text != "") & (text != MISSING_TEXT)
+        flags += [F.bool_and(F.when(known, fits)).alias(f"f{i}_{k}") for k, (_, fits) in enumerate(_kinds(text))]
+    found = stacked.agg(*flags).first()
+    kinds = [kind for kind, _ in _kinds(F.lit(""))]
+    fitting = lambda i: next((kind for k, kind in enumerate(kinds) if found[f"f{i}_{k}"]), T.StringType())
+    return T.StructType([T.StructField(name, fitting(i)) for i, name in enumerate(names)])
+
+
+def infer_schema(
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.csv",
+    recursive: bool = False,
+    skip: int = 0,
+    sep: str | None = None,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+) -> T.StructType:
+    """The columns of all files of a directory, upper-cased, with the narrowest type that takes all their values.
+
+    Types are logical, whole number (64 bits), number, date (``yyyy-mm-dd``) and text; a column that holds two kinds without
+    a common one, or nothing, is text. Blank and ``NA`` fit any. A file that lacks a column does not widen
+    it. One scan and one aggregate for all files and columns; one row comes back.
+    """
+    layouts = file_layouts(spark, path, pattern, recursive, skip, encoding, sep)
+    return _inferred([_scan(spark, layout, skip, encoding, multi_line).drop("__file") for layout in layouts])
+
+
 def read_period_files(
     spark: SparkSession,
     path: str,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     pattern: str = "*.csv",
     recursive: bool = False,
     skip: int = 0,
@@ -213,7 +265,7 @@ def read_period_files(
     multi_line: bool = False,
     required: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Stack the files of a directory into one table with the declared columns.
+    """Stack the files of a directory into one table with the declared columns, or without a schema with all, typed by :func:`infer_schema`.
 
     Columns are found by upper-cased name in each file; one a file lacks is NULL there, but
     a file without any, or without one of ``required``, is refused. ``skip`` preamble
@@ -224,12 +276,15 @@ def read_period_files(
     in encodings of several bytes for a line feed are read by one task each); without it they are refused.
     """
     tables = []
-    for layout in file_layouts(spark, path, pattern, recursive, skip, encoding, sep):
+    layouts = file_layouts(spark, path, pattern, recursive, skip, encoding, sep)
+    scans = [_scan(spark, layout, skip, encoding, multi_line) for layout in layouts]
+    if schema is None:
+        schema = _inferred([scan.drop("__file") for scan in scans])
+    for layout, scan in zip(layouts, scans):
         first = next(iter(layout.leading))
         absent = [n for n in required if n not in layout.names]
         if absent or not any(f.name in layout.names for f in schema):
             raise ValueError(f"no column {', '.join(absent) or 'that is declared'} in {first}")
-        scan = _scan(spark, layout, skip, encoding, multi_line)
         columns = [typed(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in schema if f.name in layout.names]
         if stamp:
             # Scans escape file names; an escape's digits are no period.
