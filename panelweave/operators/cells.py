@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.exact import exact_sum
 from panelweave.functions.missing import as_column, flag
 
 
@@ -45,13 +46,15 @@ def derived(name: str, value: Column) -> Metric:
     return Metric(name, "derived", value)
 
 
-def panel_cells(df: DataFrame, keys: list[str], entity: str, metrics: list[Metric]) -> DataFrame:
+def panel_cells(df: DataFrame, keys: list[str], entity: str, metrics: list[Metric], exact: bool = False) -> DataFrame:
     """One row per cell with the listed metrics, in order.
 
     Rows are first reduced to one per (cell, entity), then to one per cell. Distinct
     counts become plain counts, all metrics share one scan, and the rows of a large cell
-    spread over tasks by entity.
+    spread over tasks by entity. ``exact`` makes totals and means the same for any order of
+    rows, to the last digit, as doubles.
     """
+    summed = exact_sum if exact else F.sum
     stored = [(i, m) for i, m in enumerate(metrics) if m.kind != "derived"]
     first, second = [], []
     hit, unknown = (lambda i: f"__hit_{i}"), (lambda i: f"__unknown_{i}")
@@ -68,8 +71,8 @@ def panel_cells(df: DataFrame, keys: list[str], entity: str, metrics: list[Metri
                 none = missing | (F.coalesce(met, F.lit(False)) & F.col(entity).isNull())
                 result = result + F.max(none.cast("int"))
         else:
-            first.append(F.sum(m.value).alias(f"__sum_{i}"))
-            result = F.sum(f"__sum_{i}")
+            first.append(summed(m.value).alias(f"__sum_{i}"))
+            result = summed(f"__sum_{i}")
             if m.kind == "total":
                 result = F.coalesce(result, F.lit(0))
             else:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.exact import exact_deviation, exact_mean
 from panelweave.functions.missing import is_in, row_sum
 
 
@@ -35,20 +36,22 @@ def pick(value: Column, group: str, level) -> Column:
 
 
 def group_difference_table(
-    df: DataFrame, group: str, levels: dict[str, object], variables: list[Variable], minuend: str
+    df: DataFrame, group: str, levels: dict[str, object], variables: list[Variable], minuend: str, exact: bool = False
 ) -> DataFrame:
     """Per variable: mean of two levels, their difference and its standard error.
 
     ``levels`` maps two result column names to group values; ``diff`` is the ``minuend``
     column less the other. Means and deviations skip NULL, the standard error divides by
-    all rows of the level. All variables share one scan and one partial aggregation.
+    all rows of the level. All variables share one scan and one partial aggregation. ``exact``
+    makes them the same for any order of rows.
     """
     if len(levels) != 2 or minuend not in levels:
         raise ValueError("give two levels and name one of them as minuend")
     subtrahend = next(name for name in levels if name != minuend)
     aggregates = [F.count("*").alias("__n")]
+    averaged, spread = (exact_mean, exact_deviation) if exact else (F.avg, F.stddev_samp)
     for i, v in enumerate(variables):
-        aggregates += [F.avg(v.column).alias(f"__mean_{i}"), F.stddev_samp(v.column).alias(f"__sd_{i}")]
+        aggregates += [averaged(v.column).alias(f"__mean_{i}"), spread(v.column).alias(f"__sd_{i}")]
     grouped = df.where(F.col(group).isin(list(levels.values()))).groupBy(group).agg(*aggregates)
 
     rows = [

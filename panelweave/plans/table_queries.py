@@ -114,6 +114,21 @@ def row_duplicates(spark, sf):
     return distinct_rows(lines.unionByName(again).unionByName(again.where(F.col("l_linenumber") < 3)))
 
 
+def exact_cells(spark, sf):
+    """Sums, means and a derived ratio by ship year and flag that no order of rows changes."""
+    lines = table(spark, sf, "lineitem").withColumn("ship_year", F.year("l_shipdate"))
+    known = F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    signed = F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")) / 3
+    metrics = [
+        cells.total("income", known),
+        cells.total("signed", signed),
+        cells.mean("mean_tax", F.col("l_tax") / 7),
+        cells.derived("per_tax", F.try_divide(F.col("income"), F.col("mean_tax"))),
+    ]
+    out = panel_cells(lines, ["ship_year", "l_returnflag"], "l_suppkey", metrics, exact=True)
+    return out.withColumns(rounded("income", "signed", digits=5) | rounded("per_tax", digits=3) | rounded("mean_tax", digits=12))
+
+
 def rounding_rule(spark, sf):
     """Ties and prices rounded to the nearest double with that many places."""
     lines = table(spark, sf, "lineitem")
@@ -649,6 +664,7 @@ TABLE_QUERIES = {
     "filter_keep_null": filter_keep_null,
     "row_duplicates": row_duplicates,
     "rounding_rule": rounding_rule,
+    "exact_cells": exact_cells,
     "union_fill": union_fill,
     "rename_and_drop": rename_and_drop,
     "first_activity": first_activity_query,
