@@ -6,7 +6,8 @@ therefore shares a fingerprint with it. Fingerprints join on their hash, and eac
 extended to the ten-word windows around it, which are then compared by their words.
 
 Items of one to nine words are one window of their own length. They are shorter than winnowing
-can promise to find, so every run of that length is looked up for the few lengths that occur.
+can promise to find, so every run of that length is looked up too, for the few lengths that occur, in the same
+pass over the documents.
 
 NULL and empty texts have no words and no hits. Rows are told apart by id and text, so repeated
 rows each get the result of their text.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import let, lower_ascii, split_words, whole_number
+from panelweave.llm.common import Stages, let, lower_ascii, split_words, whole_number
 
 WINDOW = 10
 GRAM = 5
@@ -35,8 +36,8 @@ def _runs(hashes: Column, length: int) -> Column:
     return F.transform(F.slice(hashes, 1, count), lambda _, i: F.xxhash64(F.slice(hashes, i + 1, length)))
 
 
-def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """Array of (place of the run's first word, hash) that winnowing selects from an array of words."""
+def fingerprints(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
+    """Array of (place of the run's first word, hash) that winnowing selects from an array of word hashes."""
     width = window - gram + 1
 
     def select(grams: Column) -> Column:
@@ -47,16 +48,21 @@ def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM) -> Colum
         )
         return F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("place"), F.get(grams, p).alias("hash")))
 
-    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda hashes: let(_runs(hashes, gram), select))
+    return let(_runs(hashes, gram), select)
 
 
-def runs_of_length(words: Column, length: int) -> Column:
-    """Array of (place, hash) of every run of ``length`` words."""
+def probes(words: Column, short: list[int], window: int = WINDOW, gram: int = GRAM) -> Column:
+    """Array of (length, place, hash): the fingerprints, for windows of ``window`` words, and every run of each shorter length."""
 
-    def placed(runs: Column) -> Column:
-        return F.transform(runs, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+    def all_of(hashes: Column) -> Column:
+        full = F.transform(fingerprints(hashes, window, gram), lambda f: F.struct(F.lit(window).alias("length"), f["place"], f["hash"]))
+        def placed(n: int) -> Column:
+            return F.transform(_runs(hashes, n), lambda h, i: F.struct(F.lit(n).alias("length"), i.alias("place"), h.alias("hash")))
 
-    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda hashes: placed(_runs(hashes, length)))
+        runs = [placed(n) for n in short]
+        return F.concat(full, *runs) if runs else full
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), all_of)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,16 +85,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are left out.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    targets = item_windows(benchmark, window)
+    stages = Stages(docs.sparkSession, "decontamination")
+    # Windows of the same items share a set of them by its digest: a passage that many items quote has one.
+    ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    windows = stages.write(item_windows(benchmark, window).withColumn("item_set", F.sha2(ids.cast("binary"), 256)), "windows")
+    sets = windows.groupBy("item_set").agg(F.first("items").alias("items"))
+    targets = windows.drop("items")
     short = sorted(r["length"] for r in targets.where(F.col("length") < window).select("length").distinct().collect())
 
     words = words_of(F.col("text"))
-    found = _hits(keyed, targets.where(F.col("length") == window), lambda w: fingerprints(w, window, gram))
-    first = F.greatest(F.col("place") - (window - gram), F.lit(0))
-    starts = found.select("doc_id", "text_hash", F.explode(F.sequence(first, "place")).alias("start"), F.lit(window).alias("length"))
-    for length in short:
-        exact = _hits(keyed, targets.where(F.col("length") == length), lambda w, n=length: runs_of_length(w, n))
-        starts = starts.unionByName(exact.select("doc_id", "text_hash", F.col("place").alias("start"), F.lit(length).alias("length")))
+    # One pass over the documents for windows of all lengths.
+    own = keyed.select("doc_id", "text_hash", F.explode(probes(words, short, window, gram)).alias("f")).select("doc_id", "text_hash", "f.*")
+    of_length = F.explode(probes(F.split("window", " "), short, window, gram)).alias("f")
+    wanted = targets.select(F.col("length").alias("of"), of_length).where(F.col("of") == F.col("f.length")).select("f.length", "f.hash").distinct()
+    found = own.join(wanted, ["length", "hash"], "left_semi")
+    reach = F.when(F.col("length") == window, window - gram).otherwise(0)
+    starts = found.select("doc_id", "text_hash", "length", F.explode(F.sequence(F.greatest(F.col("place") - reach, F.lit(0)), "place")).alias("start"))
 
     places = starts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("places"))
     near = (
@@ -104,18 +116,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         )
 
     around = near.select("doc_id", "text_hash", F.explode(let(F.col("words"), lambda w: spelled(w, F.col("places")))).alias("at"))
-    matched = around.select("doc_id", "text_hash", "at.*").join(targets, ["window", "length"])
-    return matched.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    matched = stages.write(around.select("doc_id", "text_hash", "at.*").join(targets, ["window", "length"]).drop("window"), "matched")
+    spans = matched.groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans")
     )
-
-
-def _hits(keyed: DataFrame, targets: DataFrame, select) -> DataFrame:
-    """Places of documents whose selected hash is also selected in some target window."""
-    wanted = targets.select(F.explode(select(F.split("window", " "))).alias("f")).select("f.hash").distinct()
-    own = keyed.select("doc_id", "text_hash", F.explode(select(words_of(F.col("text")))).alias("f"))
-    return own.select("doc_id", "text_hash", "f.*").join(wanted, "hash", "left_semi")
+    items = matched.select("doc_id", "text_hash", "item_set").distinct().join(sets, "item_set")
+    items = items.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.collect_set("item").alias("items"))
+    return spans.join(*_same_row(spans, items)).select(spans["doc_id"], spans["text_hash"], "spans", "items")
 
 
 def _same_row(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Column]:

@@ -65,7 +65,27 @@ def test_empty_tables(spark, docs_table):
 
 def test_fingerprints_take_the_first_least_hash_of_each_window(spark):
     words = [f"w{i}" for i in range(30)]
-    row = spark.createDataFrame([(words,)], "w array<string>").select(dc.fingerprints(F.col("w")).alias("f"), dc.runs_of_length(F.col("w"), 5).alias("g")).first()
-    hashes = [g["hash"] for g in row["g"]]
+    hashed = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    row = hashed.select(dc.fingerprints(F.col("h")).alias("f"), dc._runs(F.col("h"), 5).alias("g")).first()
+    hashes = row["g"]
     want = {i + hashes[i : i + 6].index(min(hashes[i : i + 6])) for i in range(len(hashes) - 5)}
     assert [f["place"] for f in row["f"]] == sorted(want)
+
+
+def test_many_items_of_one_preamble_and_a_very_long_text(spark, docs_table):
+    preamble = " ".join(f"pre{i}" for i in range(50))
+    items = [(i, f"{preamble} own{i} words{i} of{i} item{i} end{i}") for i in range(2000)] + [(5000, "two words")]
+    long = " ".join(f"l{i % 977}" for i in range(400_000))
+    rows = [(1, f"a {preamble} b"), (2, f"c {preamble} own7 words7 of7 item7 end7 d"), (3, long + " two words " + preamble + " " + long), (4, "x" * 1_000_000)]
+    assert found(spark, docs_table(rows), items) == sorted(brute.decontamination(rows, items), key=str)
+
+
+def test_documents_are_scanned_three_times_at_most(spark, tmp_path):
+    import re
+
+    spark.createDataFrame([(i, ITEMS[0][1] + f" x{i}") for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    out = dc.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # One more pass finds the hits, when the table is built.
+    assert len(re.findall(r"Relation \[doc_id", plan)) == 1
