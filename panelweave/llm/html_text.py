@@ -25,14 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import ship
+from panelweave.llm.common import Stages, ship
 
 #: A subtree is a template part from so many different main texts of its host on, however many the host has.
 MIN_PAGES = 10
 
 # Fixed element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -124,8 +124,15 @@ def _dropped(element: Element, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", element.attribute("style") or "", re.I):
         return True
-    marks = f"{element.attribute('class') or ''} {element.attribute('id') or ''}".lower()
-    return element.tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", marks))
+    if element.tag in ("html", "body", "article", "main"):
+        return False
+    # Ids of prose and headings are made of what they say, and one word of a mark may be about the text:
+    # inside the main text only marks that say nothing else count.
+    words = lambda name: [w for w in re.split(r"[^a-z0-9]+", (element.attribute(name) or "").lower()) if w]
+    if not inside:
+        return not DROPPED_WORDS.isdisjoint(words("class") + words("id"))
+    marks = [words("class"), [] if element.tag in PROSE else words("id")]
+    return any(m and DROPPED_WORDS.issuperset(m) for m in marks)
 
 
 def _walk(element: Element) -> Iterator[Element]:
@@ -238,7 +245,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     ship(pages.sparkSession)
     body = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", body).alias("key"))
-    seen = keyed.select("host", "key", "html").mapInPandas(_subtrees, "host string, key long, main long, subtree long")
+    stages = Stages(pages.sparkSession, "html-text")
+    seen = stages.write(keyed.select("host", "key", "html").mapInPandas(_subtrees, "host string, key long, main long, subtree long"), "subtrees")
     beside = seen.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     templates = beside.where(F.col("n") >= min_pages).select("host", "subtree")
     found = seen.select("host", "key", "subtree").join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates"))

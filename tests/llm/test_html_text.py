@@ -16,6 +16,23 @@ def test_main_text():
     assert text(page) == "Head & more\n\nOne two three\n\nFour five <x> é\n\nfirst\n\nsecond\n\na\n\nb\n\nc d"
 
 
+def test_marks_that_are_about_the_text_drop_nothing():
+    page = """<article><h2 id="social-impact">Impact</h2><section id="related-work"><p class="share price">A share costs <math><mi>x</mi>
+    <mo>+</mo><mn>1</mn></math> now</p></section><h3 id="comments">Comments</h3><p id="ad">First</p><div class="share sidebar">Tell all</div>
+    <section class="comments">Nice</section><p class="ad">Buy</p><div id="newsletter">Sign up</div></article>"""
+    assert text(page) == "Impact\n\nA share costs x +1 now\n\nComments\n\nFirst"
+
+
+def test_counts_find_menus_that_bear_no_mark(spark):
+    menu = "<div><ul><li><a href='/a'>Start</a><li><a href='/b'>All texts</a></ul></div>"
+    foot = "<div><span>Made by us</span><div>Write to us</div></div>"
+    pages = [(i, f"http://plain.example/{i}", f"<html><body>{menu}<div><h1>Title {i}</h1><p>Text {i}.</p></div>{foot}</body></html>") for i in range(25)]
+    table = rows(spark, pages)
+    assert {r["text"] for r in ht.extract(table).collect()} == {f"Title {i}\n\nText {i}." for i in range(25)}
+    untouched = {r["text"] for r in ht.extract(table, min_pages=10**9).collect()}
+    assert all("All texts" in t and "Write to us" in t for t in untouched)
+
+
 def test_broken_pages():
     assert text("") == ""
     assert text("plain") == "plain"
