@@ -6,6 +6,10 @@ names a group, copies with each other term of the same set in its place are made
 fit also pays for the squared change of the score between a text and its copies. So the
 terms themselves cannot carry a verdict, however they are spread over the labels.
 
+Terms come from two places: written sets for groups of people, and pairs found in the sample, words that stand in
+the same place of sentences that are otherwise equal and that toxic and other texts use about
+equally often. What is swapped there changes no label either.
+
 The fit minimises the mean logistic loss, both kinds weighing the same, + ``sparse`` * |w| + ``fair`` * mean squared change by proximal gradient
 steps. Everything else runs over all rows: each worker holds the non-zero weights only.
 
@@ -29,7 +33,11 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import ship
 
 #: Labelled rows that the fit reads, at most half of them toxic; they are the first by a hash of their id.
-FIT_ROWS = 6_000
+FIT_ROWS = 5_000
+#: Word pairs that are found in the sample, and swapped copies that one text gets of them.
+PAIRS, PAIR_COPIES = 200, 3
+#: Words of a sentence in which a pair may be found, and the texts of each kind in which each word has to occur.
+SENTENCE_WORDS, BOTH_KINDS = range(4, 31), 3
 PREFIXES = range(3, 9)
 SPARSE, FAIR, STEPS = 1e-3, 1.0, 200
 WORD = re.compile(r"[^\W\d_]+")
@@ -77,7 +85,10 @@ def text_features(words: set[str]) -> np.ndarray:
 
 def swaps(text: str | None, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[set[str]]:
     """The words of each copy of ``text`` in which one identity term of one sentence gives way to another of its set."""
-    others = {t: [o for o in group if o != t] for group in terms for t in group}
+    others: dict[str, list[str]] = {}
+    for group in terms:
+        for t in group:
+            others.setdefault(t, []).extend(o for o in group if o != t and o not in others.get(t, ()))
     sentences = [WORD.findall(s) for s in SENTENCE.findall((text or "").lower())]
     copies = []
     for k, sentence in enumerate(sentences):
@@ -202,22 +213,60 @@ def training_rows(docs: DataFrame, labels: DataFrame, eligible: Column, rows: in
     drawn = None
     for kind in (0, 1):
         own = known.where((F.col("toxic") > 0) == F.lit(bool(kind)))
-        share = min(1.0, rows / 2 / max(own.count(), 1))
-        part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows // 2)
+        # A cut by the hash leaves somewhat more rows than wanted; of these the first by hash and id, whatever the order of files.
+        share = min(1.0, 1.3 * rows / 2 / max(own.count(), 1))
+        hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        part = own.where(hashed < int(share * (1 << 30))).orderBy(hashed, "doc_id").limit(rows // 2)
         part = part.withColumn("toxic", F.lit(kind))
         drawn = part if drawn is None else drawn.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows with equal ids the least text is read.
+    held = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return held.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each word of each sentence a hash of the rest of the sentence around it."""
+    import xxhash
+
+    for batch in batches:
+        out = set()
+        for text in batch["text"]:
+            for sentence in SENTENCE.findall((text or "").lower()):
+                words = WORD.findall(sentence)
+                if len(words) in SENTENCE_WORDS:
+                    for i, word in enumerate(words):
+                        out.add((xxhash.xxh3_64_intdigest(" ".join([*words[:i], "\0", *words[i + 1 :]])) - (1 << 63), word))
+        yield pd.DataFrame(list(out), columns=["slot", "word"])
 
 
-def train(sample: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, **settings) -> Model:
+def like_words(sample: DataFrame, most: int = PAIRS) -> list[tuple[str, str]]:
+    """Pairs of words found in the same slot of ``sample`` (toxic, text), used by both kinds of text at rates within a factor of two.
+
+    At most ``most`` pairs, those of the most slots first. The sample is bounded, and so is what comes back.
+    """
+    ship(sample.sparkSession)
+    slots = sample.select("text").mapInPandas(_slots, "slot long, word string").distinct()
+    pairs = slots.groupBy("slot").agg(F.min("word").alias("a"), F.max("word").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    kinds = sample.groupBy().agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") == 0).alias("f")).first()
+    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
+    used = words.groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") == 0).alias("f"))
+    rate = (F.col("t") * max(kinds["f"], 1)) / (F.col("f") * max(kinds["t"], 1))
+    even = used.where((F.col("t") >= BOTH_KINDS) & (F.col("f") >= BOTH_KINDS)).where(rate.between(0.5, 2.0)).select("word")
+    found = pairs.join(even.withColumnRenamed("word", "a"), "a", "left_semi").join(even.withColumnRenamed("word", "b"), "b", "left_semi")
+    return [(r["a"], r["b"]) for r in found.orderBy(F.desc("n"), "a", "b").limit(most).collect()]
+
+
+def train(sample: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, pairs: int = PAIRS, **settings) -> Model:
     """Fit on ``sample`` (toxic, text), whose features are made in tasks and gathered."""
+    found_pairs = like_words(sample, pairs) if pairs else []
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 own = text_features(words_of(text))
-                copies = [text_features(c) for c in swaps(text, terms)]
+                swapped = swaps(text, terms) + swaps(text, found_pairs)[:PAIR_COPIES]
+                copies = [text_features(c) for c in swapped]
                 lost = [np.setdiff1d(own, c, assume_unique=True).tobytes() for c in copies]
                 gained = [np.setdiff1d(c, own, assume_unique=True).tobytes() for c in copies]
                 out.append((int(toxic), own.tobytes(), lost, gained))

@@ -54,3 +54,22 @@ def test_empty_table_and_repeated_rows(spark, docs_table):
     docs = docs_table([(1, None), (1, None)]).select("doc_id", "text")
     assert qr.apply_rules(docs.limit(0)).collect() == []
     assert [r["kept"] for r in qr.apply_rules(docs).collect()] == [False, False]
+
+
+def test_a_dear_rule_is_measured_as_dearer_and_goes_last(spark, docs_table):
+    prose = " ".join(f"word{i}" for i in range(300))
+    docs = docs_table([(i, prose + (" ###" if i % 2 else "")) for i in range(60)]).select("doc_id", "text")
+    body = F.col("text")
+    dear = F.length(F.regexp_replace(F.repeat(body, F.lit(10)), r"[^\\p{L}]+", "")) < 100_000
+    rules = [qr.Rule("dear", dear), qr.Rule("cheap", F.col("m")["n_symbols"] > 0), qr.Rule("middling", F.length(F.regexp_replace(body, "[^#]+", "")) > 0)]
+    for _ in range(3):
+        found = {rule.name: (share, cost) for rule, share, cost in qr.estimate(docs, rules)}
+        assert found["dear"][0] == 1.0 and found["cheap"][0] == 0.5
+        assert found["dear"][1] > 2 * found["middling"][1] and found["dear"][1] > 2 * found["cheap"][1]
+        assert [r.name for r in qr.ordered([(r, *found[r.name]) for r in rules])][0] == "cheap"
+
+
+def test_a_very_long_text(spark, docs_table):
+    rows = [(1, "same words again " * 100_000), (2, " ".join(f"w{i}" for i in range(200_000))), (3, "x" * 3_000_000)]
+    got = qr.measures(docs_table(rows).drop("m")).select("doc_id", *[F.col("m")[n] for n in NAMES], qr.base_failed()).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute.quality(rows))

@@ -79,3 +79,68 @@ def test_no_labels_or_one_kind(spark, docs_table):
         labels = spark.createDataFrame(rows, "doc_id long, toxic int")
         assert all(abs(r["score"] - want) < 1e-9 for r in tx.toxicity(docs, labels).collect())
     assert tx.toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
+
+
+def paired(n=300):
+    """Sentences in which ``azure`` and ``navy`` stand in the same places, in texts of both kinds."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        toxic = i % 2
+        stem = f"the {rng.choice(['azure', 'navy'])} house by lake{i % 10} is old"
+        rows.append((i, f"{stem}. word{rng.randrange(40)} word{rng.randrange(40)} here{i}. {'dreadful' if toxic else 'lovely'} stuff{i % 7}", toxic))
+    return rows
+
+
+def test_pairs_of_like_words_come_from_the_data(spark):
+    sample = spark.createDataFrame(paired(), "doc_id long, text string, toxic int").repartition(5)
+    found = tx.like_words(sample)
+    assert ("azure", "navy") in found
+    assert not any("dreadful" in p or "lovely" in p for p in found)  # each is of one kind
+    assert found == tx.like_words(sample.repartition(3)) and len(tx.like_words(sample, 1)) == 1
+
+
+def plain_fit(rows, toxic, changes, sparse, fair, steps):
+    """The same objective by plain gradient steps over a dense matrix of all features."""
+    known = sorted({f for r in rows for f in r.tolist()})
+    at = {f: k for k, f in enumerate(known)}
+    x = np.zeros((len(rows), len(known)))
+    for i, r in enumerate(rows):
+        x[i, [at[f] for f in r.tolist()]] = 1
+    d = np.zeros((len(changes), len(known)))
+    for i, (lost, gained) in enumerate(changes):
+        for f in lost.tolist():
+            d[i, at[f]] += 1
+        for f in gained.tolist():
+            if f in at:
+                d[i, at[f]] -= 1
+    weight = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+    w, b = np.zeros(len(known)), 0.0
+    top = np.linalg.norm(np.c_[x, np.ones(len(x))] * np.sqrt(weight / 4)[:, None], 2) ** 2 + 2 * fair / max(len(d), 1) * np.linalg.norm(d, 2) ** 2
+    for _ in range(steps):
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - toxic)
+        slope = x.T @ error + (2 * fair / len(d) * d.T @ (d @ w) if len(d) else 0)
+        new = w - slope / top
+        w, b = np.sign(new) * np.maximum(np.abs(new) - sparse / top, 0), b - error.sum() / top
+    return x @ w + b
+
+
+def test_the_fit_reaches_the_plain_optimum():
+    rows = labelled(120)
+    own = [tx.text_features(tx.words_of(t)) for _, t, _ in rows]
+    toxic = np.array([float(y) for *_, y in rows])
+    changes = [(np.setdiff1d(f, c), np.setdiff1d(c, f)) for f, (_, t, _) in zip(own, rows) for c in map(tx.text_features, tx.swaps(t, GROUP))]
+    model = tx.fit(own, toxic, changes, sparse=5e-3, fair=1.0, steps=2000)
+    want = 1 / (1 + np.exp(-plain_fit(own, toxic, changes, 5e-3, 1.0, 20_000)))
+    assert np.abs(model.score([t for _, t, _ in rows]) - want).max() < 0.01
+
+
+def test_scores_do_not_depend_on_the_order_of_files(spark, docs_table):
+    rows = paired(200)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = docs_table([(i, t) for i, t, _ in rows])
+    first, second = ({r["doc_id"]: r["score"] for r in tx.toxicity(d, l).collect()} for d, l in ((docs, labels), (docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(5))))
+    assert first == second
+    sample = tx.training_rows(docs, labels, F.lit(True), 40)
+    again = tx.training_rows(docs.repartition(9), labels.orderBy(F.desc("doc_id")), F.lit(True), 40)
+    assert {r["doc_id"] for r in sample.collect()} == {r["doc_id"] for r in again.collect()} and sample.count() == 40
