@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ FIT_ROWS = 5_000
 PAIRS, PAIR_COPIES = 200, 3
 #: Words of a sentence in which a pair may be found, and the texts of each kind in which each word has to occur.
 SENTENCE_WORDS, BOTH_KINDS = range(4, 31), 3
+#: Places of words that a task sends at once.
+SLOTS_SENT = 20_000
 PREFIXES = range(3, 9)
 SPARSE, FAIR, STEPS = 1e-3, 1.0, 200
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,19 +86,30 @@ def text_features(words: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((f for w in words for f in word_features(w)), np.uint32))
 
 
-def swaps(text: str | None, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[set[str]]:
-    """The words of each copy of ``text`` in which one identity term of one sentence gives way to another of its set."""
+def others_of(terms: Sequence[Sequence[str]]) -> dict[str, list[str]]:
+    """For each term the others of its sets."""
     others: dict[str, list[str]] = {}
     for group in terms:
         for t in group:
             others.setdefault(t, []).extend(o for o in group if o != t and o not in others.get(t, ()))
+    return others
+
+
+def swapped(text: str | None, others: dict[str, list[str]]) -> Iterator[set[str]]:
+    """The words of each copy of ``text`` in which one term of one sentence gives way to another; made one by one."""
     sentences = [WORD.findall(s) for s in SENTENCE.findall((text or "").lower())]
-    copies = []
     for k, sentence in enumerate(sentences):
-        rest = {w for j, s in enumerate(sentences) if j != k for w in s}
-        for term in sorted(set(sentence) & others.keys()):
-            copies += [rest | {other if w == term else w for w in sentence} for other in others[term]]
-    return copies
+        found = sorted(set(sentence) & others.keys())
+        if found:
+            rest = {w for j, s in enumerate(sentences) if j != k for w in s}
+            for term in found:
+                for other in others[term]:
+                    yield rest | {other if w == term else w for w in sentence}
+
+
+def swaps(text: str | None, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[set[str]]:
+    """All copies of ``text`` in which one identity term of one sentence gives way to another of its set."""
+    return list(swapped(text, others_of(terms)))
 
 
 @dataclass
@@ -225,18 +239,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, eligible: Column, rows: in
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each word of each sentence a hash of the rest of the sentence around it."""
+    """For each word of each sentence a hash of the rest of the sentence around it, a bounded number of rows at a time."""
     import xxhash
 
+    slots: list[int] = []
+    held: list[str] = []
     for batch in batches:
-        out = set()
         for text in batch["text"]:
             for sentence in SENTENCE.findall((text or "").lower()):
                 words = WORD.findall(sentence)
                 if len(words) in SENTENCE_WORDS:
-                    for i, word in enumerate(words):
-                        out.add((xxhash.xxh3_64_intdigest(" ".join([*words[:i], "\0", *words[i + 1 :]])) - (1 << 63), word))
-        yield pd.DataFrame(list(out), columns=["slot", "word"])
+                    slots += [xxhash.xxh3_64_intdigest(" ".join([*words[:i], "\0", *words[i + 1 :]])) - (1 << 63) for i in range(len(words))]
+                    held += words
+                if len(slots) >= SLOTS_SENT:
+                    yield pd.DataFrame({"slot": slots, "word": held})
+                    slots, held = [], []
+    yield pd.DataFrame({"slot": pd.Series(slots, dtype="int64"), "word": pd.Series(held, dtype=object)})
 
 
 def like_words(sample: DataFrame, most: int = PAIRS) -> list[tuple[str, str]]:
@@ -258,17 +276,18 @@ def like_words(sample: DataFrame, most: int = PAIRS) -> list[tuple[str, str]]:
 
 def train(sample: DataFrame, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, pairs: int = PAIRS, **settings) -> Model:
     """Fit on ``sample`` (toxic, text), whose features are made in tasks and gathered."""
-    found_pairs = like_words(sample, pairs) if pairs else []
+    written, found_pairs = others_of(terms), others_of(like_words(sample, pairs) if pairs else [])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 own = text_features(words_of(text))
-                swapped = swaps(text, terms) + swaps(text, found_pairs)[:PAIR_COPIES]
-                copies = [text_features(c) for c in swapped]
-                lost = [np.setdiff1d(own, c, assume_unique=True).tobytes() for c in copies]
-                gained = [np.setdiff1d(c, own, assume_unique=True).tobytes() for c in copies]
+                lost, gained = [], []
+                for copy in chain(swapped(text, written), islice(swapped(text, found_pairs), PAIR_COPIES)):
+                    other = text_features(copy)
+                    lost.append(np.setdiff1d(own, other, assume_unique=True).tobytes())
+                    gained.append(np.setdiff1d(other, own, assume_unique=True).tobytes())
                 out.append((int(toxic), own.tobytes(), lost, gained))
             yield pd.DataFrame(out, columns=["toxic", "own", "lost", "gained"])
 
