@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.periods import period_of
-from panelweave.sources import load_panel, read_period_files, reused, save_panel, stage_folder, workbook, workbook_rows
+from panelweave.plans.table_queries import group_difference
+from panelweave.sources import load_panel, read_period_files, reused, save_panel, save_report, stage_folder, workbook, workbook_rows
 
 #: Lines before the header of the files with a preamble.
 PREAMBLE = ("Orders of the month", "", "source,in,columns", ",,,", '"5"', "6", "7", "8")
@@ -64,6 +65,25 @@ def ingest_monthly(spark, sf):
     return read_period_files(spark, raw, RAW).withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
 
 
+def ingest_nested(spark, sf):
+    """Monthly files in folders below folders: those of even months deeper, and with another name pattern beside them."""
+    folder, orders = stage_folder(spark), _orders(spark, sf)
+    for name, rows, place in (("odd", orders.where(_odd_month()), "raw/odd"), ("even", orders.where(~_odd_month()), "raw/even/deep")):
+        rows.write.partitionBy("mmyy").csv(f"{folder}/{name}", header=True, escape='"')
+        _name_by_period(spark, f"{folder}/{name}", f"{folder}/{place}", name)
+    orders.select("mmyy").distinct().write.json(f"{folder}/raw/notes")
+    found = read_period_files(spark, f"{folder}/raw", RAW, recursive=True)
+    return found.withColumnsRenamed({c: c.lower() for c in ("DATE", "YEAR", *RAW.names)})
+
+
+def report_round_trip(spark, sf):
+    """A finished report table, written as one file and loaded again."""
+    path = f"{stage_folder(spark)}/report"
+    report = group_difference(spark, sf)
+    save_report(report, path)
+    return load_panel(spark, path, report.schema)
+
+
 def ingest_preamble(spark, sf):
     """Monthly files with eight lines before the header, one of them blank and one quoted."""
     folder, orders = stage_folder(spark), _orders(spark, sf)
@@ -161,6 +181,8 @@ def null_predicate(spark, sf):
 
 INGEST_QUERIES = {
     "ingest_monthly": ingest_monthly,
+    "ingest_nested": ingest_nested,
+    "report_round_trip": report_round_trip,
     "ingest_preamble": ingest_preamble,
     "ingest_line_breaks": ingest_line_breaks,
     "ingest_inferred": ingest_inferred,
