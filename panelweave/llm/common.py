@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.sources.tables import stage_folder
+
 #: Words between ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -69,14 +70,13 @@ class Stages:
 
     ``spark.checkpoint.dir`` names that folder; where it is unset the warehouse, which is shared
     too, takes its place. Later steps start from these files, so that a lost executor costs
-    the running tasks only. ``drop`` removes a table once nothing reads it any more.
+    the running tasks only. ``drop`` removes a table once nothing reads it any more; what a result
+    still reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        base = shared.rstrip("/") if shared else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-        self.spark, self.folder = spark, f"{base}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, f"{stage_folder(spark)}/{name}"
         self.written = 0
 
     def path(self, name: str) -> str:
