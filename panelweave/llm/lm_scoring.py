@@ -11,7 +11,7 @@ All steps are tables keyed by context and node, so the model may grow with the c
 
 1. texts are written in blocks of bounded size, each with a number;
 2. each block asks for its distinct words and byte runs, with their counts in training texts;
-3. the counts of a key meet in one shuffle, which gives each block the totals of its keys;
+3. the counts of a key are added up, partly before the shuffle, into one row for each key;
 4. level by level, contexts are folded into shorter ones and the weights handed down again;
 5. each block gets the totals of its words and the log probabilities of its runs, and scores its texts.
 
@@ -93,22 +93,45 @@ def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out and text of every row, with the number of its block; neighbours share blocks."""
-    schema = T.StructType([docs.schema["doc_id"]]).add("held_out", "boolean").add("text", "string").add("block", "long")
+    """Blocks of neighbouring rows: a block's number and ``rows``, some of its rows (doc_id, held_out, text) as a compressed Arrow stream.
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts pass a shuffle later; streams of many texts take less than half the room of single ones there.
+    """
+
+    def stream(rows: pa.RecordBatch) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        return out.getvalue().to_pybytes()
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = TaskContext.get().partitionId() << 30, 0
         for batch in batches:
-            numbers = []
-            for size in batch["n_bytes"]:
+            rows, start = batch.drop_columns(["n_bytes"]), 0
+            for at, size in enumerate(batch.column("n_bytes").to_pylist()):
                 if held and held + size > block_bytes:
-                    block, held = block + 1, 0
+                    if at > start:
+                        yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "rows": pa.array([stream(rows.slice(start, at - start))])})
+                    block, held, start = block + 1, 0, at
                 held += size
-                numbers.append(block)
-            yield batch.drop(columns="n_bytes").assign(block=numbers)
+            if len(rows) > start:
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "rows": pa.array([stream(rows.slice(start))])})
 
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("n_bytes", F.octet_length("text")).mapInPandas(number, schema)
+    return rows.withColumn("n_bytes", F.octet_length("text")).mapInArrow(number, "block long, rows binary")
+
+
+def _table(stream: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(stream.as_buffer()).read_all()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, held_out and text of every row of some blocks."""
+    for batch in batches:
+        for block, rows in zip(batch.column("block"), batch.column("rows")):
+            for part in _table(rows).to_batches():
+                numbers = pa.array(np.full(len(part), block.as_py()))
+                yield pa.RecordBatch.from_arrays([numbers, part.column("held_out"), part.column("text")], ["block", "held_out", "text"])
 
 
 class _Counts:
@@ -197,15 +220,15 @@ def _requests(depth: int):
     return requests
 
 
-def answers(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """block, word or run, ``total`` (its count over all training texts) and ``first``, true once for each key."""
-    from pyspark.sql import Window
+def requests(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """block, word or run, and ``n``, its count in the training texts of the block; a key has one row in each block that holds it."""
+    told = _requests(depth)
+    return blocks.mapInArrow(lambda batches: told(_unpacked(batches)), "block long, word string, run long, n long")
+
 
-    asked = blocks.select("block", "held_out", "text").mapInArrow(_requests(depth), "block long, word string, run long, n long")
-    # A key has a row for each block that holds it, so no key has more than its share of the blocks.
-    key = Window.partitionBy("word", "run")
-    total, first = F.sum("n").over(key), F.row_number().over(key.orderBy("block")) == 1
-    return asked.select("block", "word", "run", total.alias("total"), first.alias("first"))
+def totals(asked: DataFrame) -> DataFrame:
+    """word or run, once each, with ``total``, its count over all training texts. Counts are added up before and after the shuffle."""
+    return asked.groupBy("word", "run").agg(F.sum("n").alias("total"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -378,16 +401,28 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_byt
     """
     stages = Stages(docs.sparkSession, "lm-scoring")
     blocks = stages.write(in_blocks(docs, held_out, block_bytes), "blocks")
-    told = stages.write(answers(blocks, depth), "answers")
-    words = told.where("word IS NOT NULL")
-    sizes = words.where("first AND total > 0").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
-    counts = told.where("run IS NOT NULL AND first").select("run", "total")
-    scores = stages.write(run_scores(counts, model(counts, stages, depth)), "scores")
-    values = words.select("block", "word", F.lit(None).cast("long").alias("run"), F.col("total").cast("double").alias("value")).unionByName(
-        told.where("run IS NOT NULL").join(scores, "run").select("block", "word", "run", F.col("log_p").alias("value"))
+    asked = stages.write(requests(blocks, depth), "requests")
+    # Runs in their order take less room, here and in the shuffles that read them.
+    total = stages.write(totals(asked).sortWithinPartitions("run"), "totals")
+    words = stages.write(total.where("word IS NOT NULL").select("word", "total"), "words")
+    sizes = words.where("total > 0").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
+    counts = total.where("run IS NOT NULL").select("run", "total")
+    weights = model(counts, stages, depth)
+    scores = stages.write(run_scores(counts, weights).sortWithinPartitions("run"), "scores")
+    stages.drop(total, *weights)
+    no_run, no_word = F.lit(None).cast("long").alias("run"), F.lit(None).cast("string").alias("word")
+    values = (
+        asked.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", "word", no_run, F.col("total").cast("double").alias("value"))
+    ).unionByName(
+        asked.where("run IS NOT NULL").select("block", "run").join(scores, "run").select("block", no_word, "run", F.col("log_p").alias("value"))
     )
     schema = T.StructType([docs.schema["doc_id"]]).add("held_out", "boolean")
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("n_bytes", "long")):
         schema = schema.add(name, kind)
-    scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_score_block(depth, sizes["n"] or 0, sizes["v"]), schema)
+    score = _score_block(depth, sizes["n"] or 0, sizes["v"])
+
+    def of_block(streams: pa.Table, told: pa.Table) -> pa.Table:
+        return score(pa.concat_tables([_table(rows) for rows in streams["rows"]]), told)
+
+    scored = blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(of_block, schema)
     return scored.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).drop("n_bytes")
