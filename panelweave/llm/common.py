@@ -83,9 +83,9 @@ class Stages:
         self.written += 1
         return f"{self.folder}/{self.written}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._stage_path = path
         return table

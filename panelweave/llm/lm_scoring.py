@@ -46,6 +46,10 @@ BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 18
 #: Rows of a block that are sent at once.
 ROWS_SENT = 1 << 16
+#: Zstandard level of the streams that hold the rows of blocks.
+STREAM_LEVEL = 7
+#: Parquet pages that hold sorted numbers as differences.
+DELTAS = {"parquet.writer.version": "v2"}
 MARK = b"\xff"  # never a byte of UTF-8: start marks before a text, the end mark after it
 
 _A2Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -100,7 +104,7 @@ def in_blocks(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES)
 
     def stream(rows: pa.RecordBatch) -> bytes:
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", STREAM_LEVEL))) as writer:
             writer.write_batch(rows)
         return out.getvalue().to_pybytes()
 
@@ -401,14 +405,14 @@ def score_texts(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_byt
     """
     stages = Stages(docs.sparkSession, "lm-scoring")
     blocks = stages.write(in_blocks(docs, held_out, block_bytes), "blocks")
-    asked = stages.write(requests(blocks, depth), "requests")
+    asked = stages.write(requests(blocks, depth), "requests", DELTAS)
     # Runs in their order take less room, here and in the shuffles that read them.
-    total = stages.write(totals(asked).sortWithinPartitions("run"), "totals")
+    total = stages.write(totals(asked).sortWithinPartitions("run"), "totals", DELTAS)
     words = stages.write(total.where("word IS NOT NULL").select("word", "total"), "words")
     sizes = words.where("total > 0").agg(F.sum("total").alias("n"), F.count("*").alias("v")).first()
     counts = total.where("run IS NOT NULL").select("run", "total")
     weights = model(counts, stages, depth)
-    scores = stages.write(run_scores(counts, weights).sortWithinPartitions("run"), "scores")
+    scores = stages.write(run_scores(counts, weights).sortWithinPartitions("run"), "scores", DELTAS)
     stages.drop(total, *weights)
     no_run, no_word = F.lit(None).cast("long").alias("run"), F.lit(None).cast("string").alias("word")
     values = (
