@@ -4,7 +4,8 @@ Each page becomes an element tree, and each block element a hash of its whole su
 per host, the different main texts beside which a subtree occurs: a subtree found beside many is
 part of the site's template and is deleted. Copies of one page count once, and paragraphs,
 headings and other prose inside the main text are never candidates, so that articles
-stay whole where they quote or copy each other.
+stay whole where they quote or copy each other. Only pages that hold a template within their main text meet it again,
+and pages travel packed, so that what is moved follows what is to be deleted.
 
 The main text is that of the outermost ``article`` elements; without any, of ``main``; without that, of
 the body. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -170,8 +172,11 @@ def main_parts(root: Element) -> list[Element]:
     return [root]
 
 
-def blocks(parts: list[Element], templates: frozenset[int] = frozenset()) -> list[str]:
-    """The text blocks below ``parts``, without furniture and without the subtrees in ``templates``."""
+def blocks(parts: list[Element], templates: frozenset[int] = frozenset(), reached: set[int | None] | None = None) -> list[str]:
+    """The text blocks below ``parts``, without furniture and without the subtrees in ``templates``.
+
+    ``reached`` takes the hashes of the subtrees that ``templates`` would delete.
+    """
     out: list[str] = []
     held: list[str] = []
 
@@ -192,6 +197,8 @@ def blocks(parts: list[Element], templates: frozenset[int] = frozenset()) -> lis
             elif node.tag == "br":
                 held.append(" ")
             elif node is part or not _dropped(node, inside) and (node.own not in templates or not templates):
+                if reached is not None and node is not part:
+                    reached.add(node.own)
                 if node.tag in BLOCK:
                     flush()
                     stack.append(None)
@@ -223,16 +230,22 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root = parse(page)
             hash_subtrees(root)
             parts = main_parts(root)
-            main = xxhash.xxh3_64_intdigest("\n".join(blocks(parts))) - (1 << 63)
-            out.extend((host, key, main, h - (1 << 63)) for h in candidate_hashes(root, parts))
-        yield pd.DataFrame(out, columns=["host", "key", "main", "subtree"])
+            reached: set[int | None] = set()
+            main = xxhash.xxh3_64_intdigest("\n".join(blocks(parts, reached=reached))) - (1 << 63)
+            out.extend((host, key, main, h - (1 << 63), h in reached) for h in candidate_hashes(root, parts))
+        yield pd.DataFrame(out, columns=["host", "key", "main", "subtree", "reached"])
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.drop(columns="html").assign(packed=[zlib.compress(page.encode("utf-8", "surrogatepass")) for page in batch["html"]])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for page, found in zip(batch["html"], batch["templates"]):
-            root = parse(page)
+        for page, found in zip(batch["packed"], batch["templates"]):
+            root = parse(zlib.decompress(page).decode("utf-8", "surrogatepass"))
             templates = frozenset() if found is None else frozenset(int(h) + (1 << 63) for h in found)
             if templates:
                 hash_subtrees(root)
@@ -246,9 +259,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", body.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", body).alias("key"))
     stages = Stages(pages.sparkSession, "html-text")
-    seen = stages.write(keyed.select("host", "key", "html").mapInPandas(_subtrees, "host string, key long, main long, subtree long"), "subtrees")
+    subtrees = keyed.select("host", "key", "html").mapInPandas(_subtrees, "host string, key long, main long, subtree long, reached boolean")
+    seen = stages.write(subtrees, "subtrees")
     beside = seen.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     templates = beside.where(F.col("n") >= min_pages).select("host", "subtree")
-    found = seen.select("host", "key", "subtree").join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates"))
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return keyed.join(found, "key", "left").select("page_id", "url", "html", "templates").mapInPandas(_texts, schema)
+    reached = seen.where("reached").select("host", "key", "subtree")
+    # Written out, so that Spark knows its size: pages are shuffled only where many hold templates within their texts.
+    found = stages.write(reached.join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("templates")), "found")
+    stages.drop(seen)
+    ids = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string"
+    packed = keyed.select("page_id", "url", "key", "html").mapInPandas(_packed, f"{ids}, key long, packed binary")
+    return packed.join(found, "key", "left").select("page_id", "url", "packed", "templates").mapInPandas(_texts, f"{ids}, text string")

@@ -85,3 +85,33 @@ def test_the_box_of_one_section_goes_on_hosts_of_any_size(spark):
         pages = [(i, f"https://big.example/{i}", f"<article><div>Own {i}</div>{box if i < 12 else ''}</article>") for i in range(n)]
         got = {r["page_id"]: r["text"] for r in ht.extract(rows(spark, pages)).collect()}
         assert got == {i: f"Own {i}" for i in range(n)}
+
+
+def test_pages_move_only_if_a_template_lies_in_their_text(spark, monkeypatch):
+    written = {}
+    write = ht.Stages.write
+
+    def noted(self, df, name, options=None):
+        written[name] = write(self, df, name, options)
+        return written[name]
+
+    monkeypatch.setattr(ht.Stages, "write", noted)
+    menu, box = "<nav><ul><li>Start</ul></nav>", "<div><div>Write to us</div></div>"
+    pages = [(i, f"http://a.example/{i}", f"<body>{menu}<article><p>Own {i}</p>{box if i % 4 == 0 else ''}</article>{box}</body>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in ht.extract(rows(spark, pages)).collect()}
+    assert got == {i: f"Own {i}" for i in range(60)}
+    assert written["found"].count() == 15
+
+
+def test_shuffled_pages_travel_packed(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        box = "<div><div>Write to us \u20ac\U0001f600</div></div>"
+        pages = [(i, f"http://a.example/{i}", f"<article><p>Own {i} \u00e9\U0001f600 {'word ' * 2000}</p>{box}</article>") for i in range(40)]
+        texts = ht.extract(rows(spark, pages + [(None, None, None)] * 2))
+        got = sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in texts.collect())
+        assert got == [(-1, ""), (-1, "")] + [(i, f"Own {i} \u00e9\U0001f600 {'word ' * 2000}".strip()) for i in range(40)]
+        joined = next(line for line in texts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInPandas _packed" in line)
+        assert "packed" in joined
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
