@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -72,3 +73,27 @@ def test_mean_and_deviation(spark):
     few = df.where("x = 48").agg(exact_mean("x"), exact_deviation("x")).first()
     assert tuple(few) == (48.0, None)
     assert tuple(df.where("false").agg(exact_mean("x"), exact_deviation("x")).first()) == (None, None)
+
+
+@pytest.mark.parametrize("keys", [["site"], []])
+def test_exact_sums_are_held_for_cells_not_for_entities(spark, keys):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(400)]), rng.choice([None, rng.gauss(0, 1e6), 1e-9])) for _ in range(3000)]
+    df = spark.createDataFrame(data, "site string, id long, x double")
+    sums = [cells.total("t", "x"), cells.mean("m", "x"), cells.derived("both", F.col("t") + F.col("m"))]
+    for metrics in (sums, [cells.entities("n"), *sums, cells.entities("above", F.col("x") > 1, count_na=True)]):
+        out = panel_cells(df, keys, "id", metrics, exact=True)
+        assert out.columns == [*keys, *[m.name for m in metrics]]
+        got = {r["site"] if keys else "all": r for r in out.collect()}
+        for site in {r[0] for r in data} if keys else ["all"]:
+            own = [r for r in data if not keys or r[0] == site]
+            known = [x for _, _, x in own if x is not None]
+            assert got[site]["t"] == pytest.approx(math.fsum(known), rel=4e-16)
+            assert got[site]["m"] == pytest.approx(math.fsum(known) / len(known), rel=4e-16) and got[site]["both"] == got[site]["t"] + got[site]["m"]
+            if len(metrics) > 3:
+                assert got[site]["n"] == len({i for _, i, _ in own if i is not None})
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        by_entity = [line for line in plan.split("\n") if re.search(r"Aggregate \[[^\[\]]*\bid#\d+L\], \[", line)]
+        assert len(by_entity) == (len(metrics) > 3) and not any("sum(" in line for line in by_entity)
+    none = panel_cells(df.where("false"), keys, "id", sums, exact=True).collect()
+    assert [tuple(r) for r in none] == ([] if keys else [(0.0, None, None)])
