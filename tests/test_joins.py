@@ -140,6 +140,24 @@ def test_pairs_of_a_hot_key_spread_over_tasks(spark):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_tasks_of_a_grid_join_follow_its_pairs(spark, monkeypatch, how):
+    """Few bytes make many pairs: merged by bytes, all of them would be one task's."""
+    monkeypatch.setattr("panelweave.operators.joins.PAIRS_PER_TASK", 500_000, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = two_sided(spark, 12000)
+        left = left.withColumn("k", F.col("k").cast("int"))
+        joined = grid_join(left, right, ["k"], how)
+        per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == plain(left, right, how).count() > 8_000_000
+        assert len(per_task) >= 16 and max(per_task) < 3 * 500_000
+        summary = lambda df: sorted(map(tuple, df.groupBy("k").agg(F.count("*"), F.sum("w"), F.sum("v")).collect()), key=str)
+        assert summary(joined) == summary(plain(left, right, how))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+
+
 def test_grid_join_refuses_what_it_cannot_do(spark, collect):
     left, right = two_sided(spark, 30)
     with pytest.raises(ValueError, match="unsupported"):
