@@ -12,6 +12,8 @@ from panelweave.sources.tables import stage_folder
 
 #: Words between ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Most rows of a written table that a join may broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -90,6 +92,13 @@ class Stages:
         table._stage_path = path
         return table
 
+    def unsent(self, table: DataFrame) -> DataFrame:
+        """A written table, marked so that its joins broadcast neither side if it has many rows.
+
+        Spark takes the bytes of the packed files for the table's size, which in memory may be ten times as much and more.
+        """
+        return table.hint("merge") if table.count() > BROADCAST_ROWS else table
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._stage_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Stages
+from panelweave.llm.common import BROADCAST_ROWS, Stages
 
 
 def components(links: DataFrame, stages: Stages, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,6 +20,8 @@ def components(links: DataFrame, stages: Stages, a: str = "a", b: str = "b") ->
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if state[0] > BROADCAST_ROWS:
+            both = both.hint("merge")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -31,7 +33,7 @@ def components(links: DataFrame, stages: Stages, a: str = "a", b: str = "b") ->
             break
     hung = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stages.write(hung.unionByName(tops), "components")
+    return stages.unsent(stages.write(hung.unionByName(tops), "components"))
 
 
 def _down(links: DataFrame) -> DataFrame:

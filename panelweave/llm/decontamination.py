@@ -116,7 +116,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         )
 
     around = near.select("doc_id", "text_hash", F.explode(let(F.col("words"), lambda w: spelled(w, F.col("places")))).alias("at"))
-    matched = stages.write(around.select("doc_id", "text_hash", "at.*").join(targets, ["window", "length"]).drop("window"), "matched")
+    # Windows that overlap pack well, so that Spark sizes a table of many far too low.
+    spelled_out = stages.unsent(windows).drop("items")
+    matched = stages.write(around.select("doc_id", "text_hash", "at.*").join(spelled_out, ["window", "length"]).drop("window"), "matched")
     spans = matched.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans")
     )

@@ -196,22 +196,24 @@ def _open_buckets(active: DataFrame) -> DataFrame:
 
 def families(classes: DataFrame, stages: Stages, percent: int = THRESHOLD) -> DataFrame:
     """Chains (a, b) of a member and a centre that belong to one family. ``classes``: node, bands, bits."""
-    members = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("bucket"))
+    # One row for each band of each class; Spark sizes them as one row for each class, and would broadcast them.
+    members = classes.select(F.col("node").alias("doc"), F.explode("bands").alias("bucket")).hint("merge")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    active = stages.write(members.join(shared, "bucket"), "buckets")
+    buckets = stages.write(members.join(shared, "bucket"), "buckets")
+    active = stages.unsent(buckets)
     weight = active.groupBy("doc").agg(F.sum("n").alias("weight"))
     heaviest = active.join(weight, "doc").groupBy("bucket").agg(F.max(F.struct("weight", "doc")).alias("c"))
     led = stages.write(
         active.select("bucket", "doc").join(heaviest.select("bucket", F.col("c.doc").alias("centre")), "bucket").where("doc != centre"), "led"
     )
-    stages.drop(active)
+    stages.drop(buckets)
     chains, leave = [], leave_from(percent)
     label = F.when(F.col("similar") >= FAMILY, F.col("centre")).otherwise(F.col("doc")).alias("label")
     own_label = None
     while True:
         judged = stages.write(_similar(led.select("doc", "centre").distinct(), classes), "judged")
         chains.append(judged.where(F.col("similar") >= FAMILY).select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-        seen = led.join(judged, ["doc", "centre"])
+        seen = stages.unsent(led).join(judged, ["doc", "centre"])
         if own_label is None:
             left = seen.where(F.col("similar") < leave).select("bucket", "doc", label)
         else:
@@ -223,6 +225,7 @@ def families(classes: DataFrame, stages: Stages, percent: int = THRESHOLD) -> Da
         stages.drop(led)
         if own_label.isEmpty():
             break
+        own_label = stages.unsent(own_label)
         # Members that share the commonest label of their bucket are one family; the others are centres by and by.
         sizes = own_label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         common = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("c")).select("bucket", F.col("c.label").alias("common"))

@@ -89,3 +89,25 @@ def test_documents_are_scanned_three_times_at_most(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # One more pass finds the hits, when the table is built.
     assert len(re.findall(r"Relation \[doc_id", plan)) == 1
+
+
+def test_many_windows_are_not_broadcast(spark, monkeypatch):
+    """Overlapping windows pack into few bytes, by which Spark would find a table of millions small."""
+    from panelweave.llm.common import Stages
+
+    plans = []
+    write = Stages.write
+
+    def planned(self, df, name, options=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name, options)
+
+    monkeypatch.setattr(Stages, "write", planned)
+    monkeypatch.setattr("panelweave.llm.common.BROADCAST_ROWS", 10, raising=False)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words[50:80])), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:70]))], "item_id long, text string")
+    overlaps = dc.find_overlaps(docs, bench).collect()
+    assert [(r["doc_id"], r["items"] and sorted(r["items"])) for r in overlaps] == [(1, [7, 8])]
+    join = next(plan for name, plan in plans if name == "matched")
+    assert "window" in join and not [line for line in join.splitlines() if "BroadcastHashJoin" in line and "window" in line]

@@ -140,3 +140,42 @@ def test_bounds_follow_the_threshold():
         except ValueError:
             continue
         raise AssertionError(percent)
+
+
+class PlannedStages(Stages):
+    """Stages that keep the plan of each table before it is written, by its name."""
+
+    def __init__(self, spark):
+        super().__init__(spark, "test")
+        self.plans = {}
+
+    def write(self, df, name, options=None):
+        self.plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return super().write(df, name, options)
+
+
+def near_copies(spark, stages, n=60):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    docs = spark.createDataFrame([(i, edited(base, rng.randrange(6), rng)) for i in range(n)], "doc_id long, text string")
+    return stages.write(nd.sketches(docs).select(F.col("doc_id").alias("node"), "bands", "bits"), "classes")
+
+
+def test_bands_of_all_classes_are_never_broadcast(spark):
+    """Each class has many rows of bands, which Spark sizes as one row a class."""
+    stages = PlannedStages(spark)
+    assert nd.families(near_copies(spark, stages), stages).count() > 30
+    assert "BroadcastHashJoin" not in stages.plans["buckets"] and "SortMergeJoin" in stages.plans["buckets"]
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    stages = PlannedStages(spark)
+    classes = near_copies(spark, stages)
+    plain = sorted(map(tuple, nd.families(classes, stages).collect()))
+    monkeypatch.setattr("panelweave.llm.common.BROADCAST_ROWS", 20, raising=False)
+    monkeypatch.setattr("panelweave.llm.components.BROADCAST_ROWS", 20, raising=False)
+    stages = PlannedStages(spark)
+    chains = nd.families(classes, stages)
+    assert sorted(map(tuple, chains.collect())) == plain
+    assert {r["component"] for r in components(chains, stages).collect()} == {0}
+    assert all("BroadcastHashJoin" not in stages.plans[name] for name in ("buckets", "led", "edges"))
